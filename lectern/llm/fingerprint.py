@@ -75,7 +75,7 @@ def fingerprints(docs: DataFrame, hash_of=wide_hash, id_col: str = "doc_id", tex
 
     rows = hashes.groupBy("k", "h").agg(F.first(F.struct("k", "h", "n", "hash", "digest")).alias("row"))
     neighbours = written(ring(rows), "ring")
-    shared = hashes.groupBy("hash").agg(F.count("*").alias("c")).where("c > 1").select("hash", F.lit(True).alias("shared"))
+    shared = written(hashes.groupBy("hash").agg(F.count("*").alias("c")).where("c > 1").select("hash", F.lit(True).alias("shared")), "shared")
     meta = neighbours.withColumn("hash", F.col("row.hash")).join(shared, "hash", "left")
     meta = written(meta.select("k", "h", "row.n", "hash", "row.digest", "after", "before", "shared"), "meta")
 

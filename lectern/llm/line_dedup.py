@@ -73,7 +73,7 @@ class LineRuns:
             new = new.join(run.hint("merge"), "hash", "left_anti")
         new = written(new, "new")
         seen = own.join(new, "hash", "left_anti").select("hash", F.lit(None).cast("bigint").alias("owner"))
-        repeated = seen.unionByName(new.where("owner < last").select("hash", "owner"))
+        repeated = written(seen.unionByName(new.where("owner < last").select("hash", "owner")), "repeated")
         gone = lines.join(repeated, "hash").where("owner is null or id > owner").select("id", "hash").distinct()
         self._push(0, self._write(new.select("hash", "owner")))
         return written(gone, "gone")
