@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, line_dedup, mixing, near_dup, oracles, quality, token_counts
+from . import bpe, fingerprint, html_text, line_dedup, mixing, near_dup, oracles, quality, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), 85, 100)
 
@@ -48,6 +52,7 @@ QUERIES = {
     "op2_mix": op2_mix,
     "op5_fingerprint": op5_fingerprint,
     "op6_line_dedup": op6_line_dedup,
+    "op7_main_text": op7_main_text,
     "op8_near_dup": op8_near_dup,
     "op9_quality": op9_quality,
     "op10_bpe": op10_bpe,
