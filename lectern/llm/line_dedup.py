@@ -111,24 +111,25 @@ def lines_to_remove(docs: DataFrame, batches: int = BATCHES, min_chars: int = MI
     return reduce(DataFrame.unionByName, gone)
 
 
-def dedup_lines(docs: DataFrame, batches: int = BATCHES, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, batches: int = BATCHES, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", extra: list[str] | None = None) -> DataFrame:
     """Texts without the lines that a document of a smaller id has.
 
     Lines are the parts between line feeds; their keys are compared without ASCII white
     space at the ends and with A-Z in lower case. A key of ``min_chars`` code points or
     more stays in all its places in the smallest id that holds it and goes elsewhere.
-    One row ``(id, n_lines, n_dropped, kept_text, kept_sha256)`` for each row of
-    ``docs``. Null and empty texts are one empty line, which stays; rows that repeat an
+    One row ``(id, *extra, n_lines, n_dropped, kept_text, kept_sha256)`` for each row of
+    ``docs``; ``extra`` names columns to carry along, as ``extra_0``, ``extra_1``, .... Null and empty texts are one empty line, which stays; rows that repeat an
     id are one document; rows with a null id lose nothing and hold nothing against
     others; other columns are ignored, whatever their names. Ids are integers.
     """
-    docs = docs.select(F.col(id_col).cast("bigint").alias("id"), text_or_empty(text_col).alias("_text"))
-    gone = lines_to_remove(docs, batches, min_chars)
+    more = [F.col(c).alias(f"extra_{k}") for k, c in enumerate(extra or [])]
+    docs = docs.select(F.col(id_col).cast("bigint").alias("id"), text_or_empty(text_col).alias("_text"), *more)
+    gone = lines_to_remove(docs.select("id", "_text"), batches, min_chars)
     of_doc = gone.groupBy("id").agg(F.collect_list("hash").alias("hashes"))
 
     def columns(b: pa.RecordBatch) -> list:
         n_lines, n_dropped, kept = [], [], []
-        for text, hashes in zip(as_bytes(b.column(1)), b.column(2).to_pylist()):
+        for text, hashes in zip(as_bytes(b.column(1)), b.column(b.num_columns - 1).to_pylist()):
             lines = text.split(b"\n")
             n_lines.append(len(lines))
             if hashes:
@@ -136,8 +137,9 @@ def dedup_lines(docs: DataFrame, batches: int = BATCHES, min_chars: int = MIN_CH
                 lines = [x for x in lines if line_hash(x, min_chars) not in out]
             n_dropped.append(n_lines[-1] - len(lines))
             kept.append(b"\n".join(lines))
-        return [b.column(0), n_lines, n_dropped, pa.array(kept, pa.binary()).cast(pa.string()), [hashlib.sha256(x).hexdigest() for x in kept]]
+        return [b.column(0), *b.columns[2:-1], n_lines, n_dropped, pa.array(kept, pa.binary()).cast(pa.string()), [hashlib.sha256(x).hexdigest() for x in kept]]
 
-    schema = "id bigint, n_lines bigint, n_dropped bigint, kept_text string, kept_sha256 string"
-    joined = docs.join(of_doc.hint("shuffle_hash"), "id", "left").select("id", "_text", "hashes")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name != "_text")
+    schema = f"{kinds}, n_lines bigint, n_dropped bigint, kept_text string, kept_sha256 string"
+    joined = docs.join(of_doc.hint("shuffle_hash"), "id", "left").select(*docs.columns, "hashes")
     return map_arrow(joined, columns, schema).withColumnRenamed("id", id_col)

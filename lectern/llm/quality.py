@@ -91,17 +91,19 @@ def duplicate_lines(text: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: list[str] | None = None) -> DataFrame:
     """Base measures, verdict and cleaned text of each document.
 
-    One row ``(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, kept, cleaned)`` for each row of ``docs``. Null and blank texts have no
+    One row ``(id, *extra, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    base_failed, kept, cleaned)`` for each row of ``docs``; ``extra`` names columns to
+    carry along, as ``extra_0``, ``extra_1``, .... Null and blank texts have no
     words, so they fail; repeated rows and ties are judged alike, each on its own;
     other columns are ignored, whatever their names. ``cleaned`` is the text without
     failing lines. There is no shuffle; a task holds one batch of texts.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, cleaned string"
+    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("_text"), *(F.col(c).alias(f"extra_{k}") for k, c in enumerate(extra or [])))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
+    schema = f"{kinds}, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, cleaned string"
 
     def columns(b: pa.RecordBatch) -> list:
         texts = as_bytes(b.column(1))
@@ -114,6 +116,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         failed = [n < 50 or 100 * r > 50 * n for n, r in zip(n_words, repeats)]
         return [
             b.column(0),
+            *b.columns[2:],
             n_words,
             [len(x.translate(None, SPACES).decode("utf-8", "replace")) for x in texts],
             [len(x) - len(x.translate(None, SYMBOLS)) for x in texts],
@@ -124,4 +127,4 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             pa.array([x for x, _, _ in cleaned], pa.binary()).cast(pa.string()),
         ]
 
-    return map_arrow(docs.select(F.col(id_col), text_or_empty(text_col)), columns, schema).withColumnRenamed("id", id_col)
+    return map_arrow(rows, columns, schema).withColumnRenamed("id", id_col)
