@@ -45,7 +45,7 @@ def scored(chunks_: DataFrame, questions: DataFrame, collection: str = "content_
         part = questions.where(F.pmod(F.xxhash64("question_id"), F.lit(rounds)) == r) if rounds > 1 else questions
         rows = part.select("question_id", "embedding").collect()  # within QUESTION_BYTES
         asked = [x.question_id for x in rows]
-        matrix = np.array([x.embedding for x in rows], dtype=np.float32).astype(float).reshape(len(rows), -1)
+        matrix = [np.array(x.embedding, dtype=np.float32).astype(float) for x in rows]
 
         def score(batches: Iterator[pd.DataFrame], asked=asked, matrix=matrix) -> Iterator[pd.DataFrame]:
             for b in batches:
