@@ -14,6 +14,7 @@ each language, at most ``MAX_CHARS`` long); it labels every word of every text.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from dataclasses import dataclass
 
@@ -230,7 +231,7 @@ def training_sample(labelled: DataFrame, per_lang: int = PER_LANG, max_chars: in
     return [r.text for r in rows], [r.lang for r in rows]
 
 
-_held: dict[int, Labeller] = {}
+_held: dict[str, Labeller] = {}
 
 
 def identify(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col: str = "text", extra: list | None = None) -> DataFrame:
@@ -242,7 +243,7 @@ def identify(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_
     """
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(field)  # of a fixed size: the weight table and the sample's lexicon
-    key = held.id if hasattr(held, "id") else id(held)
+    key = uuid.uuid4().hex
     rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"), *(extra or []))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
 
