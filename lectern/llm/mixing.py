@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import ranked, written
 
 #: Words are runs of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -68,8 +68,8 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, budget: int |
     rows = written(rows, "sizes")
     sources = written(rows.groupBy("_source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_docs")), "sources")
     if weights is None:
-        place = F.row_number().over(Window.orderBy(F.col("_source") == "~", "_source"))
-        sources = sources.withColumn("weight", ((place - 1) % 3 + 1).cast("bigint"))
+        sources = ranked(sources, (F.col("_source") == "~").asc(), F.col("_source").asc(), to="weight")
+        sources = sources.withColumn("weight", ((F.col("weight") - 1) % 3 + 1).cast("bigint"))
     else:
         given = weights.select(F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("~")).alias("_source"), F.col("weight").cast("bigint"))
         sources = sources.join(given, "_source", "left").withColumn("weight", F.coalesce("weight", F.lit(0)))
