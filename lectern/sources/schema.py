@@ -13,7 +13,7 @@ SOURCES = (
     "error_message string, created_at timestamp_ntz"
 )
 CHAT_MESSAGES = "id bigint, notebook_id bigint, role string, content string, sources_json string, metadata_json string, latency_ms int, created_at timestamp_ntz"
-CONTENT_REGISTRY = "content_hash string, chroma_collection string, extracted_text string, char_count bigint, created_at timestamp_ntz"
+CONTENT_REGISTRY = "content_hash string, collection string, extracted_text string, char_count bigint, created_at timestamp_ntz"
 CHUNKS = "content_hash string, chunk_index int, page int, filename string, document string, embedding array<float>"
 
 #: Rows with these statuses count for questions, summaries and scripts.
