@@ -1,10 +1,10 @@
 """Canonical exact fingerprints, in DataFrame and SQL operations only.
 
 A text's canonical form is its NFC, in lower case, with runs of white space as one
-space and none at the ends. Its fingerprint is a wide hash of that form: two chained
-64-bit xxhashes and the length. Texts whose hashes are equal share a bucket, and
-inside a bucket the canonical bytes are compared; should they differ, the texts of
-the bucket get fingerprints of their own.
+space and none at the ends. Its fingerprint is a wide hash of that form, two 64-bit
+xxhashes. Texts whose hashes are equal share a bucket, and inside a bucket the
+canonical bytes are compared; should they differ, a third hash is added to the
+fingerprints of the bucket.
 """
 
 from __future__ import annotations
@@ -20,10 +20,14 @@ def canonical(text: Column) -> Column:
     return F.btrim(F.regexp_replace(F.lower(nfc), r"[\s\x{85}\p{Z}]+", " "))
 
 
+def seeded(canon: Column, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), canon)
+
+
 def wide_hash(canon: Column) -> Column:
-    """Hex digits of two 64-bit xxhashes with different seeds, and the length in code points."""
-    half = lambda seed: F.lpad(F.lower(F.hex(F.xxhash64(F.lit(seed), canon))), 16, "0")
-    return F.concat(half(1), half(2), F.lit("-"), F.length(canon).cast("string"))
+    """128 bits: two 64-bit xxhashes with different seeds."""
+    half = lambda seed: F.lpad(F.hex(seeded(canon, seed)), 16, "0")
+    return F.unhex(F.concat(half(1), half(2)))
 
 
 #: Stands for a null id among the keys.
@@ -71,13 +75,15 @@ def fingerprints(docs: DataFrame, hash_of=wide_hash, id_col: str = "doc_id", tex
     key = F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID))
     texts = docs.select(F.col(id_col).alias("_id"), key.alias("k"), text_or_empty(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
     canon = texts.select("k", "h", F.length("text").alias("n"), canonical(F.col("text")).alias("canon"))
-    hashes = written(canon.select("k", "h", "n", hash_of(F.col("canon")).alias("hash"), F.unhex(F.sha2("canon", 256)).alias("digest")), "hashes")
+    hashes = written(canon.select("k", "h", "n", hash_of(F.col("canon")).alias("hash"), seeded(F.col("canon"), 3).alias("more")), "hashes")
 
-    rows = hashes.groupBy("k", "h").agg(F.first(F.struct("k", "h", "n", "hash", "digest")).alias("row"))
-    neighbours = written(ring(rows), "ring")
+    rows = hashes.groupBy("k", "h").agg(F.struct("k", "h", F.first("n").alias("n"), F.first("hash").alias("hash"), F.first("more").alias("more")).alias("row"))
     shared = written(hashes.groupBy("hash").agg(F.count("*").alias("c")).where("c > 1").select("hash", F.lit(True).alias("shared")), "shared")
-    meta = neighbours.withColumn("hash", F.col("row.hash")).join(shared, "hash", "left")
-    meta = written(meta.select("k", "h", "row.n", "hash", "row.digest", "after", "before", "shared"), "meta")
+    meta = ring(rows).select(
+        "k", "h", "row.n", "row.hash", "row.more", F.col("before.k").alias("prev_k"), F.col("before.h").alias("prev_h"), F.col("before.n").alias("prev_n"),
+        ((F.col("after.hash") == F.col("row.hash")) & (F.col("after.more") == F.col("row.more"))).alias("near_next"),
+    )
+    meta = written(meta.join(shared, "hash", "left"), "meta")
 
     both = texts.join(meta.hint("shuffle_hash"), ["k", "h"])
     # byte comparison: each task reduces a bucket to its smallest and largest text
@@ -85,18 +91,20 @@ def fingerprints(docs: DataFrame, hash_of=wide_hash, id_col: str = "doc_id", tex
     mixed = alike.where("low <> high").select("hash", F.lit(True).alias("mixed"))
 
     third = lambda n: F.floor(n / 3).cast("int")
-    lent = both.select(F.col("before.k").alias("k"), F.col("before.h").alias("h"), F.left("text", third(F.col("before.n"))).alias("lent")).dropDuplicates(["k", "h"])
+    lent = both.select(F.col("prev_k").alias("k"), F.col("prev_h").alias("h"), F.left("text", third(F.col("prev_n"))).alias("lent")).dropDuplicates(["k", "h"])
     edited = F.concat(F.left("text", (F.col("n") - third(F.col("n"))).cast("int")), F.col("lent"))
     own = both.join(lent, ["k", "h"]).withColumn("edited", edited).withColumn("edited_canon", canonical(F.col("edited")))
     own = own.select(
-        "_id", F.col("n").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "hash", "digest",
-        hash_of(F.col("edited_canon")).alias("edited_hash"), F.unhex(F.sha2("edited_canon", 256)).alias("edited_digest"),
-        ((F.col("after.hash") == F.col("hash")) & (F.col("after.digest") == F.col("digest"))).alias("_near_next"),
+        "_id", F.col("n").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "hash", "more",
+        hash_of(F.col("edited_canon")).alias("edited_hash"), seeded(F.col("edited_canon"), 3).alias("edited_more"), "near_next",
     )
-    own = own.join(mixed, "hash", "left").join(mixed.select(F.col("hash").alias("edited_hash"), F.col("mixed").alias("edited_mixed")), "edited_hash", "left")
-    name = lambda h, d, m: F.when(F.col(m), F.concat(F.col(h), F.lit("-"), F.lower(F.hex(d)))).otherwise(F.col(h))
-    near = (F.col("hash") == F.col("edited_hash")) & (F.col("digest") == F.col("edited_digest"))
+    # Broadcast: of n texts, n * n / 2**129 pairs are expected to collide in 128 bits, so
+    # that the table is empty for any corpus (of 10**12 texts, with odds of 10**15 to 1).
+    own = own.join(F.broadcast(mixed), "hash", "left")
+    own = own.join(F.broadcast(mixed.select(F.col("hash").alias("edited_hash"), F.col("mixed").alias("edited_mixed"))), "edited_hash", "left")
+    name = lambda h, m, mixed: F.lower(F.concat(F.hex(h), F.when(mixed, F.concat(F.lit("-"), F.lpad(F.hex(m), 16, "0"))).otherwise("")))
+    near = (F.col("hash") == F.col("edited_hash")) & (F.col("more") == F.col("edited_more"))
     return own.select(
-        F.col("_id").alias(id_col), "n_chars", "edited_sha256", name("hash", "digest", "mixed").alias("fingerprint"),
-        name("edited_hash", "edited_digest", "edited_mixed").alias("edited_fingerprint"), near.cast("double").alias("near_edited"), F.col("_near_next").cast("double").alias("near_next"),
+        F.col("_id").alias(id_col), "n_chars", "edited_sha256", name("hash", "more", F.col("mixed")).alias("fingerprint"),
+        name("edited_hash", "edited_more", F.col("edited_mixed")).alias("edited_fingerprint"), near.cast("double").alias("near_edited"), F.col("near_next").cast("double").alias("near_next"),
     )
