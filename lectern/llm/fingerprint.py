@@ -30,7 +30,7 @@ def wide_hash(canon: Column) -> Column:
     return F.unhex(F.concat(half(1), half(2)))
 
 
-#: Stands for a null id among the keys.
+#: Stands for a null id among the keys; as an id of its own it counts as null.
 NO_ID = -(1 << 63)
 
 
@@ -73,7 +73,8 @@ def fingerprints(docs: DataFrame, hash_of=wide_hash, id_col: str = "doc_id", tex
     its own next. Other columns are ignored, whatever their names. Ids are integers.
     """
     key = F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID))
-    texts = docs.select(F.col(id_col).alias("_id"), key.alias("k"), text_or_empty(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
+    # all three uses of the texts below need these columns and no others, so they share one shuffle
+    texts = docs.select(key.alias("k"), text_or_empty(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
     canon = texts.select("k", "h", F.length("text").alias("n"), canonical(F.col("text")).alias("canon"))
     hashes = written(canon.select("k", "h", "n", hash_of(F.col("canon")).alias("hash"), seeded(F.col("canon"), 3).alias("more")), "hashes")
 
@@ -95,7 +96,7 @@ def fingerprints(docs: DataFrame, hash_of=wide_hash, id_col: str = "doc_id", tex
     edited = F.concat(F.left("text", (F.col("n") - third(F.col("n"))).cast("int")), F.col("lent"))
     own = both.join(lent, ["k", "h"]).withColumn("edited", edited).withColumn("edited_canon", canonical(F.col("edited")))
     own = own.select(
-        "_id", F.col("n").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "hash", "more",
+        "k", F.col("n").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "hash", "more",
         hash_of(F.col("edited_canon")).alias("edited_hash"), seeded(F.col("edited_canon"), 3).alias("edited_more"), "near_next",
     )
     # Broadcast: of n texts, n * n / 2**129 pairs are expected to collide in 128 bits, so
@@ -105,6 +106,6 @@ def fingerprints(docs: DataFrame, hash_of=wide_hash, id_col: str = "doc_id", tex
     name = lambda h, m, mixed: F.lower(F.concat(F.hex(h), F.when(mixed, F.concat(F.lit("-"), F.lpad(F.hex(m), 16, "0"))).otherwise("")))
     near = (F.col("hash") == F.col("edited_hash")) & (F.col("more") == F.col("edited_more"))
     return own.select(
-        F.col("_id").alias(id_col), "n_chars", "edited_sha256", name("hash", "more", F.col("mixed")).alias("fingerprint"),
+        F.nullif(F.col("k"), F.lit(NO_ID)).cast(docs.schema[id_col].dataType).alias(id_col), "n_chars", "edited_sha256", name("hash", "more", F.col("mixed")).alias("fingerprint"),
         name("edited_hash", "edited_more", F.col("edited_mixed")).alias("edited_fingerprint"), near.cast("double").alias("near_edited"), F.col("near_next").cast("double").alias("near_next"),
     )
