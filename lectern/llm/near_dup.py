@@ -10,15 +10,10 @@ densification, banded buckets and star-shaped candidate edges.
    which are confirmed on full sets. A centre that fails with some members may hide
    links between others, so the classes of such buckets, while these hold several
    components, are searched again: linked sets share one of their rarest shingles,
-   counting as many of each as the threshold asks for, so these are buckets again. In each
-   round up to ``CENTRES`` members of a bucket, of its small components first, are
-   centres for the members of other components, and then leave; a bucket is done when
-   its members are of one component. Members without a rare shingle in common,
-   as texts around one shared passage, never meet. A bucket that is still large after
-   ``WHOLE`` rounds holds many texts just below the threshold; it is split by another
-   row of the signature each round, in each of a pair's buckets by another one. That
-   step alone is not exact: a pair at the threshold ``t`` stays together in each of
-   its buckets with a probability of ``t`` a round.
+   counting as many of each as the threshold asks for, so these are buckets again. Every
+   two members of such a bucket that still holds several components are tested: classes
+   are dealt to blocks, by the largest of their buckets, and two blocks that meet in a
+   bucket are tested against each other once, as a product of matrices.
 4. Confirmed edges are joined to components by label propagation with shortcuts.
 
 Every aggregate has a partial step, and the sides of every join with a hot key are
@@ -40,10 +35,10 @@ ROWS = 5
 #: A link at the threshold shares no band with this probability at most.
 MISS = 1e-8
 ATTEMPTS = 4096
-#: Centres of one bucket in one round of the search by rare shingles.
-CENTRES = 16
-#: After ``WHOLE`` rounds, buckets of more than ``LARGE`` members are split in each round.
-WHOLE, LARGE = 3, 64
+#: Classes, and shingles, of one block on average, at most.
+LARGE, BLOCK_SHINGLES = 128, 1 << 18
+#: Pairs of blocks in one Arrow batch, and columns of one matrix.
+BLOCK_ROWS, COLUMNS = 8, 4096
 
 
 def bands_for(at_least: int, of: int) -> int:
@@ -92,13 +87,13 @@ def signatures(sets: list[np.ndarray], bins: int) -> np.ndarray:
     return sig
 
 
-def band_hashes(sets: list[np.ndarray], bands: int) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of each set's bands, and the first row of each."""
+def band_hashes(sets: list[np.ndarray], bands: int) -> np.ndarray:
+    """The hashes of each set's bands."""
     sig = signatures(sets, bands * ROWS).reshape(len(sets), bands, ROWS)
     h = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(sets), bands))
     for k in range(ROWS):
         h = mix(h * _M1 ^ sig[:, :, k])
-    return h.view(np.int64), np.ascontiguousarray(sig[:, :, 0]).view(np.int64)
+    return h.view(np.int64)
 
 
 def _sketches(docs: DataFrame, bands: int, size: int, least: int) -> DataFrame:
@@ -108,12 +103,11 @@ def _sketches(docs: DataFrame, bands: int, size: int, least: int) -> DataFrame:
         sets = shingle_sets(as_bytes(b.column(1)), size)
         large = [k for k, s in enumerate(sets) if len(s) >= least]
         of: list = [None] * len(sets)
-        firsts: list = [None] * len(sets)
-        for k, h, f in zip(large, *band_hashes([sets[k] for k in large], bands)) if large else []:
-            of[k], firsts[k] = h, f
-        return [b.column(0), [len(s) for s in sets], [class_digest(s) for s in sets], of, firsts]
+        for k, h in zip(large, band_hashes([sets[k] for k in large], bands)) if large else []:
+            of[k] = h
+        return [b.column(0), [len(s) for s in sets], [class_digest(s) for s in sets], of]
 
-    return map_arrow(docs, columns, f"_id {kind}, n bigint, cls binary, bands array<bigint>, firsts array<bigint>")
+    return map_arrow(docs, columns, f"_id {kind}, n bigint, cls binary, bands array<bigint>")
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -171,13 +165,85 @@ def _rarest(sets: DataFrame, at_least: int, of: int) -> DataFrame:
     return kept.where(of * (F.col("n_shared") + 1 - F.col("place")) >= at_least * F.col("n")).select("key", "cls", "n")
 
 
-def _centres(members: DataFrame) -> DataFrame:
-    """``(key, members, centres)``: up to ``CENTRES`` members of each bucket of several components, and its size."""
-    slot = F.pmod(F.xxhash64("cls"), F.lit(CENTRES)).alias("slot")
-    dealt = members.groupBy("key", "comp", slot).agg(F.count("*").alias("size"), F.min(F.struct("cls", "n")).alias("m"))
-    of_slot = [F.min(F.when(F.col("slot") == k, F.struct("size", "comp", F.col("m.cls").alias("cls"), F.col("m.n").alias("n")))) for k in range(CENTRES)]
-    found = dealt.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum("size").alias("members"), F.array(*of_slot).alias("centres"))
-    return found.where("lo < hi").select("key", "members", F.array_compact("centres").alias("centres"))
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many elements each of the sets ``left`` shares with each of ``right``."""
+    out = np.zeros((len(left), len(right)), dtype=np.int64)
+    a, b = np.concatenate(left), np.concatenate(right)
+    both = np.intersect1d(a, b)
+    rows_a, rows_b = (np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (left, right))
+
+    def cells(values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(both, values), len(both) - 1)
+        hit = both[at] == values
+        order = np.argsort(at[hit], kind="stable")
+        return at[hit][order], rows[hit][order]
+
+    if not len(both):
+        return out
+    (cols_a, rows_a), (cols_b, rows_b) = cells(a, rows_a), cells(b, rows_b)
+    for start in range(0, len(both), COLUMNS):
+        part = []
+        for cols, rows, n in ((cols_a, rows_a, len(left)), (cols_b, rows_b, len(right))):
+            lo, hi = np.searchsorted(cols, (start, start + COLUMNS))
+            m = np.zeros((n, min(COLUMNS, len(both) - start)), dtype=np.float32)
+            m[rows[lo:hi], cols[lo:hi] - start] = 1
+            part.append(m)
+        out += np.rint(part[0] @ part[1].T).astype(np.int64)
+    return out
+
+
+def block_links(left: list[np.ndarray], right: list[np.ndarray], at_least: int, of: int) -> list[tuple[int, int]]:
+    """Links between two lists of sets: as many as join what all links between them join."""
+    common = _common(left, right)
+    sizes = np.add.outer([len(s) for s in left], [len(s) for s in right])
+    top = list(range(len(left) + len(right)))
+
+    def find(x: int) -> int:
+        while top[x] != x:
+            top[x] = x = top[top[x]]
+        return x
+
+    out = []
+    for a, b in zip(*(x.tolist() for x in np.nonzero(of * common >= at_least * (sizes - common)))):
+        x, y = find(a), find(len(left) + b)
+        if x != y:
+            top[x] = y
+            out.append((a, b))
+    return out
+
+
+def _searched(members: DataFrame, sets: DataFrame, labels: DataFrame, at_least: int, of: int) -> DataFrame:
+    """Links ``(a, b)`` that join all linked sets meeting in a bucket ``(key, cls, n)`` of several components."""
+    members = _labelled(members, labels)
+    found = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.sum("n").alias("shingles")).where("lo < hi")
+    parts = F.ceil(F.greatest(F.col("size") / LARGE, F.col("shingles") / BLOCK_SHINGLES)).alias("parts")
+    members = written(members.join(written(found.select("key", "size", parts), "mixed"), "key"), "members")
+    # a bucket's classes mostly have the same home, so that they make few blocks
+    home = members.groupBy("cls", "comp").agg(F.max(F.struct("size", "key", "parts")).alias("home"))
+    home = written(home.select("cls", "comp", F.xxhash64("home.key", F.pmod(F.xxhash64("cls"), "home.parts")).alias("block")), "homes")
+    blocks = home.join(sets, "cls").groupBy("block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.collect_list(F.struct("cls", "shingles")).alias("sets"))
+    blocks = written(blocks, "blocks")
+    met = written(members.select("key", "cls").join(home.select("cls", "block"), "cls").select("key", "block").distinct(), "met")
+    pairs = met.join(met.select("key", F.col("block").alias("other")), "key").where("block <= other").select("block", "other").distinct()
+    ends = blocks.select("block", "lo", "hi")
+    ends = pairs.join(ends, "block").join(ends.select(F.col("block").alias("other"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2")), "other")
+    pairs = written(ends.where("least(lo, lo2) < greatest(hi, hi2)").select("block", "other"), "pairs")
+    both = pairs.join(blocks.select("block", F.col("sets.cls").alias("a"), F.col("sets.shingles").alias("left")), "block")
+    both = both.join(blocks.select(F.col("block").alias("other"), F.col("sets.cls").alias("b"), F.col("sets.shingles").alias("right")), "other")
+
+    def columns(batch: pa.RecordBatch) -> list:
+        out: list = [[], []]
+        a, left, b, right = batch.columns
+        for k in range(batch.num_rows):
+            own, other = ([x.values.to_numpy() for x in c[k].values] for c in (left, right))
+            for i, j in block_links(own, other, at_least, of):
+                out[0].append(a[k].values[i])
+                out[1].append(b[k].values[j])
+        return [[x.as_py() for x in c] for c in out]
+
+    links = map_arrow(both.select("a", "left", "b", "right"), columns, "a binary, b binary")
+    members.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BLOCK_ROWS))
+    return written(links.where("a <> b"), "links")
 
 
 def near_duplicates(docs: DataFrame, at_least: int = 80, of: int = 100, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,7 +263,7 @@ def near_duplicates(docs: DataFrame, at_least: int = 80, of: int = 100, size: in
     # smaller sets reach the threshold only with equal sets
     least = next(n for n in range(1, 10**6) if n * of >= at_least * (n + 1)) if at_least < of else 10**9
     sketches = written(_sketches(docs, bands, size, least), "sketches")
-    classes = written(sketches.where("cls is not null").groupBy("cls").agg(F.min("_id").alias("doc"), F.first("bands").alias("bands"), F.first("firsts").alias("firsts")), "classes")
+    classes = written(sketches.where("cls is not null").groupBy("cls").agg(F.min("_id").alias("doc"), F.first("bands").alias("bands")), "classes")
 
     rows = classes.where("bands is not null").select("cls", F.posexplode("bands").alias("band", "key"))
     buckets = rows.groupBy("key").agg(F.min("cls").alias("center"), F.max("cls").alias("last")).where("center < last").drop("last")
@@ -215,35 +281,10 @@ def near_duplicates(docs: DataFrame, at_least: int = 80, of: int = 100, size: in
     mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     residue = members.join(written(mixed, "mixed"), "key", "left_semi").select("cls").distinct()
     residue = written(sets.join(residue, "cls", "left_semi").dropDuplicates(["cls"]), "residue")
-    firsts = written(classes.select("cls", "firsts").join(residue.select("cls"), "cls", "left_semi"), "firsts")
-    members = written(_rarest(residue, at_least, of), "members")
-    level, fresh = 0, True
-    while True:
-        members = _labelled(members, labels)
-        active = written(_centres(members), "active")
-        if not active.limit(1).count():
-            break
-        level += 1
-        members = members.join(active, "key")
-        pairs = members.select("cls", "n", "comp", F.explode("centres").alias("c")).where("c.comp <> comp")
-        pairs = pairs.where(of * F.least("n", "c.n") >= at_least * F.greatest("n", "c.n"))
-        pairs = pairs.select(F.least("c.cls", "cls").alias("center"), F.greatest("c.cls", "cls").alias("cls")).distinct()
-        # a pair that meets again in a later round is tested again, which costs less than keeping all tests
-        new = written(_links(_confirmed(pairs, sets, at_least, of)), "links")
-        links = links.unionByName(new)
-        # labels that lag behind cost tests, not links; they are renewed after rounds 1, 2, 4, 8, ...
-        fresh = fresh and not new.limit(1).count()
-        if not fresh and level & (level - 1) == 0:
-            labels, fresh = components(links), True
-        members = members.where(~F.array_contains("centres.cls", F.col("cls")))
-        if level >= WHOLE:
-            row = F.element_at("firsts", (F.pmod(F.xxhash64("key", F.lit(level)), F.lit(bands)) + 1).cast("int"))
-            split = F.when(F.col("members") > LARGE, F.xxhash64("key", row)).otherwise(F.col("key"))
-            members = members.join(firsts, "cls").withColumn("key", split)
-        members = written(members.select("key", "cls", "n"), "members")
-
-    if not fresh:
-        labels = components(links)
+    found = _searched(written(_rarest(residue, at_least, of), "members"), residue, labels, at_least, of)
+    if found.limit(1).count():
+        labels = components(links.unionByName(found))
+
     found = written(labels.join(classes.select(F.col("cls").alias("node"), "doc"), "node"), "nodes")
     smallest = written(found.groupBy("label").agg(F.min("doc").alias("smallest")), "smallest")
     found = found.join(smallest, "label").select(F.col("node").alias("cls"), "smallest")

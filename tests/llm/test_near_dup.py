@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.llm import near_dup as nd
 from lectern.llm.common import word_hashes
@@ -101,3 +102,36 @@ def test_components(spark):
     df = spark.createDataFrame([(b"%03d" % a, b"%03d" % b) for a, b in edges], "a binary, b binary")
     got = {int(bytes(r.node)): int(bytes(r.label)) for r in nd.components(df).collect()}
     assert got == {x: 0 if x < 100 else 100 if x < 200 else 200 for e in edges for x in e}
+
+
+def overlapping(count=80):
+    """Windows of one sequence, each with a copy longer by a word: links hide among overlaps just below 0.85, and linked sets share one rare shingle."""
+    words = [f"w{k % count}" for k in range(count + 10)]
+    texts = [" ".join(words[k : k + 10]) for k in range(count)]
+    texts += [f"{t} x{k}" for k, t in enumerate(texts)]
+    random.Random(7).shuffle(texts)
+    return list(enumerate(texts))
+
+
+def test_large_buckets_lose_no_links(spark, monkeypatch):
+    sketches = nd._sketches
+    one = F.when(F.col("bands").isNotNull(), F.array(F.lit(0).cast("long")))
+    monkeypatch.setattr(nd, "_sketches", lambda *a: sketches(*a).withColumn("bands", one))  # all meet in one bucket
+    monkeypatch.setattr(nd, "LARGE", 4)
+    # what an earlier version had for the search of large buckets
+    monkeypatch.setattr(nd, "WHOLE", 0, raising=False)
+    monkeypatch.setattr(nd, "CENTRES", 1, raising=False)
+    rows = overlapping()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in nd.near_duplicates(docs, 85).collect()}
+    assert got == {i: c for i, (_, c, _) in brute(rows, 85).items()}
+
+
+def test_block_links():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 60, size=rng.integers(20, 60))).astype(np.int64) for _ in range(30)]
+    common = nd._common(sets[:12], sets[12:])
+    assert common.tolist() == [[len(np.intersect1d(a, b)) for b in sets[12:]] for a in sets[:12]]
+    links = nd.block_links(sets, sets, 50, 100)
+    edges = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if 100 * len(np.intersect1d(a, b)) >= 50 * len(np.union1d(a, b))]
+    assert set(links) <= set(edges) and len(links) < len(edges)
