@@ -271,7 +271,11 @@ def near_duplicates(docs: DataFrame, at_least: int = 80, of: int = 100, size: in
     pairs = written(star.select("center", "cls").distinct(), "pairs")
     wanted = pairs.select("cls").union(pairs.select("center")).distinct()
     ids = classes.join(wanted, "cls", "left_semi").select(F.col("doc").alias("_id")).distinct()
-    sets = written(_sets(docs.join(ids.hint("shuffle_hash"), "_id", "left_semi"), size), "sets")
+    wanted_docs = docs.join(ids.hint("shuffle_hash"), "_id", "left_semi")
+    # null ids, of which there may be many, would be one key of a join
+    if ids.where("_id is null").limit(1).count():
+        wanted_docs = wanted_docs.unionByName(docs.where("_id is null"))
+    sets = written(_sets(wanted_docs, size), "sets")
     tested = written(_confirmed(pairs, sets, at_least, of), "confirmed")
     links = _links(tested)
     labels = components(links)

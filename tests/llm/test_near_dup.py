@@ -135,3 +135,12 @@ def test_block_links():
     links = nd.block_links(sets, sets, 50, 100)
     edges = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if 100 * len(np.intersect1d(a, b)) >= 50 * len(np.union1d(a, b))]
     assert set(links) <= set(edges) and len(links) < len(edges)
+
+
+def test_null_id_as_centre(spark):
+    """A class that only a null id has is linked like any other, and hides no links when it is a centre."""
+    words = [f"w{k}" for k in range(400)]
+    texts = [" ".join(words[:k] + ["new"] + words[k + 1 :]) for k in (0, 200, 399)]
+    texts.sort(key=lambda t: nd.class_digest(nd.shingle_sets([t.encode()])[0]))
+    docs = spark.createDataFrame([(None, texts[0]), (7, texts[1]), (9, texts[2])], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in nd.near_duplicates(docs, 85).collect()} == {None: 7, 7: 7, 9: 7}
