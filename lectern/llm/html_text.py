@@ -38,6 +38,8 @@ ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))
 NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 
 RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "noembed", "xmp"}
+#: What ends such an element, whatever its text looks like.
+RAW_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I | re.A) for tag in RAW}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "rp", "rt", "ruby",
     "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
@@ -89,24 +91,21 @@ def blocks(page: str) -> list[tuple[str, str]]:
             if text:
                 out.append(("chrome" if chrome else "article" if articles else "main" if mains else "open", text))
 
-    skip_to = ""
-    for m in TOKEN.finditer(page):
-        token = m[0]
+    at = 0
+    while at < len(page):
+        m = TOKEN.match(page, at)
+        token, at = m[0], m.end()
         if token[0] != "<" or token == "<":
-            if not skip_to:
-                parts.append(token)
+            parts.append(token)
             continue
         if token[1] in "!?":
             continue
         tag = NAME.match(token)[1].lower()
         ends = token[1] == "/"
-        if skip_to:
-            if ends and tag == skip_to:
-                skip_to = ""
-            continue
         if tag in RAW:
             if not ends and not token.endswith("/>"):
-                skip_to = tag
+                end = RAW_ENDS[tag].search(page, at)
+                at = end.start() if end else len(page)
             continue
         if tag in INLINE and not (chrome and tag == chrome):
             continue

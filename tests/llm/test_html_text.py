@@ -2,6 +2,7 @@ import html
 import random
 import re
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -20,6 +21,23 @@ def texts(page):
     return [t for z, t in found if z == "article"]
 
 
+@pytest.mark.parametrize(
+    "raw",
+    [
+        "<script>for(var i=0;i<n;i++){t(i);}</script>",
+        "<SCRIPT>if (a<b) x = 'it';</Script >",
+        """<script>s = "don't <b"; // it's</script>""",
+        """<script>s = '</scripts>' + "<a href='";</script>""",
+        "<style>a::before{content:'<b'}</style>",
+        "<title>a<b and c's</title>",
+        "<script><!-- i<n </script>",
+    ],
+)
+def test_raw_text_ends_at_its_end_tag(raw):
+    assert h.blocks(f"{raw}<article><p>Story</p></article>") == [("article", "Story")]
+    assert h.blocks(f"<p>Before</p>{raw[: raw.rindex('</')]}") == [("open", "Before")]
+
+
 def test_blocks():
     page = """<html><head><title>No</title></head><body><header>Top</header><nav><ul><li>Home</ul></nav>
     <div class="cookie-notice"><div>We use</div> cookies</div><article class=post><header><h1>The  title</h1></header>
