@@ -6,6 +6,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of one Arrow batch: small, since a text may be long.
-BATCH_ROWS = 128
+#: Rows and bytes of a batch that a function gets at once; a longer text stands alone.
+BATCH_ROWS, BATCH_BYTES = 128, 1 << 24
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,9 +46,43 @@ def written(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     This cuts lineage: a lost executor costs a read, not a recomputation.
     """
     path = scratch(df.sparkSession, name)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     out = df.write.option("compression", "zstd")
     (out.partitionBy(*by) if by else out).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._written_to = path
+    return back
+
+
+#: Paths that the scopes now open have written, the innermost last.
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Remove, at the end, what ``written`` wrote inside, but for the tables handed to the function given.
+
+    Those pass to the scope around, if there is one. No table that a lazy frame still reads may be left out.
+    """
+    own: list[str] = []
+    kept: list[DataFrame] = []
+    _SCOPES.append(own)
+    try:
+        yield lambda df: kept.append(df) or df
+    finally:
+        _SCOPES.remove(own)
+        stay = [df._written_to for df in kept]
+        if _SCOPES:
+            _SCOPES[-1].extend(stay)
+        for path in own:
+            if path not in stay:
+                _remove(spark, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def ranked(df: DataFrame, *order: Column, to: str = "rank") -> DataFrame:
@@ -71,15 +106,27 @@ def map_arrow(df: DataFrame, columns: Callable[[pa.RecordBatch], list], schema:
 def stream_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterable[list]], schema: str) -> DataFrame:
     """Map a partition's Arrow batches, in order, to lists of the columns of ``schema``."""
     to = arrow_schema(schema)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in function(batches):
+        for columns in function(part for b in batches for part in parts(b)):
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(columns, to)], schema=to)
 
     return df.mapInArrow(run, schema)
 
 
+def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of ``BATCH_ROWS`` rows and ``BATCH_BYTES`` bytes at most; a larger row stands alone.
+
+    Spark bounds the bytes of what it sends (``spark.sql.execution.arrow.maxBytesPerBatch``).
+    """
+    if batch.num_rows > 1 and (batch.num_rows > BATCH_ROWS or batch.nbytes > BATCH_BYTES):
+        half = batch.num_rows // 2
+        yield from parts(batch.slice(0, half))
+        yield from parts(batch.slice(half))
+    else:
+        yield batch
+
+
 def arrow_schema(schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -1,40 +1,56 @@
-"""Main text of web pages: markup first, then a host's suffix array for what markup leaves open.
+"""Main text of web pages by a host's suffix array, with markup as the bound of what repetition can tell.
 
 A page is split into blocks. Elements that are menus, headers, footers, sidebars,
-notices, adverts, forms or comments by tag, role or class name never count. If the
-page marks its article (``article``, else ``main``), the article's blocks are the
-text. Otherwise the blocks that remain are open, and the host decides: the token
-streams of everything outside articles, of many pages of one host, are concatenated
-and their suffix array shows the long substrings repeated across distinct pages.
-Blocks covered by those are boilerplate; unique runs stay.
-
-A host's pages are dealt by hash to groups of bounded size, each with its own array;
-what a site repeats on every page is repeated in every group.
+notices, adverts, forms or comments by tag, role or class name never count as text.
+The other blocks are candidates: those of the article if the page marks one
+(``article``, else ``main``), otherwise all.
+
+Then the host decides. The token streams of its distinct pages are concatenated and
+put in suffix order, which brings long substrings together that stand on several pages.
+What is covered by a substring on ``MIN_PAGES`` distinct pages is boilerplate; unique
+runs stay. Inside a marked article that would take quotations and passages that
+articles share, so there only what stands on most pages of a large site is
+boilerplate (``SITE_SHARE``, ``SITE_PAGES``). A covered run goes out of a block if it is the
+whole block or long inside it.
+
+A host's distinct pages are dealt by a hash of their content to parts of about
+``PART_TOKENS`` tokens, each with its own array. Of each substring, the parts tell on how
+many of their pages it stands, and the sums over the host decide, so the deal changes no
+result outside articles. Inside them a part only tells what stands on half of the asked
+share of its pages. Copies of one page are one page.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, arrow_schema, map_arrow, written
+from .common import map_arrow, scope, stream_arrow, windows, word_hashes, written
+
+#: Tokens of a substring that counts as long.
+LONG = 8
+#: Distinct pages of a host that must hold it.
+MIN_PAGES = 3
+#: Inside marked articles: the share of a host's distinct pages that must hold it, and the pages that such a host must have.
+SITE_SHARE, SITE_PAGES = 0.6, 50
+#: Tokens whose suffixes meet in one array, on average.
+PART_TOKENS = 1 << 19
 
-#: Pages of a host whose streams meet in one suffix array, on average.
-GROUP_PAGES = 512
-#: Tokens of a substring that counts as long, and the share of a group's pages (two at least) that must hold it.
-LONG, SHARE = 8, 0.2
-#: Share of a block's tokens that must be covered.
-COVERED = 0.8
+#: Where a token stands: in what is never text, in open text, in a marked article.
+OUTSIDE, OPEN, ARTICLE = 0, 1, 2
 
-TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>"']|"[^"]*"|'[^']*')*(?:>|\Z)|[^<]+|<""", re.S
-)
-ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
+#: Text up to the next tag, comment or declaration.
+TEXT = re.compile(r"(?:[^<]++|<(?![a-zA-Z/!?]))++")
+COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<(?:/(?![a-zA-Z])|[!?])[^>]*+(?:>|\Z)", re.S)
+#: The part of a tag up to its end or to a quoted value.
+PLAIN = re.compile(r"""[^>=]*+(?:=\s*+(?!["'])[^>=]*+)*+(?:=\s*+)?""")
+ATTRIBUTE = re.compile(r"""(?<=[\s/"'])([^\s=/>"']++)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++))""")
 NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 
 RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "noembed", "xmp"}
@@ -57,6 +73,11 @@ CHROME_WORDS = {
 }
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 WORD_BREAK = re.compile(r"[^a-z0-9]+")
+#: Words after which the word before is what names an element.
+NEUTRAL = {
+    "area", "bar", "block", "bottom", "box", "button", "buttons", "col", "column", "container", "content", "form", "group", "holder", "icon", "icons", "inner", "item", "items", "left", "link", "links", "list", "outer",
+    "panel", "region", "right", "section", "slot", "thread", "top", "unit", "wrap", "wrapper", "zone",
+}
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
@@ -71,9 +92,35 @@ def is_chrome(tag: str, token: str, in_article: bool) -> bool:
         return True
     if tag in HEADINGS or tag in ("main", "a", "span", "b", "i", "em", "strong"):
         return False
-    names = WORD_BREAK.split(CAMEL.sub(" ", f"{attributes.get('class', '')} {attributes.get('id', '')}").lower())
-    names = set(names) - {"header"} if tag == "article" or in_article else names
-    return not CHROME_WORDS.isdisjoint(names)
+    names = CAMEL.sub("-", f"{attributes.get('class', '')} {attributes.get('id', '')}").lower().split()
+    return any(names_furniture(x, tag == "article" or in_article) for x in names)
+
+
+def names_furniture(name: str, in_article: bool) -> bool:
+    """Whether a class name says furniture: by its first word, or by the last that tells anything; articles have headers of their own."""
+    words = [w for w in WORD_BREAK.split(name) if w and not w.isdigit()]
+    while len(words) > 1 and words[-1] in NEUTRAL:
+        words.pop()
+    if not words or in_article and "header" in words:
+        return False
+    return words[-1] in CHROME_WORDS or words[0] in CHROME_WORDS and words[0] not in ("promo", "related", "reply", "notice", "social", "share", "sharing")
+
+
+def tag_end(page: str, at: int, unclosed: dict[str, int]) -> int:
+    """Where the tag at ``at`` ends; a value whose quote is never closed is no quoted value.
+
+    ``unclosed`` keeps the place from which on a quote does not occur, so that a page
+    is read once whatever its quotes.
+    """
+    while True:
+        at = PLAIN.match(page, at).end()
+        if at >= len(page) or page[at] == ">":
+            return min(at + 1, len(page))
+        quote = page[at]
+        close = page.find(quote, at + 1) if at < unclosed.get(quote, len(page)) else -1
+        if close < 0:
+            unclosed[quote] = min(at, unclosed.get(quote, at))
+        at = close + 1 if close >= 0 else at + 1
 
 
 def blocks(page: str) -> list[tuple[str, str]]:
@@ -91,19 +138,23 @@ def blocks(page: str) -> list[tuple[str, str]]:
             if text:
                 out.append(("chrome" if chrome else "article" if articles else "main" if mains else "open", text))
 
-    at = 0
+    at, unclosed = 0, {}
     while at < len(page):
-        m = TOKEN.match(page, at)
-        token, at = m[0], m.end()
-        if token[0] != "<" or token == "<":
-            parts.append(token)
+        m = TEXT.match(page, at)
+        if m:
+            parts.append(m[0])
+            at = m.end()
             continue
-        if token[1] in "!?":
+        m = COMMENT.match(page, at)
+        if m:
+            at = m.end()
             continue
+        start, at = at, tag_end(page, at, unclosed)
+        token = page[start:at]
         tag = NAME.match(token)[1].lower()
         ends = token[1] == "/"
         if tag in RAW:
-            if not ends and not token.endswith("/>"):
+            if not ends:
                 end = RAW_ENDS[tag].search(page, at)
                 at = end.start() if end else len(page)
             continue
@@ -139,12 +190,35 @@ def blocks(page: str) -> list[tuple[str, str]]:
     return out
 
 
-def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The suffixes in order, and the tokens that each shares with the one before; by prefix doubling."""
+def zoned(page: str) -> tuple[list[str], list[int]]:
+    """The blocks of a page, and the zone of each."""
+    found = blocks(page)
+    best = next((z for z in ("article", "main") if any(x == z for x, _ in found)), "open")
+    own = OPEN if best == "open" else ARTICLE
+    return [t for _, t in found], [own if z == best else OUTSIDE for z, _ in found]
+
+
+def stream(texts: list[str], zones: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens of a page's blocks as 32-bit hashes, the zone of each, and each block's number of tokens."""
+    h, counts = word_hashes([t.encode("utf-8", "replace") for t in texts], lower=False) if texts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    return (h & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.repeat(np.array(zones, dtype=np.int8), counts), counts
+
+
+def whole_windows(part: np.ndarray, long: int) -> np.ndarray:
+    """The places at which ``long`` tokens begin that all lie in one part."""
+    n = len(part) - long + 1
+    return np.flatnonzero(part[:n] == part[long - 1 :]) if n > 0 else np.zeros(0, dtype=np.int64)
+
+
+def suffix_array(tokens: np.ndarray, depth: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes in order, and how many tokens each shares with the one before; by prefix doubling.
+
+    With ``depth``, order and shared tokens are exact up to so many tokens.
+    """
     n = len(tokens)
     rank = np.unique(tokens, return_inverse=True)[1]
     levels, k = [rank], 1
-    while rank.max(initial=0) < n - 1 and k < n:
+    while rank.max(initial=0) < n - 1 and k < min(n, depth or n):
         second = np.concatenate((rank[k:] + 1, np.zeros(min(k, n), dtype=rank.dtype)))[:n]
         rank = np.unique(rank.astype(np.int64) * (n + 1) + second, return_inverse=True)[1]
         levels.append(rank)
@@ -160,81 +234,151 @@ def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.concatenate(([0], shared))
 
 
-def covered(streams: list[list[str]], long: int = LONG, share: float = SHARE) -> list[np.ndarray]:
-    """For each page's tokens whether a substring of ``long`` tokens around it stands on ``share`` of the pages, two at least."""
-    number: dict[str, int] = {}
-    ids = [[number.setdefault(w, len(number)) for w in s] for s in streams]
-    # a separator of its own ends each page, so that no substring crosses pages
-    flat = np.array([x for k, s in enumerate(ids) for x in [*s, -1 - k]], dtype=np.int64)
-    page = np.repeat(np.arange(len(ids)), [len(s) + 1 for s in ids])
-    order, shared = suffix_array(flat)
-    group = np.cumsum(shared < long)
-    pairs = np.unique(np.stack((group, page[order])), axis=1)
-    pages = np.bincount(pairs[0], minlength=group.max(initial=0) + 1)
-    least = max(2, int(np.ceil(share * len(ids))))
-    starts = order[pages[group] >= least]
-    mask = np.zeros(len(flat) + 1, dtype=np.int64)
-    np.add.at(mask, starts, 1)
-    np.add.at(mask, np.minimum(starts + long, len(flat)), -1)
-    hit = np.cumsum(mask[:-1]) > 0
-    ends = np.cumsum([len(s) + 1 for s in ids])
-    return [hit[e - len(s) - 1 : e - 1] for e, s in zip(ends, ids)]
+def substrings(tokens: list[np.ndarray], zones: list[np.ndarray], is_open: bool, is_site: bool, long: int = LONG) -> tuple:
+    """The long substrings of some pages of a host, from the suffix array of their streams.
+
+    ``(hashes, in_article, n_pages, holders)``: each substring of ``long`` tokens, whether inside
+    articles, on how many of the pages, and on which it could be text. Outside articles, all
+    are told if the host has open pages; inside, if it is a site, those on half the share.
+    """
+    flat, zone = np.concatenate(tokens), np.concatenate(zones)
+    page = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
+    starts = whole_windows(page * 3 + zone, long)
+    order, shared = suffix_array(flat, long)
+    group = np.empty(len(flat), dtype=np.int64)
+    group[order] = np.cumsum(shared < long)
+    inside = zone[starts] == ARTICLE
+    wanted = np.where(inside, is_site, is_open)
+    starts, inside = starts[wanted], inside[wanted]
+    at = np.lexsort((page[starts], group[starts] * 2 + inside))
+    starts = starts[at]
+    key, on = group[starts] * 2 + inside[at], page[starts]
+    new_key = np.diff(key, prepend=-1) != 0
+    new = new_key | (np.diff(on, prepend=-1) != 0)
+    n_pages = np.bincount(np.cumsum(new_key)[new] - 1) if len(key) else np.zeros(0, dtype=np.int64)
+    first = starts[new_key]
+    in_article = zone[first] == ARTICLE
+    told = ~in_article | (n_pages >= SITE_SHARE / 2 * len(tokens))
+    holder = zone[starts] != OUTSIDE
+    of = np.cumsum(new_key) - 1
+    pairs = np.unique(np.stack((of[holder], on[holder])), axis=1)
+    pairs = pairs[:, told[pairs[0]]]
+    kept = np.flatnonzero(told)
+    cuts = np.searchsorted(pairs[0], kept[1:])
+    holders = np.split(pairs[1], cuts) if len(kept) else []
+    hashes = windows(flat.astype(np.uint64), long)[first[told]].view(np.int64) if len(kept) else np.zeros(0, dtype=np.int64)
+    return hashes, in_article[told], n_pages[told], holders
 
 
-def _unique_text(streams: list[list[tuple[str, str]]]) -> list[str]:
-    """The open blocks of each page that its host's repetitions do not cover."""
-    words = [[(zone, text, text.split()) for zone, text in s] for s in streams]
+def unique_text(page: str, in_article: list[int] | None, outside: list[int] | None, long: int = LONG) -> str:
+    """The page's text without the runs that the given substrings cover."""
+    texts, zones = zoned(page)
+    if not in_article and not outside:
+        return " ".join(t for t, z in zip(texts, zones) if z != OUTSIDE)
+    flat, zone, counts = stream(texts, zones)
+    starts = whole_windows(zone, long)
+    hashes = windows(flat.astype(np.uint64), long)[starts].view(np.int64)
+    inside = zone[starts] == ARTICLE
+    hit = np.where(inside, np.isin(hashes, np.array(in_article or [], dtype=np.int64)), np.isin(hashes, np.array(outside or [], dtype=np.int64)))
+    mask = np.zeros(len(flat) + 1, dtype=np.int64)
+    np.add.at(mask, starts[hit], 1)
+    np.add.at(mask, starts[hit] + long, -1)
+    covered = np.cumsum(mask[:-1]) > 0
     out = []
-    for own, hit in zip(words, covered([[w for _, _, ws in s for w in ws] for s in words])):
-        at, kept = 0, []
-        for zone, text, ws in own:
-            if zone == "open" and hit[at : at + len(ws)].mean() < COVERED:
-                kept.append(text)
-            at += len(ws)
-        out.append(" ".join(kept))
-    return out
+    for text, z, end, n in zip(texts, zones, np.cumsum(counts).tolist(), counts.tolist()):
+        own = covered[end - n : end]
+        if z == OUTSIDE or own.all():
+            continue
+        # a run that only reaches into a block from another takes nothing of it
+        edges = np.flatnonzero(np.diff(own, prepend=False, append=False)).reshape(-1, 2)
+        for lo, hi in edges.tolist():
+            own[lo:hi] = hi - lo >= long
+        out.append(" ".join(w for w, gone in zip(text.split(), own) if not gone) if own.any() else text)
+    return " ".join(out)
+
+
+def _streams(rows: DataFrame) -> DataFrame:
+    """``(host, page, tokens, zones, is_open)`` of each distinct content, once for each input partition at most."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+        seen: set[tuple[int, bytes]] = set()
+        for b in batches:
+            out: list[list] = [[], [], [], [], []]
+            for host, page, text in zip(*(c.to_pylist() for c in b.columns)):
+                if (host, page) in seen:
+                    continue
+                seen.add((host, page))
+                flat, zone, _ = stream(*zoned(text))
+                for to, x in zip(out, (host, page, flat.view(np.int32), zone, bool((zone == OPEN).any()))):
+                    to.append(x)
+            yield out
+
+    return stream_arrow(rows.select("host", "page", "html"), each, "host bigint, page binary, tokens array<int>, zones array<tinyint>, is_open boolean")
 
 
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def _substrings(dealt: DataFrame) -> DataFrame:
+    """``(host, hash, in_article, n, pages)`` of each part's substrings."""
+
+    def told(pages: list[bytes], tokens: list[np.ndarray], zones: list[np.ndarray], host: int, is_open: bool, is_site: bool) -> list:
+        if not (is_open or is_site) or not sum(map(len, tokens)):
+            return [[], [], [], [], []]
+        hashes, in_article, n, holders = substrings(tokens, zones, is_open, is_site)
+        return [[host] * len(hashes), hashes, in_article, n, [[pages[k] for k in x] for x in holders]]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+        part, last = None, None
+        pages, tokens, zones = [], [], []
+        for b in batches:
+            for k in range(b.num_rows):
+                own, page = tuple(b.column(c)[k].as_py() for c in range(4)), b.column(4)[k].as_py()
+                if own != part:
+                    if part is not None:
+                        yield told(pages, tokens, zones, part[0], part[2], part[3])
+                    part, last, pages, tokens, zones = own, None, [], [], []
+                if page != last:
+                    pages.append(page)
+                    tokens.append(b.column(5)[k].values.to_numpy().view(np.uint32))
+                    zones.append(b.column(6)[k].values.to_numpy())
+                    last = page
+        if part is not None:
+            yield told(pages, tokens, zones, part[0], part[2], part[3])
+
+    return stream_arrow(dealt.select("host", "part", "is_open", "is_site", "page", "tokens", "zones"), each, "host bigint, hash bigint, in_article boolean, n bigint, pages array<binary>")
+
+
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", part_tokens: int = PART_TOKENS) -> DataFrame:
     """``(id, url, text)`` for each row of ``pages``: the main text.
 
     Character references are decoded, white space inside a block becomes one space,
     blocks are joined in page order by one space. Null and empty pages have an empty
-    text; repeated rows each get a row; null ids and urls stay null, and pages without a
-    host form one host; other columns are ignored, whatever their names.
+    text; repeated rows each get a row and count as one page; null ids and urls stay
+    null, and pages without a host form one host; other columns are ignored, whatever
+    their names.
     """
-    kind = pages.schema[id_col].dataType.simpleString()
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.xxhash64(host).alias("host"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
+    rows = rows.withColumn("page", F.unhex(F.md5("html")))
+
+    with scope(pages.sparkSession) as kept:
+        streams = written(_streams(rows), "streams")
+        hosts = streams.groupBy("host").agg(F.countDistinct("page").alias("n_pages"), F.max("is_open").alias("is_open"), F.sum(F.size("tokens")).alias("n_tokens"))
+        parts = F.ceil(F.col("n_tokens") / part_tokens).alias("parts")
+        hosts = written(hosts.select("host", "n_pages", "is_open", (F.col("n_pages") >= SITE_PAGES).alias("is_site"), parts), "hosts")
+        dealt = streams.drop("is_open").join(hosts.where("parts > 0").drop("n_pages"), "host").withColumn("part", F.pmod(F.xxhash64("page"), "parts"))
+        dealt = dealt.repartition("host", "part").sortWithinPartitions("host", "part", "page")
+        found = written(_substrings(dealt), "substrings")
+        common = found.groupBy("host", "hash", "in_article").agg(F.sum("n").alias("n")).join(hosts.select("host", "n_pages"), "host")
+        common = common.where(F.when(F.col("in_article"), F.col("n") >= SITE_SHARE * F.col("n_pages")).otherwise(F.col("n") >= MIN_PAGES))
+        common = written(common.select("host", "hash", "in_article"), "common")
+        marked = found.join(common, ["host", "hash", "in_article"]).select("host", F.explode("pages").alias("page"), "hash", "in_article")
+        in_article = F.collect_set(F.when(F.col("in_article"), F.col("hash"))).alias("in_article")
+        marks = marked.groupBy("host", "page").agg(in_article, F.collect_set(F.when(~F.col("in_article"), F.col("hash"))).alias("outside"))
+        marks = kept(written(marks, "marks"))
 
     def columns(b: pa.RecordBatch) -> list:
-        texts, zones, residues = [], [], []
-        for page in b.column(3).to_pylist():
-            found = blocks(page)
-            present = {zone for zone, _ in found}
-            best = next((z for z in ("article", "main") if z in present), None)
-            texts.append(None if best is None else " ".join(t for z, t in found if z == best))
-            rest = [(z, t) for z, t in found if z in ("chrome", "open")]
-            zones.append([z for z, _ in rest])
-            residues.append([t for _, t in rest])
-        return [b.column(0), b.column(1), b.column(2), texts, zones, residues]
-
-    parsed = written(map_arrow(rows, columns, f"id {kind}, url string, host string, text string, zones array<string>, residues array<string>"), "pages")
-    hosts = written(parsed.groupBy("host").agg(F.ceil(F.count("*") / GROUP_PAGES).alias("groups")), "hosts")
-    dealt = parsed.select("id", "url", "host", F.col("text").isNull().alias("is_open"), "zones", "residues").join(hosts, "host")
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("id", "url", "residues"), "groups")).drop("groups")
-    schema = f"id {kind}, url string, text string"
-    to = arrow_schema(schema)
-
-    def decide(table: pa.Table) -> pa.Table:
-        is_open = table.column("is_open").to_pylist()
-        streams = [list(zip(z, t)) for z, t in zip(table.column("zones").to_pylist(), table.column("residues").to_pylist())]
-        texts = _unique_text(streams)
-        at = [k for k, x in enumerate(is_open) if x]
-        picked = table.take(pa.array(at, pa.int64()))
-        return pa.table([picked.column("id"), picked.column("url"), pa.array([texts[k] for k in at], pa.string())], schema=to)
-
-    pages.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    opened = dealt.groupBy("host", "part").applyInArrow(decide, schema)
-    both = parsed.where("text is not null").select("id", "url", "text").unionByName(opened)
-    return both.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text")
+        texts, inner, outer = (b.column(k).to_pylist() for k in (2, 3, 4))
+        return [b.column(0), b.column(1), [unique_text(*x) for x in zip(texts, inner, outer)]]
+
+    kind = pages.schema[id_col].dataType.simpleString()
+    joined = rows.join(marks, ["host", "page"], "left").select("id", "url", "html", "in_article", "outside")
+    return map_arrow(joined, columns, f"id {kind}, url string, text string").withColumnsRenamed({"id": id_col, "url": url_col})

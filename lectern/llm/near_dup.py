@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _M1, _S32, as_bytes, map_arrow, mix, slices, text_or_empty, windows, word_hashes, written
+from .common import _M1, _S32, as_bytes, map_arrow, mix, scope, slices, text_or_empty, windows, word_hashes, written
 
 ROWS = 5
 #: A link at the threshold shares no band with this probability at most.
@@ -37,8 +37,8 @@ MISS = 1e-8
 ATTEMPTS = 4096
 #: Classes, and shingles, of one block on average, at most.
 LARGE, BLOCK_SHINGLES = 128, 1 << 18
-#: Pairs of blocks in one Arrow batch, and columns of one matrix.
-BLOCK_ROWS, COLUMNS = 8, 4096
+#: Columns of one matrix.
+COLUMNS = 4096
 
 
 def bands_for(at_least: int, of: int) -> int:
@@ -242,7 +242,6 @@ def _searched(members: DataFrame, sets: DataFrame, labels: DataFrame, at_least:
         return [[x.as_py() for x in c] for c in out]
 
     links = map_arrow(both.select("a", "left", "b", "right"), columns, "a binary, b binary")
-    members.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BLOCK_ROWS))
     return written(links.where("a <> b"), "links")
 
 
@@ -258,7 +257,11 @@ def near_duplicates(docs: DataFrame, at_least: int = 80, of: int = 100, size: in
     texts are linked by their texts only; a null id is no component's smallest if
     others are there. Other columns are ignored, whatever their names.
     """
-    docs = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"))
+    with scope(docs.sparkSession) as kept:
+        return kept(written(_near_duplicates(docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text")), at_least, of, size), "near-dup")).withColumnRenamed("_id", id_col)
+
+
+def _near_duplicates(docs: DataFrame, at_least: int, of: int, size: int) -> DataFrame:
     bands = bands_for(at_least, of)
     # smaller sets reach the threshold only with equal sets
     least = next(n for n in range(1, 10**6) if n * of >= at_least * (n + 1)) if at_least < of else 10**9
@@ -295,5 +298,5 @@ def near_duplicates(docs: DataFrame, at_least: int = 80, of: int = 100, size: in
     of_class = classes.join(found, "cls", "left").select("cls", F.coalesce("smallest", "doc").alias("_component"))
     component = F.when(F.col("cls").isNull(), F.col("_id")).otherwise(F.col("_component"))
     return sketches.join(written(of_class, "component"), "cls", "left").select(
-        F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("_id")).alias("kept")
+        "_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("_id")).alias("kept")
     )
