@@ -77,14 +77,29 @@ def scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
             _SCOPES[-1].extend(stay)
         for path in own:
             if path not in stay:
-                _remove(spark, path)
+                remove(spark, path)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder in whatever file system it lies."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """Plan and run with a session setting, which has its old value afterwards."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def ranked(df: DataFrame, *order: Column, to: str = "rank") -> DataFrame:
     """Add each row's place from 1 in the order, without all rows in one task.
 

@@ -1,11 +1,12 @@
 """Line deduplication with levelled sorted runs of line hashes.
 
-The lines seen so far are kept as runs: Parquet tables of distinct line hashes,
-sorted by hash, each with the smallest document id that holds the line. Documents
-come in batches of ascending ids. A batch's distinct hashes are merge-anti-joined
-with the runs; what no run holds becomes a run of level 0. When a level has
-``FANOUT`` runs, they are compacted into one run of the next level, so a batch meets
-few runs however many came before it.
+The lines seen so far are kept as runs: bucketed tables of distinct line hashes,
+sorted by hash in each bucket, each with the smallest document id that holds the line.
+Documents come in batches of ascending ids. A batch's distinct hashes, dealt to the same
+buckets, are merge-anti-joined with the runs, which are neither shuffled nor sorted for
+it; what no run holds becomes a run of level 0. When a level has ``FANOUT`` runs, they
+are merged bucket by bucket into one run of the next level, so a batch meets few runs
+however many came before it.
 
 A line goes if its hash is in a run of an earlier batch, or if a smaller id of its
 own batch holds it.
@@ -14,6 +15,7 @@ own batch holds it.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from functools import reduce
 
 import numpy as np
@@ -22,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, map_arrow, scratch, text_or_empty, written
+from .common import as_bytes, map_arrow, remove, scope, scratch, setting, text_or_empty, written
 
 FANOUT = 2
 BATCHES = 4
@@ -46,48 +48,82 @@ def line_hash(line: bytes, least: int = MIN_CHARS) -> bytes | None:
     return xxhash.xxh3_128_digest(key) if _counts(key, least) else None
 
 
+#: Lets Spark trust the order inside a bucket that is one file.
+SORTED_BUCKETS = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+
+
 class LineRuns:
-    """The runs of one corpus under ``root``, a path in a shared folder."""
+    """The runs of one corpus under ``root``, a path in a shared folder.
 
-    def __init__(self, spark: SparkSession, root: str, fanout: int = FANOUT):
+    ``buckets`` is fixed for all runs; by default as many as the session shuffles to.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, fanout: int = FANOUT, buckets: int | None = None):
         self.spark, self.root, self.fanout, self.made = spark, root, fanout, 0
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.name = f"lectern_lines_{uuid.uuid4().hex}"
         self.levels: list[list[str]] = []
 
-    def _write(self, run: DataFrame) -> str:
-        path = f"{self.root}/run-{self.made}"
+    def _write(self, rows: DataFrame) -> str:
+        """A table of ``rows``, which lie in the partitions of the buckets already, by one file for each bucket."""
+        table = f"{self.name}_{self.made}"
         self.made += 1
-        run.repartition("hash").sortWithinPartitions("hash").write.option("compression", "zstd").parquet(path)
-        return path
+        rows.write.format("parquet").option("compression", "zstd").option("path", f"{self.root}/{table}").bucketBy(self.buckets, "hash").sortBy("hash").saveAsTable(table)
+        return table
 
-    def _read(self, path: str) -> DataFrame:
-        return self.spark.read.schema("hash binary, owner bigint").parquet(path)
+    def _drop(self, table: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        remove(self.spark, f"{self.root}/{table}")
 
     def runs(self) -> list[DataFrame]:
-        return [self._read(p) for level in self.levels for p in level]
+        return [self.spark.table(t) for level in self.levels for t in level]
+
+    def drop(self) -> None:
+        """Remove all runs."""
+        for level in self.levels:
+            for table in level:
+                self._drop(table)
+        self.levels = []
 
     def add(self, lines: DataFrame) -> DataFrame:
         """Add a batch ``(id, hash)`` of ids above all earlier ones; returns the ``(id, hash)`` to remove."""
-        own = written(lines.groupBy("hash").agg(F.min("id").alias("owner"), F.max("id").alias("last")), "batch")
-        new = own
-        for run in self.runs():
-            new = new.join(run.hint("merge"), "hash", "left_anti")
-        new = written(new, "new")
-        seen = own.join(new, "hash", "left_anti").select("hash", F.lit(None).cast("bigint").alias("owner"))
-        repeated = written(seen.unionByName(new.where("owner < last").select("hash", "owner")), "repeated")
+        with setting(self.spark, SORTED_BUCKETS, "true"):
+            dealt = lines.groupBy("hash").agg(F.min("id").alias("owner"), F.max("id").alias("last"))
+            batch = self._write(dealt.repartition(self.buckets, "hash"))
+            own = self.spark.table(batch)
+            run = self._write(self.unseen(own).select("hash", "owner"))
+            new = self.spark.table(run).select("hash", F.lit(True).alias("is_new"))
+            known = own.hint("merge").join(new, "hash", "left").where("is_new is null or owner < last")
+            repeated = written(known.select("hash", F.when(F.col("is_new"), F.col("owner")).alias("owner")), "repeated")
+            self._drop(batch)
+            self._push(0, run)
         gone = lines.join(repeated, "hash").where("owner is null or id > owner").select("id", "hash").distinct()
-        self._push(0, self._write(new.select("hash", "owner")))
         return written(gone, "gone")
 
-    def _push(self, level: int, path: str) -> None:
+    def unseen(self, own: DataFrame) -> DataFrame:
+        """The rows of ``own`` whose hash no run has."""
+        for run in self.runs():
+            own = own.join(run.hint("merge"), "hash", "left_anti")
+        return own
+
+    def _push(self, level: int, table: str) -> None:
         if level == len(self.levels):
             self.levels.append([])
-        self.levels[level].append(path)
+        self.levels[level].append(table)
         if len(self.levels[level]) >= self.fanout:
-            merged = self._write(reduce(DataFrame.unionByName, map(self._read, self.levels[level])))
+            merged = self._write(reduce(_merged, map(self.spark.table, self.levels[level])))
+            for t in self.levels[level]:
+                self._drop(t)
             self.levels[level] = []
             self._push(level + 1, merged)
 
 
+def _merged(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two runs, which share no hash, as one: a join of their buckets."""
+    b = b.withColumnRenamed("owner", "other")
+    return a.hint("merge").join(b, "hash", "full_outer").select("hash", F.coalesce("owner", "other").alias("owner"))
+
+
 def _lines(docs: DataFrame, least: int) -> DataFrame:
     """The distinct ``(id, hash)`` of each row's lines that count."""
 
@@ -105,9 +141,11 @@ def lines_to_remove(docs: DataFrame, batches: int = BATCHES, min_chars: int = MI
     cuts = docs.where("id is not null").agg(F.percentile_approx("id", [k / batches for k in range(1, batches)], 1000)).first()[0] or []
     cuts = sorted(set(cuts))
     batch = reduce(lambda rest, k: F.when(F.col("id") <= cuts[k], k).otherwise(rest), reversed(range(len(cuts))), F.lit(len(cuts)))
-    lines = written(_lines(docs.where("id is not null"), min_chars).withColumn("batch", batch), "lines", by=["batch"])
-    runs = LineRuns(spark, scratch(spark, "runs"))
-    gone = [runs.add(lines.where(F.col("batch") == k).select("id", "hash")) for k in range(len(cuts) + 1)]
+    with scope(spark) as kept:
+        lines = written(_lines(docs.where("id is not null"), min_chars).withColumn("batch", batch), "lines", by=["batch"])
+        runs = LineRuns(spark, scratch(spark, "runs"))
+        gone = [kept(runs.add(lines.where(F.col("batch") == k).select("id", "hash"))) for k in range(len(cuts) + 1)]
+        runs.drop()
     return reduce(DataFrame.unionByName, gone)
 
 

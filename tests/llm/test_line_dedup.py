@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.llm import line_dedup as ld
-from lectern.llm.common import scratch
+from lectern.llm.common import scratch, setting
 
 
 def key(line):
@@ -60,3 +60,18 @@ def test_nulls_repeats_and_no_rows(spark):
     assert got == sorted([("4", 0, "a shared line\nx"), ("4", 0, "a shared line\ny"), ("None", 0, "a shared line\nz"), ("9", 1, "x"), ("None", 0, "")])
     assert ld.dedup_lines(docs.limit(0)).collect() == []
     assert ld.dedup_lines(docs.where(F.col("doc_id").isNull())).count() == 2
+
+
+def test_runs_are_neither_shuffled_nor_sorted_again(spark):
+    runs = ld.LineRuns(spark, scratch(spark, "runs"), buckets=4)
+    for b in range(3):
+        runs.add(spark.createDataFrame([(10 * b + k, bytes([b, k])) for k in range(8)], "id long, hash binary"))
+    with setting(spark, ld.SORTED_BUCKETS, "true"):
+        own = spark.table(runs._write(spark.createDataFrame([(bytes([1, k]), k, k) for k in range(10)], "hash binary, owner long, last long").repartition(4, "hash")))
+        merged = ld._merged(*runs.runs())
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (runs.unseen(own), merged)]
+        assert {bytes(r.hash)[1] for r in runs.unseen(own).collect()} == {8, 9}
+    for plan in plans:
+        assert "SortMergeJoin" in plan and "Exchange" not in plan and " Sort " not in plan
+    runs.drop()
+    assert not runs.runs()
