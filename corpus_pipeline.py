@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import bpe, line_dedup, mixing, near_dup, quality
-from lectern.llm.common import written
+from lectern.llm.common import remove, scope, written
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -81,8 +81,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what each returns is written and read again."""
+    """All stages over ``documents``; what each returns is written and read again.
+
+    When a stage's rows are written, its own tables and the rows it read are removed.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    read = None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scope(spark) as kept:
+            docs = kept(written(stage(spark, docs, sf_dir), f"stage-{name}"))
+        if read is not None:
+            remove(spark, read)
+        read = docs._written_to
     return STAGES[-1][1](spark, docs, sf_dir)
