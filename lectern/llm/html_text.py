@@ -14,7 +14,7 @@ boilerplate (``SITE_SHARE``, ``SITE_PAGES``). A covered run goes out of a block
 whole block or long inside it.
 
 A host's distinct pages are dealt by a hash of their content to parts of about
-``PART_TOKENS`` tokens, each with its own array. Of each substring, the parts tell on how
+``PART_BYTES`` bytes, each with its own array. Of each substring, the parts tell on how
 many of their pages it stands, and the sums over the host decide, so the deal changes no
 result outside articles. Inside them a part only tells what stands on half of the asked
 share of its pages. Copies of one page are one page.
@@ -39,8 +39,8 @@ LONG = 8
 MIN_PAGES = 3
 #: Inside marked articles: the share of a host's distinct pages that must hold it, and the pages that such a host must have.
 SITE_SHARE, SITE_PAGES = 0.6, 50
-#: Tokens whose suffixes meet in one array, on average.
-PART_TOKENS = 1 << 19
+#: Bytes of the pages whose suffixes meet in one array, on average.
+PART_BYTES = 1 << 20
 
 #: Where a token stands: in what is never text, in open text, in a marked article.
 OUTSIDE, OPEN, ARTICLE = 0, 1, 2
@@ -234,12 +234,12 @@ def suffix_array(tokens: np.ndarray, depth: int | None = None) -> tuple[np.ndarr
     return order, np.concatenate(([0], shared))
 
 
-def substrings(tokens: list[np.ndarray], zones: list[np.ndarray], is_open: bool, is_site: bool, long: int = LONG) -> tuple:
+def substrings(tokens: list[np.ndarray], zones: list[np.ndarray], is_site: bool, long: int = LONG) -> tuple:
     """The long substrings of some pages of a host, from the suffix array of their streams.
 
     ``(hashes, in_article, n_pages, holders)``: each substring of ``long`` tokens, whether inside
     articles, on how many of the pages, and on which it could be text. Outside articles, all
-    are told if the host has open pages; inside, if it is a site, those on half the share.
+    are told; inside, if the host is a site, those on half the share.
     """
     flat, zone = np.concatenate(tokens), np.concatenate(zones)
     page = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
@@ -248,8 +248,8 @@ def substrings(tokens: list[np.ndarray], zones: list[np.ndarray], is_open: bool,
     group = np.empty(len(flat), dtype=np.int64)
     group[order] = np.cumsum(shared < long)
     inside = zone[starts] == ARTICLE
-    wanted = np.where(inside, is_site, is_open)
-    starts, inside = starts[wanted], inside[wanted]
+    if not is_site:
+        starts, inside = starts[~inside], inside[~inside]
     at = np.lexsort((page[starts], group[starts] * 2 + inside))
     starts = starts[at]
     key, on = group[starts] * 2 + inside[at], page[starts]
@@ -298,55 +298,52 @@ def unique_text(page: str, in_article: list[int] | None, outside: list[int] | No
 
 
 def _streams(rows: DataFrame) -> DataFrame:
-    """``(host, page, tokens, zones, is_open)`` of each distinct content, once for each input partition at most."""
+    """``(host, page, tokens, zones)`` of each distinct content, once for each input partition at most."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         seen: set[tuple[int, bytes]] = set()
         for b in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], []]
             for host, page, text in zip(*(c.to_pylist() for c in b.columns)):
                 if (host, page) in seen:
                     continue
                 seen.add((host, page))
                 flat, zone, _ = stream(*zoned(text))
-                for to, x in zip(out, (host, page, flat.view(np.int32), zone, bool((zone == OPEN).any()))):
+                for to, x in zip(out, (host, page, flat.view(np.int32), zone)):
                     to.append(x)
             yield out
 
-    return stream_arrow(rows.select("host", "page", "html"), each, "host bigint, page binary, tokens array<int>, zones array<tinyint>, is_open boolean")
+    return stream_arrow(rows.select("host", "page", "html"), each, "host bigint, page binary, tokens array<int>, zones array<tinyint>")
 
 
 def _substrings(dealt: DataFrame) -> DataFrame:
     """``(host, hash, in_article, n, pages)`` of each part's substrings."""
 
-    def told(pages: list[bytes], tokens: list[np.ndarray], zones: list[np.ndarray], host: int, is_open: bool, is_site: bool) -> list:
-        if not (is_open or is_site) or not sum(map(len, tokens)):
+    def told(part: tuple, pages: list[bytes], tokens: list[np.ndarray], zones: list[np.ndarray]) -> list:
+        if not sum(map(len, tokens)):
             return [[], [], [], [], []]
-        hashes, in_article, n, holders = substrings(tokens, zones, is_open, is_site)
-        return [[host] * len(hashes), hashes, in_article, n, [[pages[k] for k in x] for x in holders]]
+        hashes, in_article, n, holders = substrings(tokens, zones, part[2])
+        return [[part[0]] * len(hashes), hashes, in_article, n, [[pages[k] for k in x] for x in holders]]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
-        part, last = None, None
-        pages, tokens, zones = [], [], []
+        part, pages, tokens, zones = None, [], [], []
         for b in batches:
-            for k in range(b.num_rows):
-                own, page = tuple(b.column(c)[k].as_py() for c in range(4)), b.column(4)[k].as_py()
+            for own, page, own_tokens, own_zones in zip(zip(*(b.column(k).to_pylist() for k in range(3))), b.column(3).to_pylist(), b.column(4), b.column(5)):
                 if own != part:
                     if part is not None:
-                        yield told(pages, tokens, zones, part[0], part[2], part[3])
-                    part, last, pages, tokens, zones = own, None, [], [], []
-                if page != last:
+                        yield told(part, pages, tokens, zones)
+                    part, pages, tokens, zones = own, [], [], []
+                if not pages or page != pages[-1]:
                     pages.append(page)
-                    tokens.append(b.column(5)[k].values.to_numpy().view(np.uint32))
-                    zones.append(b.column(6)[k].values.to_numpy())
-                    last = page
+                    tokens.append(own_tokens.values.to_numpy().view(np.uint32))
+                    zones.append(own_zones.values.to_numpy())
         if part is not None:
-            yield told(pages, tokens, zones, part[0], part[2], part[3])
+            yield told(part, pages, tokens, zones)
 
-    return stream_arrow(dealt.select("host", "part", "is_open", "is_site", "page", "tokens", "zones"), each, "host bigint, hash bigint, in_article boolean, n bigint, pages array<binary>")
+    return stream_arrow(dealt.select("host", "part", "is_site", "page", "tokens", "zones"), each, "host bigint, hash bigint, in_article boolean, n bigint, pages array<binary>")
 
 
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", part_tokens: int = PART_TOKENS) -> DataFrame:
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", part_bytes: int = PART_BYTES) -> DataFrame:
     """``(id, url, text)`` for each row of ``pages``: the main text.
 
     Character references are decoded, white space inside a block becomes one space,
@@ -360,11 +357,10 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     rows = rows.withColumn("page", F.unhex(F.md5("html")))
 
     with scope(pages.sparkSession) as kept:
-        streams = written(_streams(rows), "streams")
-        hosts = streams.groupBy("host").agg(F.countDistinct("page").alias("n_pages"), F.max("is_open").alias("is_open"), F.sum(F.size("tokens")).alias("n_tokens"))
-        parts = F.ceil(F.col("n_tokens") / part_tokens).alias("parts")
-        hosts = written(hosts.select("host", "n_pages", "is_open", (F.col("n_pages") >= SITE_PAGES).alias("is_site"), parts), "hosts")
-        dealt = streams.drop("is_open").join(hosts.where("parts > 0").drop("n_pages"), "host").withColumn("part", F.pmod(F.xxhash64("page"), "parts"))
+        hosts = rows.groupBy("host").agg(F.countDistinct("page").alias("n_pages"), F.sum(F.octet_length("html")).alias("n_bytes"))
+        parts = F.ceil(F.col("n_bytes") / part_bytes).alias("parts")
+        hosts = written(hosts.select("host", "n_pages", (F.col("n_pages") >= SITE_PAGES).alias("is_site"), parts), "hosts")
+        dealt = _streams(rows).join(hosts.where("parts > 0").drop("n_pages"), "host").withColumn("part", F.pmod(F.xxhash64("page"), "parts"))
         dealt = dealt.repartition("host", "part").sortWithinPartitions("host", "part", "page")
         found = written(_substrings(dealt), "substrings")
         common = found.groupBy("host", "hash", "in_article").agg(F.sum("n").alias("n")).join(hosts.select("host", "n_pages"), "host")

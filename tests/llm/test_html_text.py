@@ -71,7 +71,7 @@ def brute(streams, long, least):
 def test_substrings_match_brute_force(streams, long):
     tokens = [np.array([ord(x) for x in s], dtype=np.uint32) for s in streams]
     zones = [np.full(len(s), h.OPEN, dtype=np.int8) for s in streams]
-    hashes, in_article, n, holders = h.substrings(tokens, zones, True, True, long) if any(streams) else ([], [], [], [])
+    hashes, in_article, n, holders = h.substrings(tokens, zones, True, long) if any(streams) else ([], [], [], [])
     assert not any(in_article)
     grams = {}
     for k, s in enumerate(streams):
@@ -169,7 +169,7 @@ def test_passage_on_few_pages_of_a_large_host_in_many_parts(spark):
     rows = [(k, u, p.replace("</body>", f"<p>{passage}</p></body>") if k in (5, 200, 555) else p) for k, u, p in menu_pages(600)]
     rows[7] = (7, rows[7][1], rows[7][2].replace("</body>", "<p>while this stands on two pages of the host and stays</p></body>"))
     rows[9] = (9, rows[9][1], rows[9][2].replace("</body>", "<p>while this stands on two pages of the host and stays</p></body>"))
-    got = {r.page_id: r.text for r in h.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), part_tokens=500).collect()}
+    got = {r.page_id: r.text for r in h.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), part_bytes=4000).collect()}
     for k in range(600):
         assert got[k] == story(k) + (" while this stands on two pages of the host and stays" if k in (7, 9) else "")
 
