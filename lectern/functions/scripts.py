@@ -15,7 +15,9 @@ from .text import py_strip, strip_fences
 MAX_QUESTIONS = 5
 #: Labels of the first host.
 FIRST_HOST = ["a", "host_a", "host a", "1", "first", "left", "ava"]
+#: How a turn begins in JSON that does not parse, and how its text ends.
 MARKER = r'(?Uds)"host"\s*:\s*"([^"]+)"\s*,\s*"text"\s*:\s*"'
+TAIL = r'(?Ud)\s*"\s*\}[\s,\]]*\z'
 
 
 def _field(json: Column, path: str, kind: str = "string") -> Column:
@@ -52,14 +54,19 @@ def dialogue(raw: Column) -> Column:
     )
     labels = F.regexp_extract_all(clean, F.lit(MARKER), 1)
     texts = F.slice(F.split(clean, MARKER), 2, 1 << 30)
-    of_markers = F.transform(F.arrays_zip(labels.alias("h"), texts.alias("t")), lambda x: turn(x["h"], F.regexp_replace(x["t"], r'(?Ud)\s*"\s*\}[\s,\]]*\z', "")))
+    of_markers = F.transform(F.arrays_zip(labels.alias("h"), texts.alias("t")), lambda x: turn(x["h"], F.regexp_replace(x["t"], TAIL, "")))
     found = F.when(parsed.isNotNull(), of_json).otherwise(of_markers)
     return F.coalesce(F.filter(found, lambda x: x["text"] != ""), F.array().cast("array<struct<host:string,text:string>>"))
 
 
 def alternated(turns: Column) -> Column:
     """Hosts A and B by position, whatever the labels say."""
-    return F.transform(turns, lambda x, k: F.struct(F.when(k % 2 == 0, "A").otherwise("B").alias("host"), x["text"].alias("text")))
+    return F.transform(turns, lambda x, k: F.struct(host_at(k).alias("host"), x["text"].alias("text")))
+
+
+def host_at(position: Column) -> Column:
+    """The host of a turn by its position from 0, for turns that are rows."""
+    return F.when(position % 2 == 0, "A").otherwise("B")
 
 
 SLIDES = "array<struct<type:string,heading:string,bullets:array<string>,narration:string>>"

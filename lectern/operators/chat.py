@@ -13,10 +13,12 @@ def in_scope(questions: DataFrame, texts: DataFrame) -> DataFrame:
     """``questions`` with ``in_scope``: a meaningful word of theirs is in a text of their notebook.
 
     ``questions``: ``question_id, notebook_id, question``; ``texts``: ``notebook_id, text``. Words
-    are matched as rows, so a notebook's vocabulary is in no single row or task.
+    are matched as rows, so a notebook's vocabulary is in no single row or task, and only
+    asked words are left of it before it is made distinct.
     """
-    vocabulary = texts.select("notebook_id", F.explode(meaningful_words(F.col("text"))).alias("word")).distinct()
     asked = questions.where(passes_phrases(F.col("question"))).select("question_id", "notebook_id", F.explode(meaningful_words(F.col("question"))).alias("word"))
+    words = texts.select("notebook_id", F.explode(meaningful_words(F.col("text"))).alias("word"))
+    vocabulary = words.join(asked.select("notebook_id", "word").distinct(), ["notebook_id", "word"], "left_semi").distinct()
     hit = asked.join(vocabulary, ["notebook_id", "word"], "left_semi").select("question_id").distinct().withColumn("in_scope", F.lit(True))
     return questions.join(hit, "question_id", "left").withColumn("in_scope", F.coalesce("in_scope", F.lit(False)))
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import collection_name
+from ..sources.tables import numbered
 
 
 def registry(sources: DataFrame, hash_col: str = "content_hash", order_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -71,13 +72,10 @@ def upserted(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
 
 
 def appended(table: DataFrame, rows: DataFrame, id_col: str = "id", order_col: str = "created_at") -> DataFrame:
-    """``rows`` with ids that go on from the table's largest.
-
-    Rows are few next to the table (a batch of inserts), so one task may number them.
-    """
-    last = table.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("_last"))
-    numbered = rows.drop(id_col).withColumn("_n", F.row_number().over(Window.orderBy(order_col)))
-    return numbered.join(F.broadcast(last)).withColumn(id_col, F.col("_last") + F.col("_n")).drop("_n", "_last")
+    """``rows`` with ids that go on from the table's largest, in the order of ``order_col``."""
+    last = table.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("_last"))  # one row
+    out = numbered(rows.drop(id_col), order_col, to="_n")
+    return out.join(F.broadcast(last)).withColumn(id_col, F.col("_last") + F.col("_n")).drop("_n", "_last")
 
 
 def dedup_action(has_chunks: Column, text: Column) -> Column:

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.chunk import chunks
 
 PER_COLLECTION, TOP = 3, 5
-#: Bytes of question vectors that every task may hold; more questions are asked in several rounds.
-QUESTION_BYTES = 64 << 20
+#: Vectors of one block at most, of questions and of chunks.
+ASKED, HELD = 256, 1024
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -29,37 +30,78 @@ def similarity(a: Column, b: Column, metric: str = "l2") -> Column:
     return 1 - distance(a, b)
 
 
-def scored(chunks_: DataFrame, questions: DataFrame, collection: str = "content_hash", index: str = "chunk_index", k: int = PER_COLLECTION) -> DataFrame:
-    """``(question_id, collection, index, score)``: each batch's best ``k`` chunks of each collection for each question.
+def _blocks(df: DataFrame, rows: int) -> DataFrame:
+    """``(scope, keys, vectors)``: rows ``(scope, *keys, v)`` as blocks of one scope, as many as lie together."""
+    keys = [f.name for f in df.schema if f.name not in ("scope", "v")]
+    fields = ", ".join(f"{k}: {df.schema[k].dataType.simpleString()}" for k in keys)
 
-    ``questions`` has ``question_id`` and ``embedding``. Their vectors go to every task; that is
-    checked against ``QUESTION_BYTES``, and larger sets are asked in rounds. Chunks are
-    scored by matrix products where they lie, and only the best of each batch are
-    shuffled afterwards.
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            codes = np.asarray(b.column("scope").dictionary_encode(null_encoding="encode").indices)
+            order = np.argsort(codes, kind="stable")
+            cuts = np.flatnonzero(np.diff(codes[order])) + 1
+            places = [part[i : i + rows] for part in np.split(order, cuts) for i in range(0, len(part), rows) if len(part)]
+            key_table = pa.StructArray.from_arrays([b.column(k) for k in keys], keys)
+            lists = lambda x: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, places)]), pa.int32()), x.take(pa.array(np.concatenate(places))))
+            if places:
+                yield pa.RecordBatch.from_arrays([b.column("scope").take(pa.array([x[0] for x in places])), lists(key_table), lists(b.column("v"))], ["scope", "keys", "vectors"])
+
+    return df.mapInArrow(pack, f"scope {df.schema['scope'].dataType.simpleString()}, keys array<struct<{fields}>>, vectors array<array<float>>")
+
+
+def _scores(metric: str) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    def score(asked: np.ndarray, held: np.ndarray) -> np.ndarray:
+        product = asked @ held.T
+        a, h = (asked * asked).sum(axis=1)[:, None], (held * held).sum(axis=1)[None, :]
+        return product / np.sqrt(a * h) if metric == "cosine" else 1 - (a + h - 2 * product)
+
+    return score
+
+
+def scored(
+    chunks_: DataFrame, questions: DataFrame, collection: str = "content_hash", index: str = "chunk_index", k: int = PER_COLLECTION, scope: str | None = None, top: int | None = None, metric: str = "l2"
+) -> DataFrame:
+    """``(question_id, collection, index, score)``: each block's best ``k`` chunks of each collection for each question.
+
+    ``questions`` has ``question_id``, of any type, and ``embedding``; a null vector is never found and
+    finds nothing. With ``scope``, a column of both, a question meets only the chunks of its own scope.
+    Blocks of questions are joined with blocks of chunks, by scope or each with each, and a pair
+    of blocks is one product of matrices; Spark broadcasts the questions' blocks if they are
+    small. With ``top``, only rows that can be among so many of a question are returned.
     """
-    ids = questions.select("question_id", F.size("embedding").alias("d")).agg(F.count("*").alias("n"), F.max("d").alias("d")).first()
-    rounds = max(1, -(-(ids.n * (ids.d or 1) * 8) // QUESTION_BYTES))
-    kind = chunks_.schema[collection].dataType.simpleString()
-    out = None
-    for r in range(rounds):
-        part = questions.where(F.pmod(F.xxhash64("question_id"), F.lit(rounds)) == r) if rounds > 1 else questions
-        rows = part.select("question_id", "embedding").collect()  # within QUESTION_BYTES
-        asked = [x.question_id for x in rows]
-        matrix = [np.array(x.embedding, dtype=np.float32).astype(float) for x in rows]
-
-        def score(batches: Iterator[pd.DataFrame], asked=asked, matrix=matrix) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                if not len(b) or not asked:
-                    continue
-                vectors = np.stack(b["v"].to_numpy()).astype(float)
-                for q, question in zip(asked, matrix):
-                    found = pd.DataFrame({"question_id": q, "collection": b["c"], "index": b["i"], "score": 1 - ((vectors - question) ** 2).sum(axis=1)})
-                    found = found.sort_values(["score", "index"], ascending=[False, True])
-                    yield found.groupby("collection", sort=False).head(k)
-
-        own = chunks_.select(F.col(collection).alias("c"), F.col(index).cast("bigint").alias("i"), F.col("embedding").alias("v")).mapInPandas(score, f"question_id bigint, collection {kind}, index bigint, score double")
-        out = own if out is None else out.unionByName(own)
-    return out
+    own = lambda df: F.col(scope) if scope else F.lit(0)
+    asked = _blocks(questions.where("embedding is not null").select(own(questions).alias("scope"), "question_id", F.col("embedding").cast("array<float>").alias("v")), ASKED)
+    held = chunks_.where("embedding is not null").select(own(chunks_).alias("scope"), F.col(collection).alias("c"), F.col(index).cast("bigint").alias("i"), F.col("embedding").cast("array<float>").alias("v"))
+    asked = asked.select("scope", F.col("keys.question_id").alias("q"), F.col("vectors").alias("asked"))
+    held = _blocks(held, HELD).select("scope", F.col("keys.c").alias("c"), F.col("keys.i").alias("i"), F.col("vectors").alias("held"))
+    pairs = held.join(asked, "scope") if scope else held.drop("scope").crossJoin(asked.drop("scope"))
+    score = _scores(metric)
+
+    def matrix(vectors: pa.Scalar) -> np.ndarray:
+        inner = vectors.values
+        return inner.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(inner), -1)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for q, of, c, i, on in zip(b.column("q"), b.column("asked"), b.column("c"), b.column("i"), b.column("held")):
+                scores = score(matrix(of), matrix(on))
+                codes = np.asarray(pc.rank(c.values, tiebreaker="dense")).astype(np.int64)
+                places = i.values.to_numpy()
+                rows, cols = [], []
+                for n, s in enumerate(scores):
+                    order = np.lexsort((places, -s, codes))
+                    first = np.flatnonzero(np.diff(codes[order], prepend=-1))
+                    place = np.arange(len(order)) - np.repeat(first, np.diff(first, append=len(order)))
+                    found = order[place < k]
+                    if top and len(found) > top:
+                        found = found[np.lexsort((places[found], codes[found], -s[found]))[:top]]
+                    rows.append(np.full(len(found), n))
+                    cols.append(found)
+                rows, cols = np.concatenate(rows), np.concatenate(cols)
+                yield pa.RecordBatch.from_arrays([q.values.take(pa.array(rows)), c.values.take(pa.array(cols)), i.values.take(pa.array(cols)), pa.array(scores[rows, cols])], ["question_id", "collection", "index", "score"])
+
+    kinds = questions.schema["question_id"].dataType.simpleString(), chunks_.schema[collection].dataType.simpleString()
+    return pairs.select("q", "asked", "c", "i", "held").mapInArrow(best, f"question_id {kinds[0]}, collection {kinds[1]}, index bigint, score double")
 
 
 def merged(scores: DataFrame, per_collection: int = PER_COLLECTION, top: int = TOP) -> DataFrame:

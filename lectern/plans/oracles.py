@@ -39,12 +39,11 @@ p AS (SELECT *, row_number() OVER (PARTITION BY question_id, label ORDER BY scor
 h AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, label, vec_id) AS rank FROM p WHERE place <= 3)"""
 
 
-ONE = "WITH q AS (SELECT * FROM embeddings WHERE vec_id = 0), "
 MANY = "WITH q AS (SELECT * FROM embeddings WHERE vec_id % 50 = 0), "
 PROVENANCE = (
     MANY + top("l2") + """,
 n AS (SELECT (doc_id % 15)::INT AS label, arg_min(source, doc_id) AS filename FROM documents WHERE doc_id % 15 % 3 <> 0 GROUP BY 1),
-v AS (SELECT question_id, rank, vec_id, coalesce(filename, 'unknown') AS filename, CASE WHEN vec_id % 5 <> 0 THEN vec_id % 7 END AS page, coalesce(substr(d.text, 1, 80), '') AS text, score
+v AS (SELECT question_id, rank, vec_id, coalesce(filename, 'unknown') AS filename, CASE WHEN vec_id % 5 <> 0 THEN vec_id % 7 END AS page, coalesce(d.text, '') AS text, score
       FROM h LEFT JOIN n USING (label) LEFT JOIN documents d ON d.doc_id = h.vec_id WHERE rank <= 5)
 """
 )
@@ -84,9 +83,9 @@ SELECT n_nationkey, CASE WHEN n_nationkey % 5 = 0 THEN 'admin' ELSE 'disabled' E
     "status_filter": r"SELECT source AS notebook_id, CASE WHEN regexp_matches(text, '\S') THEN 'ready' ELSE 'partial' END AS status, count(*)::BIGINT AS n FROM documents WHERE length(text) <= 20000 GROUP BY 1, 2",
     "content_signature": f"SELECT notebook_id, sha256(string_agg(content_hash, '|' ORDER BY content_hash)) AS signature FROM ({SRC}) GROUP BY 1",
     "signature_skip": f"""
-WITH a AS (SELECT notebook_id, sha256(string_agg(content_hash, '|' ORDER BY content_hash)) AS s FROM ({SRC}) GROUP BY 1),
-b AS (SELECT notebook_id, sha256(string_agg(content_hash, '|' ORDER BY content_hash)) AS t FROM ({SRC}) WHERE id < 990 GROUP BY 1)
-SELECT a.notebook_id, coalesce(s = t, false) AS skipped FROM a LEFT JOIN b USING (notebook_id)""",
+WITH s AS (SELECT *, coalesce(try_cast(substr(notebook_id, 4) AS INT) % 3 = 0, false) AND id = max(id) OVER (PARTITION BY notebook_id) AS late FROM ({SRC})),
+g AS (SELECT notebook_id, sha256(string_agg(content_hash, '|' ORDER BY content_hash)) AS s, sha256(string_agg(content_hash, '|' ORDER BY content_hash) FILTER (NOT late)) AS t FROM s GROUP BY 1)
+SELECT notebook_id, coalesce(s = t, false) AS skipped FROM g""",
     "budget_selection": BUDGET + "SELECT notebook_id, total_count, total_chars, used_count FROM b",
     "budget_texts": BUDGET + "SELECT notebook_id, id AS doc_id, chars::INT AS chars, running::BIGINT AS running FROM k WHERE NOT over",
     "duration_target": BUDGET + ", t AS (SELECT notebook_id, least(greatest(total_chars // 150, 60), 480)::INT AS seconds FROM b) SELECT notebook_id, seconds, floor(seconds * 2.5)::INT AS words FROM t",
@@ -100,14 +99,13 @@ WITH t AS (SELECT conv_id, turn, role, text, coalesce(lag(text) OVER (PARTITION
 w AS (SELECT *, {words('text')} AS a, {words('before')} AS c FROM t WHERE role = 'assistant'),
 g AS (SELECT *, CASE WHEN text = '' THEN 0 WHEN before = '' THEN 1 WHEN len(a) = 0 THEN 0 WHEN len(c) = 0 THEN 1 WHEN len(list_intersect(a, c)) / len(a) >= 0.25 THEN 0 ELSE 2 END AS k FROM w)
 SELECT conv_id, turn, k = 0 AS grounded, md5(text || CASE k WHEN 1 THEN {lit(NOT_VERIFIED)} WHEN 2 THEN {lit(NOT_FULLY_VERIFIED)} ELSE '' END) AS result FROM g""",
-    "vector_topk": ONE + top("l2") + " SELECT label, vec_id, score, place::INT AS place FROM p WHERE place <= 3",
-    "vector_topk_cosine": ONE + top("cosine") + " SELECT label, vec_id, score, place::INT AS place FROM p WHERE place <= 3",
-    "multi_collection_topk": ONE + top("l2") + " SELECT vec_id, label, score, rank::INT AS rank FROM h WHERE rank <= 5",
+    "vector_topk": MANY + top("l2") + " SELECT question_id, label, vec_id, score, place::INT AS place FROM p WHERE place <= 3",
+    "vector_topk_cosine": MANY + top("cosine") + " SELECT question_id, label, vec_id, score, place::INT AS place FROM p WHERE place <= 3",
+    "multi_collection_topk": MANY + top("cosine") + " SELECT question_id, vec_id, label, score, rank::INT AS rank FROM h WHERE rank <= 5",
     "batch_retrieval": MANY + top("l2") + " SELECT question_id, vec_id, label, score, rank::INT AS rank FROM h WHERE rank <= 5",
     "retrieval_provenance": PROVENANCE + "SELECT question_id, rank::INT AS rank, vec_id, filename, page, text, score FROM v",
     "citation_dedup": PROVENANCE + "SELECT question_id, filename, page, min(rank)::INT AS rank, filename || CASE WHEN coalesce(page, 0) <> 0 THEN ' p.' || page ELSE '' END AS label FROM v GROUP BY question_id, filename, page",
     "context_string": PROVENANCE + r"SELECT question_id, string_agg('[Source ' || rank || '] (' || filename || coalesce(', Page ' || page, '') || ')' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context FROM v GROUP BY question_id",
-    "chunk_stats": r"SELECT doc_id, 1::BIGINT AS n_chunks, 1::INT AS last_page FROM documents WHERE length(text) BETWEEN 1 AND 999 AND regexp_matches(text, '\S')",
     "hash_embedding_norm": "SELECT doc_id, 1024::INT AS dim, 1.0::DOUBLE AS norm FROM documents WHERE text <> ''",
     "content_type": r"""
 WITH n AS (SELECT page_id, regexp_extract(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', ''), '([^/]*)$', 1) || ['.PDF', '.docx', '.xyz', '', '.tar.md'][page_id % 5 + 1] AS filename FROM pages),
@@ -142,7 +140,7 @@ SELECT conv_id, turn, CASE WHEN conv_id % 5 = 0 THEN ' {broken ' ELSE text END A
 WITH c AS (SELECT conv_id, turn, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM conversations)
 SELECT conv_id, turn, 0::INT AS pos, 'A' AS host, text FROM c WHERE text <> '' UNION ALL SELECT conv_id, turn, CASE WHEN text <> '' THEN 1 ELSE 0 END::INT, 'B', 'end' FROM c""",
     "slides_parse": r"""
-WITH c AS (SELECT conv_id, turn, role, regexp_replace(substr(text, 1, 20), '^\s+|\s+$', '', 'g') AS heading FROM conversations)
+WITH c AS (SELECT conv_id, turn, role, regexp_replace(text, '^\s+|\s+$', '', 'g') AS heading FROM conversations)
 SELECT conv_id, turn, 'content' AS type, heading, 'one,' || role AS bullets, heading AS narration FROM c WHERE heading <> ''""",
     "voice_map": "SELECT event_id, ['en-US-AvaNeural', 'en-US-AndrewNeural', 'en-US-EmmaNeural', 'en-US-RyanNeural', 'en-US-AvaNeural'][user_id % 5 + 1] AS voice FROM events",
     "stand_in_models": """

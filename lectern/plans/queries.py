@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import chunk, embed, generate, guard, hashing, markdown, scripts, text
 from ..operators import admin, chat, context, registry, retrieval
 from ..sources.files import upload_verdict
+from ..sources.tables import workspace
 from ..streaming import ingest, status
 
 QUERIES: dict = {}
@@ -156,15 +157,17 @@ def status_filter(spark, sf_dir):
 
 @query
 def content_signature(spark, sf_dir):
-    return sources(spark, sf_dir).groupBy("notebook_id").agg(hashing.content_signature(F.col("content_hash")).alias("signature"))
+    return hashing.content_signatures(sources(spark, sf_dir))
 
 
 @query
 def signature_skip(spark, sf_dir):
-    """Whether a summary may be kept: the signature before the last source was added is the same only if none was."""
+    """Whether a summary may be kept: every third notebook got its newest source after the stored signature."""
     rows = sources(spark, sf_dir)
-    before = rows.where(F.col("id") < 990).groupBy("notebook_id").agg(hashing.content_signature(F.col("content_hash")).alias("old"))
-    after = rows.groupBy("notebook_id").agg(hashing.content_signature(F.col("content_hash")).alias("signature"))
+    grown = F.coalesce(F.expr("try_cast(substring(notebook_id, 4) as int)") % 3 == 0, F.lit(False))
+    newest = rows.where(grown).groupBy("notebook_id").agg(F.max("id").alias("id"))
+    before = hashing.content_signatures(rows.join(newest, ["notebook_id", "id"], "left_anti")).withColumnRenamed("signature", "old")
+    after = hashing.content_signatures(rows)
     return after.join(before, "notebook_id", "left").select("notebook_id", F.coalesce(F.col("old") == F.col("signature"), F.lit(False)).alias("skipped"))
 
 
@@ -213,54 +216,49 @@ def vectors(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").withColumnRenamed("label", "content_hash").withColumnRenamed("vec_id", "chunk_index")
 
 
-def first_vector(spark, sf_dir):
-    return vectors(spark, sf_dir).where("chunk_index = 0").select(F.col("chunk_index").alias("question_id"), "embedding")
-
-
 def many_vectors(spark, sf_dir):
     """Every vector whose id 50 divides is a question."""
     return vectors(spark, sf_dir).where("chunk_index % 50 = 0").select(F.col("chunk_index").alias("question_id"), "embedding")
 
 
-def native_top(spark, sf_dir, metric):
-    asked = first_vector(spark, sf_dir).select(F.col("embedding").alias("question"))  # one row
-    own = Window.partitionBy("content_hash").orderBy(F.desc("score"), "chunk_index")
-    rows = vectors(spark, sf_dir).join(F.broadcast(asked)).withColumn("score", F.round(retrieval.similarity(F.col("embedding"), F.col("question"), metric), 6))
+def best_of_each(spark, sf_dir, metric):
+    own = Window.partitionBy("question_id", "collection").orderBy(F.desc("score"), "index")
+    rows = retrieval.scored(vectors(spark, sf_dir), many_vectors(spark, sf_dir), metric=metric).withColumn("score", F.round("score", 6))
     best = rows.withColumn("place", F.row_number().over(own)).where("place <= 3")
-    return best.select(F.col("content_hash").alias("label"), F.col("chunk_index").alias("vec_id"), "score", "place")
+    return best.select("question_id", F.col("collection").alias("label"), F.col("index").alias("vec_id"), "score", "place")
 
 
 @query
 def vector_topk(spark, sf_dir):
-    return native_top(spark, sf_dir, "l2")
+    return best_of_each(spark, sf_dir, "l2")
 
 
 @query
 def vector_topk_cosine(spark, sf_dir):
-    return native_top(spark, sf_dir, "cosine")
+    return best_of_each(spark, sf_dir, "cosine")
 
 
-def hits(spark, sf_dir, asked):
-    found = retrieval.scored(vectors(spark, sf_dir), asked).withColumn("score", F.round("score", 6))
+def hits(spark, sf_dir, metric="l2"):
+    found = retrieval.scored(vectors(spark, sf_dir), many_vectors(spark, sf_dir), metric=metric).withColumn("score", F.round("score", 6))
     return retrieval.merged(found)
 
 
 @query
 def multi_collection_topk(spark, sf_dir):
-    return hits(spark, sf_dir, first_vector(spark, sf_dir)).select(F.col("index").alias("vec_id"), F.col("collection").alias("label"), "score", "rank")
+    return hits(spark, sf_dir, "cosine").select("question_id", F.col("index").alias("vec_id"), F.col("collection").alias("label"), "score", "rank")
 
 
 @query
 def batch_retrieval(spark, sf_dir):
-    return hits(spark, sf_dir, many_vectors(spark, sf_dir)).select("question_id", F.col("index").alias("vec_id"), F.col("collection").alias("label"), "score", "rank")
+    return hits(spark, sf_dir).select("question_id", F.col("index").alias("vec_id"), F.col("collection").alias("label"), "score", "rank")
 
 
 def provenance(spark, sf_dir):
     """Chunk texts are documents by id; files are named for two of three collections."""
-    chunks = vectors(spark, sf_dir).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_index"), F.substring("text", 1, 80).alias("document")), "chunk_index", "left")
+    chunks = vectors(spark, sf_dir).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_index"), F.col("text").alias("document")), "chunk_index", "left")
     chunks = chunks.withColumn("document", F.coalesce("document", F.lit(""))).withColumn("page", F.when(F.col("chunk_index") % 5 != 0, F.col("chunk_index") % 7))
     files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 15).cast("int").alias("content_hash"), F.col("source").alias("filename"))
-    return retrieval.with_provenance(hits(spark, sf_dir, many_vectors(spark, sf_dir)), chunks, files.where("content_hash % 3 <> 0"))
+    return retrieval.with_provenance(hits(spark, sf_dir), chunks, files.where("content_hash % 3 <> 0"))
 
 
 @query
@@ -285,11 +283,10 @@ def ask_notebooks(spark, sf_dir):
     rows = sources(spark, sf_dir)
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("notebook_id"), F.col("text").alias("question"))
     asked = chat.in_scope(asked, rows)
-    entries = registry.registry(rows)
-    chunks = retrieval.rebuilt(entries).withColumn("embedding", embed.embedder(dimension=64)(F.col("document")))
-    vectors_ = asked.where("in_scope").withColumn("embedding", embed.embedder(dimension=64, query=True)(F.col("question"))).select("question_id", "embedding")
-    own = rows.select("notebook_id", "content_hash").distinct().join(asked.select("notebook_id", "question_id"), "notebook_id").select("question_id", F.col("content_hash").alias("collection"))
-    scores = retrieval.scored(chunks, vectors_).join(own, ["question_id", "collection"], "left_semi")
+    chunks = retrieval.rebuilt(registry.registry(rows)).withColumn("embedding", embed.embedder(dimension=64)(F.col("document")))
+    vectors_ = asked.where("in_scope").withColumn("embedding", embed.embedder(dimension=64, query=True)(F.col("question")))
+    own = rows.join(asked.where("in_scope").select("notebook_id").distinct(), "notebook_id", "left_semi").select("notebook_id", "content_hash").distinct()
+    scores = retrieval.scored(chunks.join(own, "content_hash"), vectors_, scope="notebook_id", top=retrieval.TOP)
     files = rows.select("id", "content_hash", F.concat(F.col("notebook_id"), F.lit(".txt")).alias("filename"))
     contexts = context.context_strings(retrieval.with_provenance(retrieval.merged(scores), chunks, files))
     return chat.answers(asked, contexts).select("question_id", "notebook_id", "in_scope", "answer", F.length("context").alias("context_chars"))
@@ -305,9 +302,8 @@ def chunks(spark, sf_dir):
 
 @query
 def chunk_stats(spark, sf_dir):
-    """Texts under a chunk's size are one chunk."""
-    short = sources(spark, sf_dir).where(F.length("text").between(1, 999))
-    return chunk.chunks(short, F.col("text"), "id").groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("n_chunks"), F.max("page").alias("last_page"))
+    made = chunk.chunks(sources(spark, sf_dir), F.col("text"), "id")
+    return made.groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("n_chunks"), F.max("page").alias("last_page"), F.sum(F.length("document")).alias("n_chars"))
 
 
 @query
@@ -394,10 +390,9 @@ def persisted_messages(spark, sf_dir):
 
 @query
 def host_alternation(spark, sf_dir):
-    own = turns(spark, sf_dir).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
-    labelled = F.transform("t", lambda x: F.struct(scripts.host(F.when(x["role"] == "user", "Ava").otherwise("host_b")).alias("host"), x["text"].alias("text"), x["turn"].alias("turn")))
-    both = own.select("conv_id", F.posexplode(F.arrays_zip(labelled.alias("before"), scripts.alternated(labelled).alias("after"))).alias("pos", "x"))
-    return both.select("conv_id", "pos", F.col("x.before.host").alias("label"), F.col("x.after.host").alias("host"))
+    pos = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
+    label = scripts.host(F.when(F.col("role") == "user", "Ava").otherwise("host_b"))
+    return turns(spark, sf_dir).select("conv_id", pos.alias("pos"), label.alias("label")).withColumn("host", scripts.host_at(F.col("pos")))
 
 
 def fenced(json):
@@ -423,7 +418,7 @@ def dialogue_parse(spark, sf_dir):
 
 @query
 def slides_parse(spark, sf_dir):
-    slide = F.struct(F.substring("text", 1, 20).alias("heading"), F.array(F.lit(" one "), F.lit(" "), F.col("role")).alias("bullets"))
+    slide = F.struct(F.col("text").alias("heading"), F.array(F.lit(" one "), F.lit(" "), F.col("role")).alias("bullets"))
     rows = turns(spark, sf_dir).withColumn("raw", fenced(F.to_json(F.struct(F.array(slide).alias("slides")))))
     return rows.select("conv_id", "turn", F.explode(scripts.slides(F.col("raw"))).alias("x")).select("conv_id", "turn", "x.type", "x.heading", F.array_join("x.bullets", ",").alias("bullets"), "x.narration")
 
@@ -504,16 +499,3 @@ def stream_windows(spark, sf_dir):
     writer = status.windowed(events, "ts", "1 day", None, "1 day").writeStream.format("parquet").outputMode("append").option("path", path)
     ingest.run_available(writer, path + "-checkpoint")
     return spark.read.schema("start timestamp, end timestamp, n bigint, total double").parquet(path).select(F.col("start").cast("timestamp_ntz").alias("start"), "n")
-
-
-def workspace(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that all executors share; a local session may have none set."""
-    import tempfile
-    import uuid
-
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="lectern-")
-    return f"{root.rstrip('/')}/lectern/{name}-{uuid.uuid4().hex}"
