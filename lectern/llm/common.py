@@ -3,8 +3,6 @@ tables, Arrow batch limits and vectorised word hashing."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
@@ -14,30 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.tables import workspace
+
 #: Rows and bytes of a batch that a function gets at once; a longer text stands alone.
 BATCH_ROWS, BATCH_BYTES = 128, 1 << 24
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables that all executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset, a local session gets a temporary folder; a cluster has no
-    folder that would do, so that is an error.
-    """
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    held = getattr(spark, "_lectern_dir", None)
-    if held is None:
-        held = spark._lectern_dir = tempfile.mkdtemp(prefix="lectern-")
-    return held
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, under this application's own name."""
-    return f"{shared_dir(spark)}/lectern/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+scratch = workspace
 
 
 def written(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:

@@ -9,7 +9,8 @@ word's probability of each language; a text's language is the likeliest over its
 words, and its score is the mean probability.
 
 The field is fitted on a bounded sample of labelled rows (``PER_LANG`` documents of
-each language, at most ``MAX_CHARS`` long); it labels every word of every text.
+each language, at most ``MAX_CHARS`` long, of the ``MAX_LANGS`` commonest languages, at most
+``MAX_DOCS`` in all); it labels every word of every text, each text as one chain.
 """
 
 from __future__ import annotations
@@ -28,11 +29,12 @@ from pyspark.sql import functions as F
 from .common import _M1, map_arrow, mix, text_or_empty
 
 PER_LANG = 200
+MAX_LANGS, MAX_DOCS = 200, 4000
 MAX_CHARS = 20_000
 #: Rows of the weight table.
 TABLE = 1 << 18
 LONGEST_GRAM = 4
-#: Words of a chain in training and in prediction.
+#: Words of a chain in training, and of a piece of a chain in prediction.
 CHAIN = 64
 STEPS, RATE, DECAY = 30, 0.15, 1e-4
 #: Words of the lexicon stand so often in the sample.
@@ -76,17 +78,25 @@ def emissions(weights: np.ndarray, rows: np.ndarray, counts: np.ndarray) -> np.n
     return np.add.reduceat(weights[rows], np.cumsum(counts) - counts, axis=0) if len(counts) else np.zeros((0, weights.shape[1]), weights.dtype)
 
 
-def marginals(scores: np.ndarray, inside: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def potentials(scores: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.exp(scores - scores.max(axis=-1, keepdims=True)), np.exp(transitions - transitions.max())
+
+
+def marginals(scores: np.ndarray, inside: np.ndarray, transitions: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None, count: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Forward-backward over chains.
 
     scores: (chains, words, languages); inside: (chains, words), true for a prefix of each
-    chain. Returns each word's probabilities and the expected number of transitions.
+    chain. Returns each word's probabilities and the expected number of transitions (with
+    ``count``). ``before`` and ``after`` are the messages that reach a chain's first word from
+    the words before it and the last place from the words after it.
     """
     chains, length, n = scores.shape
-    e = np.exp(scores - scores.max(axis=2, keepdims=True))
-    a = np.exp(transitions - transitions.max())
+    e, a = potentials(scores, transitions)
     forward, backward = np.empty_like(e), np.ones_like(e)
-    forward[:, 0] = e[:, 0] / e[:, 0].sum(axis=1, keepdims=True)
+    if after is not None:
+        backward[:, -1] = after
+    first = e[:, 0] if before is None else e[:, 0] * before
+    forward[:, 0] = first / first.sum(axis=1, keepdims=True)
     for t in range(1, length):
         f = (forward[:, t - 1] @ a) * e[:, t]
         forward[:, t] = f / f.sum(axis=1, keepdims=True)
@@ -95,13 +105,45 @@ def marginals(scores: np.ndarray, inside: np.ndarray, transitions: np.ndarray) -
         b = e[:, t + 1] * backward[:, t + 1]
         m = b @ a.T
         backward[:, t] = np.where(inside[:, t + 1, None], m / m.sum(axis=1, keepdims=True), 1.0)
-        joint = forward[:, t, :, None] * a * b[:, None, :]
-        joint /= joint.sum(axis=(1, 2), keepdims=True)
-        pairs += joint[inside[:, t + 1]].sum(axis=0)
+        if count:
+            joint = forward[:, t, :, None] * a * b[:, None, :]
+            joint /= joint.sum(axis=(1, 2), keepdims=True)
+            pairs += joint[inside[:, t + 1]].sum(axis=0)
     p = forward * backward
     return p / p.sum(axis=2, keepdims=True), pairs
 
 
+def messages(scores: np.ndarray, inside: np.ndarray, transitions: np.ndarray, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(before, after)`` of each chain, where a text of ``pieces`` chains is one long chain that was cut.
+
+    The messages are linear, so what a chain does to any message is one small matrix.
+    The matrices of all chains are built together, word by word, and then applied along
+    each text.
+    """
+    e, a = potentials(scores, transitions)
+    chains, length, n = e.shape
+    ends = np.cumsum(pieces)
+    place = np.arange(chains) - np.repeat(ends - pieces, pieces)
+    through = np.broadcast_to(np.eye(n, dtype=e.dtype), (chains, n, n)) * e[:, 0, None, :]
+    for t in range(1, length):
+        step = (through.reshape(-1, n) @ a.astype(e.dtype)).reshape(chains, n, n) * e[:, t, None, :]
+        step /= step.sum(axis=(1, 2), keepdims=True)
+        through = np.where(inside[:, t, None, None], step, through)
+    before, after = np.ones((chains, n), dtype=e.dtype), np.ones((chains, n), dtype=e.dtype)
+    order = np.argsort(place, kind="stable")
+    cuts = np.searchsorted(place[order], np.arange(1, place.max(initial=0) + 1))
+    for own in np.split(order, cuts)[1:]:
+        m = np.einsum("cj,cjk->ck", before[own - 1], through[own - 1]) @ a
+        before[own] = m / m.sum(axis=1, keepdims=True)
+    left = np.repeat(ends, pieces) - 1 - np.arange(chains)
+    order = np.argsort(left, kind="stable")
+    cuts = np.searchsorted(left[order], np.arange(1, left.max(initial=0) + 1))
+    for own in np.split(order, cuts)[1:]:
+        m = np.einsum("cjk,ck->cj", through[own + 1], after[own + 1]) @ a.T
+        after[own] = m / m.sum(axis=1, keepdims=True)
+    return before, after
+
+
 @dataclass
 class Field:
     langs: list[str]
@@ -198,14 +240,15 @@ class Labeller:
         row, counts = self.words(texts)
         if not len(row):
             return np.zeros((0, len(self.field.langs))), counts
-        # a chain is up to CHAIN consecutive words of one text
+        # a text's words lie in chains of CHAIN, with the messages from the rest of the text
         chains = -(-counts // CHAIN)
         text = np.repeat(np.arange(len(counts)), counts)
         within = np.arange(len(row)) - (np.cumsum(counts) - counts)[text]
         chain = (np.cumsum(chains) - chains)[text] + within // CHAIN
         padded = np.zeros((chains.sum(), CHAIN), dtype=np.int64)
         padded[chain, within % CHAIN] = row
-        p, _ = marginals(self.rows[padded], padded > 0, self.field.transitions)
+        scores, inside, a = self.rows[padded], padded > 0, self.field.transitions
+        p, _ = marginals(scores, inside, a, *messages(scores, inside, a, chains[chains > 0]), count=False)
         return p[chain, within % CHAIN], counts
 
     def label(self, texts: pa.Array) -> tuple[list[str], list[float]]:
@@ -222,7 +265,8 @@ class Labeller:
 def training_sample(labelled: DataFrame, per_lang: int = PER_LANG, max_chars: int = MAX_CHARS) -> tuple[list[str], list[str]]:
     """About ``per_lang`` texts of each language of ``(id, text, lang)``, chosen by a hash of the id."""
     labelled = labelled.where(F.length("text").between(1, max_chars))
-    sizes = labelled.groupBy("lang").count().collect()  # a row for each language
+    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    per_lang = min(per_lang, MAX_DOCS // max(1, len(sizes)))
     share = F.lit(0.0)
     for r in sizes:
         share = F.when(F.col("lang") == r.lang, min(1.0, per_lang / r["count"])).otherwise(share)

@@ -39,8 +39,8 @@ def water_fill(sources: DataFrame, budget: int, max_epochs: int) -> DataFrame:
         if row.n is None or row.n == clamped:
             break
         clamped, left, weights = row.n, budget - row.caps, row.weights
-        # cap < weight * left / weights, exactly
-        capped = capped | (cap.cast("decimal(38,0)") * F.lit(weights).cast("decimal(20,0)") < F.col("weight").cast("decimal(20,0)") * F.lit(left).cast("decimal(20,0)"))
+        # cap < weight * left / weights, exactly; the share of a weight only grows, so who is above once stays above
+        capped = cap.cast("decimal(38,0)") * F.lit(weights).cast("decimal(20,0)") < F.col("weight").cast("decimal(20,0)") * F.lit(left).cast("decimal(20,0)")
     if row.n is None:
         return sources.withColumn("target", F.lit(0.0))
     share = F.col("weight").cast("double") * float(left) / float(weights) if weights else F.lit(0.0)

@@ -1,6 +1,7 @@
 """Token counts through a digest cache.
 
-The cache is a Parquet table of (content digest, tokenizer digest, tokens). A
+The cache is a Parquet table of (content digest, tokens), partitioned by tokenizer digest,
+so that a call reads its own tokenizer's counts only; ``compact`` merges its appends. A
 document's digest is that of its normalised content: runs of ASCII white space as one
 space, which the tokenizers concerned drop or read alike. Documents are joined to the
 cache by both digests; of the misses, one document for each distinct digest is
@@ -15,12 +16,12 @@ import os
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import as_bytes, map_arrow, scratch, slices, text_or_empty, written
 
-CACHE_SCHEMA = "digest binary, tokenizer binary, n_tokens bigint"
+CACHE_SCHEMA = "digest binary, n_tokens bigint, tokenizer string"
 #: Words that a worker keeps counted; beyond that, a word is counted for its batch alone.
 CACHE_WORDS = 500_000
 
@@ -111,9 +112,15 @@ def _counter(path: str, kind: Callable):
     return _held[path]
 
 
-def tokenizer_digest(path: str, kind: type) -> bytes:
+def tokenizer_digest(path: str, kind: type) -> str:
     with open(path, "rb") as f:
-        return hashlib.sha256(f.read() + b"|no special tokens|" + kind.__name__.encode()).digest()
+        return hashlib.sha256(f.read() + b"|no special tokens|" + kind.__name__.encode()).hexdigest()
+
+
+def compact(spark: SparkSession, cache: str, to: str) -> None:
+    """Write the cache to a new path with each count once, in few files."""
+    counts = spark.read.schema(CACHE_SCHEMA).parquet(cache).groupBy("tokenizer", "digest").agg(F.max("n_tokens").alias("n_tokens"))
+    counts.select("digest", "n_tokens", "tokenizer").write.partitionBy("tokenizer").parquet(to)
 
 
 def token_counts(docs: DataFrame, path: str, cache: str | None = None, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -134,7 +141,7 @@ def token_counts(docs: DataFrame, path: str, cache: str | None = None, limit: in
     rows = docs.select(F.col(id_col).alias("_id"), text.alias("_text"), F.unhex(F.sha2(content, 256)).alias("digest"))
 
     cache = cache or scratch(spark, "token-cache")
-    spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(cache)
+    spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").partitionBy("tokenizer").parquet(cache)
     stored = lambda: spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("tokenizer") == F.lit(own)).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
     keys = written(rows.select("_id", "digest", F.octet_length("_text").cast("bigint").alias("n_bytes")), "keys")
@@ -146,10 +153,10 @@ def token_counts(docs: DataFrame, path: str, cache: str | None = None, limit: in
     def columns(b: pa.RecordBatch) -> list:
         texts, counter = as_bytes(b.column(1)), _counter(path, kind)
         n = [k for i, j in slices(texts) for k in counter.counts(texts[i:j])]
-        return [b.column(0), [own] * len(texts), n]
+        return [b.column(0), n, [own] * len(texts)]
 
-    counted = map_arrow(todo, columns, CACHE_SCHEMA).groupBy("digest", "tokenizer").agg(F.max("n_tokens").alias("n_tokens"))
-    counted.write.mode("append").parquet(cache)
+    counted = map_arrow(todo, columns, CACHE_SCHEMA).groupBy("digest", "tokenizer").agg(F.max("n_tokens").alias("n_tokens")).select("digest", "n_tokens", "tokenizer")
+    counted.write.mode("append").partitionBy("tokenizer").parquet(cache)
     # from a table of its own, the join's sides are plain exchanges, of which Spark splits a hot digest's
     counted = keys.join(written(stored(), "counts"), "digest")
     return counted.select(F.col("_id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -30,6 +30,34 @@ def test_marginals_match_enumeration():
     assert np.allclose(pairs, want_pairs)
 
 
+def test_messages_make_pieces_one_chain():
+    rng = np.random.default_rng(1)
+    words = [1000, 64, 3, 129, 128]
+    a = rng.normal(size=(3, 3))
+    scores = [rng.normal(size=(1, k, 3)) for k in words]
+    pieces = np.array([-(-k // li.CHAIN) for k in words])
+    cut, inside = np.zeros((pieces.sum(), li.CHAIN, 3)), np.zeros((pieces.sum(), li.CHAIN), bool)
+    for x, at in zip(scores, np.cumsum(pieces) - pieces):
+        for t in range(x.shape[1]):
+            cut[at + t // li.CHAIN, t % li.CHAIN], inside[at + t // li.CHAIN, t % li.CHAIN] = x[0, t], True
+    p, _ = li.marginals(cut, inside, a, *li.messages(cut, inside, a, pieces), count=False)
+    whole = np.concatenate([li.marginals(x, np.ones(x.shape[:2], bool), a)[0][0] for x in scores])
+    assert np.allclose(p[inside], whole)
+    assert not np.allclose(li.marginals(cut, inside, a)[0][inside], whole)
+
+
+def test_text_is_one_chain():
+    rng = np.random.default_rng(2)
+    field = li.Field(["en", "fr"], rng.normal(size=(li.TABLE, 2)).astype(np.float32), rng.normal(size=(2, 2)), set())
+    words = ["".join(rng.choice(list("abc"), 4)) for _ in range(1000)]
+    labeller = li.Labeller(field)
+    p, counts = labeller.probabilities(pa.array(["ab", " ".join(words), "", "a b c " * 50]))
+    assert counts.tolist() == [1, 1000, 0, 150]
+    row = np.array([labeller.row_of[w] for w in words])
+    want, _ = li.marginals(labeller.rows[row][None].astype(float), np.ones((1, 1000), bool), field.transitions)
+    assert np.allclose(p[1:1001], want[0], atol=1e-4)
+
+
 @pytest.fixture(scope="module")
 def rows(spark):
     return [r for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
