@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 from ..sources.tables import workspace
 
 #: Rows and bytes of a batch that a function gets at once; a longer text stands alone.
-BATCH_ROWS, BATCH_BYTES = 128, 1 << 24
+BATCH_ROWS, BATCH_BYTES = 128, 1 << 22
+_BYTES_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 scratch = workspace
@@ -102,6 +103,9 @@ def map_arrow(df: DataFrame, columns: Callable[[pa.RecordBatch], list], schema:
 def stream_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterable[list]], schema: str) -> DataFrame:
     """Map a partition's Arrow batches, in order, to lists of the columns of ``schema``."""
     to = arrow_schema(schema)
+    # only rows that are long are fewer in a batch by this, so the session's other functions keep their batches
+    if int(df.sparkSession.conf.get(_BYTES_KEY).rstrip("b")) > BATCH_BYTES:
+        df.sparkSession.conf.set(_BYTES_KEY, f"{BATCH_BYTES}b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in function(part for b in batches for part in parts(b)):
@@ -113,7 +117,7 @@ def stream_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], I
 def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Slices of ``BATCH_ROWS`` rows and ``BATCH_BYTES`` bytes at most; a larger row stands alone.
 
-    Spark bounds the bytes of what it sends (``spark.sql.execution.arrow.maxBytesPerBatch``).
+    Spark bounds the bytes of what it sends by the setting ``_BYTES_KEY``, which stands in the session.
     """
     if batch.num_rows > 1 and (batch.num_rows > BATCH_ROWS or batch.nbytes > BATCH_BYTES):
         half = batch.num_rows // 2
