@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import generate
-from ..functions.guard import NO_INFORMATION, OUT_OF_SCOPE, groundedness, meaningful_words, passes_phrases
+from ..functions.guard import NO_INFORMATION, NOT_FULLY_VERIFIED, NOT_VERIFIED, OUT_OF_SCOPE, groundedness, meaningful_words, passes_phrases
 
 
 def in_scope(questions: DataFrame, texts: DataFrame) -> DataFrame:
@@ -64,10 +64,28 @@ def pairs(messages: DataFrame, notebook: str = "notebook_id", order: tuple[str,
 
 
 def stream_frames(answered: DataFrame) -> DataFrame:
-    """``(question_id, seq, payload)``: the words of each answer and the closing frame."""
-    words = F.transform(generate.answer_tokens(F.col("answer")), lambda w: F.to_json(F.struct(w.alias("token"))))
-    frames = F.array_append(words, F.to_json(F.struct(F.lit(True).alias("done"))))
-    return answered.select("question_id", F.posexplode(frames).alias("seq", "payload"))
+    """``(question_id, seq, payload)``: the tokens of each answer and the closing frame.
+
+    An answer streams by its words, a note after it as a token of its own; one without
+    a model behind it (``in_scope`` false, or an empty ``context``) is one token. The closing
+    frame tells ``sources`` and ``latency_ms`` as far as ``answered`` has them.
+    """
+    answer = F.col("answer")
+    note = F.lit("")
+    for text in (NOT_FULLY_VERIFIED, NOT_VERIFIED):
+        note = F.when(answer.endswith(text), text).otherwise(note)
+    said = F.left(answer, (F.length(answer) - F.length(note)).cast("int"))
+    words = F.concat(generate.answer_tokens(said), F.when(note != "", F.array(note)).otherwise(F.array().cast("array<string>")))
+    fixed = F.lit(False)
+    if "in_scope" in answered.columns:
+        fixed = fixed | ~F.col("in_scope")
+    if "context" in answered.columns:
+        fixed = fixed | (F.col("context") == "")
+    tokens = F.transform(F.when(fixed, F.array(answer)).otherwise(words), lambda w: F.to_json(F.struct(w.alias("token"))))
+    told = [F.coalesce(F.col("sources"), F.array().cast(answered.schema["sources"].dataType)).alias("sources")] if "sources" in answered.columns else []
+    told += [F.col("latency_ms")] if "latency_ms" in answered.columns else []
+    closing = F.to_json(F.struct(*told, F.lit(True).alias("done")), {"ignoreNullFields": "false"})
+    return answered.select("question_id", F.posexplode(F.array_append(tokens, closing)).alias("seq", "payload"))
 
 
 def error_frame(error: Column) -> Column:

@@ -1,7 +1,7 @@
 """DuckDB SQL with the results of the queries, by name."""
 
 from ..functions.generate import QUESTION_TEMPLATE, SYSTEM_PROMPT
-from ..functions.guard import GREETINGS, NOT_FULLY_VERIFIED, NOT_VERIFIED, OFF_TOPIC, STOPWORDS
+from ..functions.guard import GREETINGS, NOT_FULLY_VERIFIED, NOT_VERIFIED, OFF_TOPIC, OUT_OF_SCOPE, STOPWORDS
 
 
 def lit(s: str) -> str:
@@ -156,4 +156,31 @@ WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 1 HOUR T
 s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
 SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 1 HOUR AS end, count(*)::BIGINT AS n FROM s GROUP BY user_id, k""",
     "stream_registry": f"SELECT content_hash, 'doc_' || substr(content_hash, 1, 59) AS collection, length(text)::BIGINT AS char_count, first_id FROM ({REGISTRY})",
+    "stream_windows": """
+WITH m AS (SELECT max(ts) - INTERVAL 1 DAY AS mark FROM events), w AS (SELECT date_trunc('day', ts)::TIMESTAMP AS start, count(*)::BIGINT AS n FROM events GROUP BY 1)
+SELECT start, n FROM w, m WHERE start + INTERVAL 1 DAY <= mark""",
+    "voice_sessions": """
+WITH e AS (SELECT user_id::VARCHAR AS sid, event_id AS seq, CASE event_id % 6 WHEN 0 THEN CASE WHEN event_id % 5 = 0 THEN 'rejected' END
+  WHEN 1 THEN CASE WHEN event_id % 7 = 0 THEN 'error: notebook_id required' WHEN event_id % 11 = 0 THEN 'error: not owner' ELSE 'ready' END
+  WHEN 2 THEN 'error: audio must be sent via HTTP POST /voice/turn' WHEN 3 THEN 'sending' WHEN 4 THEN 'cancelled' END AS reply FROM events) SELECT * FROM e WHERE reply IS NOT NULL""",
+    "status_transitions": """
+WITH s AS (SELECT event_id, user_id, ts, (event_id % 6)::INT AS k FROM events), l AS (SELECT *, lag(k) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM s),
+n AS (SELECT ['none', 'queued', 'scripting', 'synthesizing', 'ready', 'failed'] AS names)
+SELECT event_id, names[b + 1] AS before, names[k + 1] AS state, k = 1 OR (k = 5 AND b < 4) OR (k <> 5 AND k > b AND b <> 5) AS allowed FROM l, n WHERE b IS NOT NULL""",
+    "ndjson_tokens": "SELECT conv_id, turn, md5(text) AS digest, turn % 2 = 1 AS done FROM conversations WHERE conv_id % 7 <> 0 AND text IS NOT NULL",
+    "chat_frames": f"""
+WITH t AS (SELECT *, lead(role) OVER w AS r, lead(text) OVER w AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+p AS (SELECT *, conv_id || '-' || turn AS question_id, regexp_extract_all(answer, '\\S+') AS words FROM t WHERE role = 'user' AND r = 'assistant'),
+k AS (SELECT *, CASE WHEN conv_id % 3 = 0 THEN [{lit(OUT_OF_SCOPE)}] WHEN turn % 4 = 0 THEN list_append(list_transform(words, lambda w: w || ' '), {lit(NOT_VERIFIED)}) ELSE list_transform(words, lambda w: w || ' ') END AS tokens FROM p),
+f AS (SELECT question_id, list_append(list_transform(tokens, lambda x: to_json({{'token': x}})::VARCHAR),
+  '{{"sources":[{{"filename":"f' || conv_id || '","page":' || CASE WHEN conv_id % 2 = 0 THEN turn::VARCHAR ELSE 'null' END || '}}],"latency_ms":' || turn || ',"done":true}}') AS frames FROM k)
+SELECT question_id, (i - 1)::INT AS seq, frames[i] AS payload FROM (SELECT question_id, frames, unnest(range(1, len(frames) + 1)) AS i FROM f)""",
+    "file_ingestion": rf"""
+WITH f AS (SELECT printf('%012d', id) || CASE WHEN id % 9 = 0 THEN '.bin' WHEN id % 2 = 0 THEN '.txt' ELSE '.md' END AS filename, text, content_hash FROM ({SRC})),
+g AS (SELECT content_hash, min(filename) AS first, any_value(text) AS text FROM f GROUP BY 1),
+o AS (SELECT content_hash, CASE WHEN first LIKE '%.bin' THEN 'failed' WHEN regexp_matches(text, '\S') THEN 'ready' ELSE 'partial' END AS status, length(text) AS n FROM g)
+SELECT round::INT AS round, filename, CASE WHEN round = 2 AND status = 'ready' THEN 'cached' ELSE 'ingest' END AS action, status, CASE WHEN status = 'ready' THEN n ELSE 0 END::INT AS char_count,
+  CASE status WHEN 'failed' THEN 'Unsupported file type' WHEN 'partial' THEN 'No text could be extracted from the file.' END AS error_message
+FROM f JOIN o USING (content_hash), (SELECT unnest([1, 2]) AS round)""",
+    "stored_chunks": rf"SELECT content_hash, 0::INT AS first_index FROM ({REGISTRY}) WHERE first_id % 3 = 0 AND regexp_matches(text, '\S')",
 }

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions import chunk, embed, generate, guard, hashing, markdown, scripts, text
 from ..operators import admin, chat, context, registry, retrieval
+from ..operators import ingest as ingestion
+from ..sources.config import Options
 from ..sources.files import upload_verdict
 from ..sources.tables import workspace
 from ..streaming import ingest, status
@@ -499,3 +501,79 @@ def stream_windows(spark, sf_dir):
     writer = status.windowed(events, "ts", "1 day", None, "1 day").writeStream.format("parquet").outputMode("append").option("path", path)
     ingest.run_available(writer, path + "-checkpoint")
     return spark.read.schema("start timestamp, end timestamp, n bigint, total double").parquet(path).select(F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query
+def voice_sessions(spark, sf_dir):
+    """Replies to a stream of voice events: users as connections, kinds of events by id."""
+    key, provider = status.STATE_STORE
+    before = spark.conf.get(key)
+    path = workspace(spark, "voice")
+    kind = F.element_at(F.array(*map(F.lit, VOICE_EVENTS)), (F.col("event_id") % 6 + 1).cast("int"))
+    notebook = F.when(F.col("event_id") % 7 != 0, F.col("user_id"))
+    events = streamed(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("sid"), F.col("event_id").alias("seq"), kind.alias("event"), notebook.cast("bigint").alias("notebook_id"),
+        (F.col("event_id") % 5 != 0).alias("authenticated"), (F.col("event_id") % 11 != 0).alias("owner"),
+    )
+    spark.conf.set(key, provider)
+    try:
+        ingest.run_available(status.voice_replies(events).writeStream.format("parquet").option("path", path), path + "-checkpoint")
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(status.SESSION).parquet(path)
+
+
+VOICE_EVENTS = ["connect", "start", "audio", "stop", "cancel", "disconnect"]
+
+
+@query
+def status_transitions(spark, sf_dir):
+    """Each user's events as states of a job: which of the steps are allowed."""
+    state = F.element_at(F.array(*map(F.lit, status.STATES)), (F.col("event_id") % 6 + 1).cast("int"))
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", state.alias("state"))
+    own = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    steps = rows.withColumn("before", F.lag("state").over(own)).where("before is not null")
+    return steps.select("event_id", "before", "state", status.allowed(F.col("before"), F.col("state")).alias("allowed"))
+
+
+@query
+def ndjson_tokens(spark, sf_dir):
+    """Turns as lines of a model's stream, every seventh broken."""
+    line = F.to_json(F.struct(F.struct(F.col("text").alias("content")).alias("message"), (F.col("turn") % 2 == 1).alias("done")))
+    rows = turns(spark, sf_dir).select("conv_id", "turn", F.when(F.col("conv_id") % 7 == 0, F.lit('{"message":')).otherwise(line).alias("value"))
+    return status.tokens(rows).select("conv_id", "turn", F.md5("token").alias("digest"), "done")
+
+
+@query
+def chat_frames(spark, sf_dir):
+    """Answered questions as frames with sources and latency; every third conversation is out of scope, every second cites no page."""
+    rows = chat.pairs(turns(spark, sf_dir).withColumnRenamed("text", "content"), "conv_id", ("turn",))
+    said = F.when(F.col("conv_id") % 3 == 0, guard.OUT_OF_SCOPE).when(F.col("turn") % 4 == 0, F.concat("answer", F.lit(guard.NOT_VERIFIED))).otherwise(F.col("answer"))
+    cited = F.array(F.struct(F.concat(F.lit("f"), F.col("conv_id").cast("string")).alias("filename"), F.when(F.col("conv_id") % 2 == 0, F.col("turn").cast("int")).alias("page")))
+    rows = rows.select(F.concat_ws("-", "conv_id", "turn").alias("question_id"), (F.col("conv_id") % 3 != 0).alias("in_scope"), said.alias("answer"), cited.alias("sources"), F.col("turn").cast("int").alias("latency_ms"))
+    return chat.stream_frames(rows)
+
+
+@query
+def file_ingestion(spark, sf_dir):
+    """Documents as files, text and markdown by turns, every ninth of an unknown type; ingested twice."""
+    kind = F.when(F.col("id") % 9 == 0, "bin").when(F.col("id") % 2 == 0, "txt").otherwise("md")
+    name = F.concat(F.format_string("%012d.", "id"), kind)
+    files = sources(spark, sf_dir).select(name.alias("filename"), F.col("text").cast("binary").alias("content"), "content_hash", text.content_type(name).alias("content_type"))
+    options = Options(embedding_dimension=16)
+    chunks_path, entries_path = workspace(spark, "chunks"), workspace(spark, "entries")
+    nothing = spark.createDataFrame([], "content_hash string, extracted_text string")
+    once = ingestion.ingest(files, nothing, nothing.select("content_hash"), options)
+    ingestion.store(once, chunks_path, entries_path)
+    again = ingestion.ingest(files, spark.read.parquet(entries_path), spark.read.parquet(chunks_path), options)
+    both = once.results.withColumn("round", F.lit(1)).unionByName(again.results.withColumn("round", F.lit(2)))
+    return both.select("round", "filename", "action", "status", "char_count", "error_message")
+
+
+@query
+def stored_chunks(spark, sf_dir):
+    """What ingestion stores: the chunks of each content once, all with an entry."""
+    entries = registry.registry(sources(spark, sf_dir))
+    made = retrieval.rebuilt(entries)
+    lost = ingestion.orphan_chunks(made, entries.where(F.pmod(F.col("first_id"), F.lit(3)) != 0))
+    return lost.groupBy("content_hash").agg(F.min("chunk_index").alias("first_index"))

@@ -90,6 +90,10 @@ class VoiceSession(StatefulProcessor):
         pass
 
 
+#: The state store that sessions need.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def voice_replies(events: DataFrame) -> DataFrame:
     """Replies to a stream of voice events, with the session of each connection as keyed state (append mode)."""
     return events.groupBy("sid").transformWithStateInPandas(VoiceSession(), SESSION, "append", "None")
