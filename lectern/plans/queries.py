@@ -11,7 +11,7 @@ from ..operators import admin, chat, context, registry, retrieval
 from ..operators import ingest as ingestion
 from ..sources.config import Options
 from ..sources.files import upload_verdict
-from ..sources.tables import workspace
+from ..sources.tables import stored, workspace
 from ..streaming import ingest, status
 
 QUERIES: dict = {}
@@ -284,8 +284,8 @@ def ask_notebooks(spark, sf_dir):
     """Whole question to answer: benchmark items asked to notebooks, texts chunked and embedded by the hash embedder."""
     rows = sources(spark, sf_dir)
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("notebook_id"), F.col("text").alias("question"))
-    asked = chat.in_scope(asked, rows)
-    chunks = retrieval.rebuilt(registry.registry(rows)).withColumn("embedding", embed.embedder(dimension=64)(F.col("document")))
+    asked = stored(chat.in_scope(asked, rows), "asked")
+    chunks = stored(retrieval.rebuilt(registry.registry(rows)).withColumn("embedding", embed.embedder(dimension=64)(F.col("document"))), "chunks")
     vectors_ = asked.where("in_scope").withColumn("embedding", embed.embedder(dimension=64, query=True)(F.col("question")))
     own = rows.join(asked.where("in_scope").select("notebook_id").distinct(), "notebook_id", "left_semi").select("notebook_id", "content_hash").distinct()
     scores = retrieval.scored(chunks.join(own, "content_hash"), vectors_, scope="notebook_id", top=retrieval.TOP)
