@@ -15,9 +15,10 @@ whole block or long inside it.
 
 A host's distinct pages are dealt by a hash of their content to parts of about
 ``PART_BYTES`` bytes, each with its own array. Of each substring, the parts tell on how
-many of their pages it stands, and the sums over the host decide, so the deal changes no
-result outside articles. Inside them a part only tells what stands on half of the asked
-share of its pages. Copies of one page are one page.
+many of their pages it stands, and the sums over the host decide. Inside articles a part
+only tells what stands on half of the asked share of its pages; what may reach the share
+of the host's pages while some part did not tell of it is looked for in all of them. So
+the deal changes no result. Copies of one page are one page.
 """
 
 from __future__ import annotations
@@ -317,13 +318,13 @@ def _streams(rows: DataFrame) -> DataFrame:
 
 
 def _substrings(dealt: DataFrame) -> DataFrame:
-    """``(host, hash, in_article, n, pages)`` of each part's substrings."""
+    """``(host, hash, in_article, n, of, pages)`` of each part's substrings; ``of`` is its number of pages."""
 
     def told(part: tuple, pages: list[bytes], tokens: list[np.ndarray], zones: list[np.ndarray]) -> list:
         if not sum(map(len, tokens)):
-            return [[], [], [], [], []]
+            return [[], [], [], [], [], []]
         hashes, in_article, n, holders = substrings(tokens, zones, part[2])
-        return [[part[0]] * len(hashes), hashes, in_article, n, [[pages[k] for k in x] for x in holders]]
+        return [[part[0]] * len(hashes), hashes, in_article, n, [len(pages)] * len(hashes), [[pages[k] for k in x] for x in holders]]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         part, pages, tokens, zones = None, [], [], []
@@ -340,7 +341,30 @@ def _substrings(dealt: DataFrame) -> DataFrame:
         if part is not None:
             yield told(part, pages, tokens, zones)
 
-    return stream_arrow(dealt.select("host", "part", "is_site", "page", "tokens", "zones"), each, "host bigint, hash bigint, in_article boolean, n bigint, pages array<binary>")
+    return stream_arrow(dealt.select("host", "part", "is_site", "page", "tokens", "zones"), each, "host bigint, hash bigint, in_article boolean, n bigint, of bigint, pages array<binary>")
+
+
+def _holding(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(host, hash, page)``: the distinct pages whose articles hold the wanted substrings ``(host, hash)``.
+
+    A host has few of them: each stands on three tenths of its pages, which so many windows
+    of a mean page can do three times over.
+    """
+
+    def columns(b: pa.RecordBatch) -> list:
+        out: list[list] = [[], [], []]
+        for host, page, text, hashes in zip(*(c.to_pylist() for c in b.columns)):
+            flat, zone, _ = stream(*zoned(text))
+            starts = whole_windows(zone, LONG)
+            own = windows(flat.astype(np.uint64), LONG)[starts[zone[starts] == ARTICLE]].view(np.int64)
+            for h in np.intersect1d(own, np.array(hashes, dtype=np.int64)).tolist():
+                for to, x in zip(out, (host, h, page)):
+                    to.append(x)
+        return out
+
+    asked = wanted.groupBy("host").agg(F.collect_list("hash").alias("hashes"))
+    joined = rows.join(asked, "host").select("host", "page", "html", "hashes")
+    return map_arrow(joined, columns, "host bigint, hash bigint, page binary").distinct()
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", part_bytes: int = PART_BYTES) -> DataFrame:
@@ -363,10 +387,19 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         dealt = _streams(rows).join(hosts.where("parts > 0").drop("n_pages"), "host").withColumn("part", F.pmod(F.xxhash64("page"), "parts"))
         dealt = dealt.repartition("host", "part").sortWithinPartitions("host", "part", "page")
         found = written(_substrings(dealt), "substrings")
-        common = found.groupBy("host", "hash", "in_article").agg(F.sum("n").alias("n")).join(hosts.select("host", "n_pages"), "host")
-        common = common.where(F.when(F.col("in_article"), F.col("n") >= SITE_SHARE * F.col("n_pages")).otherwise(F.col("n") >= MIN_PAGES))
-        common = written(common.select("host", "hash", "in_article"), "common")
+        sums = found.groupBy("host", "hash", "in_article").agg(F.sum("n").alias("n"), F.sum("of").alias("of")).join(hosts.select("host", "n_pages"), "host")
+        share, silent = SITE_SHARE * F.col("n_pages"), F.col("n_pages") - F.col("of")
+        # each silent part holds it on fewer than half the share of its pages
+        unsure = F.col("in_article") & (silent > 0) & (F.col("n") + SITE_SHARE / 2 * silent >= share)
+        sums = sums.where(unsure | F.when(F.col("in_article"), F.col("n") >= share).otherwise(F.col("n") >= MIN_PAGES))
+        sums = written(sums.select("host", "hash", "in_article", unsure.alias("unsure")), "common")
+        common = sums.where("not unsure").drop("unsure")
         marked = found.join(common, ["host", "hash", "in_article"]).select("host", F.explode("pages").alias("page"), "hash", "in_article")
+        if sums.where("unsure").limit(1).count():
+            holding = written(_holding(rows, sums.where("unsure")), "holding")
+            counted = holding.groupBy("host", "hash").agg(F.count("*").alias("n")).join(hosts.select("host", "n_pages"), "host").where(F.col("n") >= share)
+            also = holding.join(written(counted.select("host", "hash"), "counted"), ["host", "hash"])
+            marked = marked.unionByName(also.select("host", "page", "hash", F.lit(True).alias("in_article")))
         in_article = F.collect_set(F.when(F.col("in_article"), F.col("hash"))).alias("in_article")
         marks = marked.groupBy("host", "page").agg(in_article, F.collect_set(F.when(~F.col("in_article"), F.col("hash"))).alias("outside"))
         marks = kept(written(marks, "marks"))
