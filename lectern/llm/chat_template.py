@@ -19,7 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterable, Iterator
-from itertools import groupby
+from itertools import count, groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -389,7 +389,7 @@ def read_back(spans: Iterable[Span]) -> Iterator[tuple[str, str]]:
 # The operator ---------------------------------------------------------------
 
 
-def format_conversations(turns: DataFrame, template: str = TEMPLATE, with_text: bool = True, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+def format_conversations(turns: DataFrame, template: str = TEMPLATE, with_text: bool = True, reader: Callable[[Iterable[Span]], Iterator[tuple[str, str]]] = read_back, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row for each conversation: its formatted text and what reads back from it.
 
     Columns: ``(conv, formatted, mask, n_turns, turns_sha256, loss_chars, loss_sha256,
@@ -397,7 +397,9 @@ def format_conversations(turns: DataFrame, template: str = TEMPLATE, with_text:
     loss mask, in code points) are null unless ``with_text``. Rows are ordered by turn, null
     first; ties, and repeated rows, all stay, ordered by role and text. A null text or
     role is empty; a null conversation id is a conversation of its own; other columns
-    are ignored, whatever their names.
+    are ignored, whatever their names. ``reader`` yields role and text of each turn from the
+    spans; if it reads another number of turns than went in, as the default does where a
+    template does not mark turns its way, that is an error.
 
     Conversations are dealt by id, sorted inside partitions and streamed through the
     template and the reader, so a task never holds a whole conversation unless it
@@ -433,9 +435,12 @@ def format_conversations(turns: DataFrame, template: str = TEMPLATE, with_text:
                         text.append(span)
                     yield span, masked
 
-            for role, said in read_back(told(render(messages=(m for _, m in own)))):
+            n_in = count()
+            for role, said in reader(told(render(messages=(m for (_, m), _ in zip(own, n_in))))):
                 n += 1
                 digest.update(f"{role}\n{said}\n".encode())
+            if n != next(n_in) + sum(1 for _ in own):
+                raise ValueError("the reader does not read this template's turns")
             out.append([conv, "".join(text) if with_text else None, mask if with_text else None, n, digest.hexdigest(), loss_chars, loss.hexdigest(), chars])
             if len(out) == 256:
                 yield list(zip(*out))

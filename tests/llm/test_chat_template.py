@@ -69,6 +69,19 @@ def test_operator(spark):
     assert ct.format_conversations(df.limit(0)).collect() == []
 
 
+def test_another_template_needs_its_reader(spark):
+    df = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "yes")], "conv_id long, turn long, role string, text string")
+    template = "{% for message in messages %}{{ message.role | escape }}</s>{{ message.text | escape }}</s>{% endfor %}"
+    with pytest.raises(Exception, match="does not read this template's turns"):
+        ct.format_conversations(df, template).collect()
+
+    def reader(spans):
+        parts = "".join(t for t, _ in spans).split("</s>")
+        yield from zip(map(ct.unescape, parts[0:-1:2]), map(ct.unescape, parts[1::2]))
+
+    assert [r.n_turns for r in ct.format_conversations(df, template, reader=reader).collect()] == [2]
+
+
 def test_conversations(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
     rows = [(r.conv_id, r.turn, r.role, r.text) for r in df.collect()]
