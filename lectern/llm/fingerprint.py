@@ -99,10 +99,11 @@ def fingerprints(docs: DataFrame, hash_of=wide_hash, id_col: str = "doc_id", tex
         "k", F.col("n").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "hash", "more",
         hash_of(F.col("edited_canon")).alias("edited_hash"), seeded(F.col("edited_canon"), 3).alias("edited_more"), "near_next",
     )
-    # Broadcast: of n texts, n * n / 2**129 pairs are expected to collide in 128 bits, so
-    # that the table is empty for any corpus (of 10**12 texts, with odds of 10**15 to 1).
-    own = own.join(F.broadcast(mixed), "hash", "left")
-    own = own.join(F.broadcast(mixed.select(F.col("hash").alias("edited_hash"), F.col("mixed").alias("edited_mixed"))), "edited_hash", "left")
+    # of n texts, n * n / 2**129 pairs are expected to collide in 128 bits, so this table is
+    # mostly empty and Spark, which reads its size, broadcasts it
+    mixed = written(mixed, "mixed")
+    own = own.join(mixed, "hash", "left")
+    own = own.join(mixed.select(F.col("hash").alias("edited_hash"), F.col("mixed").alias("edited_mixed")), "edited_hash", "left")
     name = lambda h, m, mixed: F.lower(F.concat(F.hex(h), F.when(mixed, F.concat(F.lit("-"), F.lpad(F.hex(m), 16, "0"))).otherwise("")))
     near = (F.col("hash") == F.col("edited_hash")) & (F.col("more") == F.col("edited_more"))
     return own.select(
