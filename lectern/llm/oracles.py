@@ -56,10 +56,18 @@ FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN n USING (doc_id) JOIN r
 """
 
 
+#: The names of a site's own pages.
+PAGE_NAMES = ", ".join(
+    f"'{x}'"
+    for x in "about account archive blog careers cart checkout contact download downloads events faq forum gallery help home login logout menu news press privacy products"
+    " register search services shop sitemap support terms".split()
+)
+
 #: Quality rules of one line; expects ``line`` and its words ``ws``.
 LINE_FAILS = rf"""
 CASE WHEN len(ws) > 3 AND len(list_filter(ws, lambda x: x IN ('|', '>', '>>', '/', '\', '»', '›', '·', '•'))) > 0.2 * len(ws) THEN true
-     WHEN len(ws) >= 30 AND len(list_filter(ws, lambda x: regexp_matches(x, '(\.|!|\?|:|;|"|''|\)|…|”|»|’|。|！|？)$'))) = 0 THEN true
+     WHEN len(ws) >= 15 AND len(list_filter(ws, lambda x: regexp_matches(x, '(\.|!|\?|:|;|"|''|\)|…|”|»|’|。|！|？)$'))) = 0 THEN true
+     WHEN len(ws) > 2 AND len(list_filter(ws, lambda x: {lower("x")} IN ({PAGE_NAMES}))) >= 0.5 * len(ws) AND len(list_filter(ws, lambda x: regexp_matches(x, '(\.|!|\?|:|;|"|''|\)|…|”|»|’|。|！|？)$'))) = 0 THEN true
      WHEN len(ws) < 4 THEN false
      WHEN len(list_filter(ws, lambda x: regexp_matches(x, '[#*$%&|<>]'))) >= 0.4 * len(ws) THEN true
      WHEN len(list_filter(ws, lambda x: suffix(x, '!!'))) >= 0.6 * len(ws) THEN true
@@ -70,10 +78,13 @@ OP9 = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 b AS (SELECT doc_id, len({words("text")})::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
              (length(text) - length(regexp_replace(text, '[#*$%&|<>]+', '', 'g')))::BIGINT AS n_symbols FROM d),
-l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
-j AS (SELECT doc_id, line, {words("line")} AS ws FROM l),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
+e AS (SELECT doc_id, line, i, {words("line")} AS ws,
+             len(ws) <= 3 AND len(list_filter(ws, lambda x: regexp_matches(x, '^[A-Z]') AND NOT regexp_matches(x, '(\.|!|\?|:|;|"|''|\)|…|”|»|’|。|！|？)$'))) = len(ws) AS entry FROM l),
+f AS (SELECT *, count(*) FILTER (NOT entry) OVER (PARTITION BY doc_id ORDER BY i) AS block FROM e),
+j AS (SELECT doc_id, line, ws, entry AND len(ws) > 0 AND count(*) FILTER (entry AND len(ws) > 0) OVER (PARTITION BY doc_id, block) >= 6 AS menu FROM f),
 v AS (SELECT doc_id, coalesce((count(*) FILTER (len(ws) > 0) - count(DISTINCT line) FILTER (len(ws) > 0)), 0)::BIGINT AS n_dup_lines,
-             coalesce(sum(len(ws)) FILTER (len(ws) > 0 AND {LINE_FAILS}), 0) AS lost FROM j GROUP BY doc_id),
+             coalesce(sum(len(ws)) FILTER (len(ws) > 0 AND (menu OR {LINE_FAILS})), 0) AS lost FROM j GROUP BY doc_id),
 t AS (SELECT doc_id, unnest({words("text")}) AS w, generate_subscripts({words("text")}, 1) AS i FROM d),
 g AS (SELECT doc_id, i, w || ' ' || lead(w, 1) OVER p || ' ' || lead(w, 2) OVER p AS g FROM t WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
 c AS (SELECT doc_id, i, g IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, g) > 1 AS again FROM g),

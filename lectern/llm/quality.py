@@ -1,7 +1,8 @@
 """Line-first quality rules.
 
-Lines are judged first: a line goes if it has the marks of navigation, boilerplate
-or junk, or runs on like prose without any punctuation that ends a sentence. A document
+Lines are judged first: a line goes if it has the marks of navigation (entries between
+separators, names of a site's pages, a column of short titles), boilerplate or junk, or
+runs on like prose without any punctuation that ends a sentence. A document
 that loses too much of its text is rejected, as is one that fails the base rules.
 """
 
@@ -28,10 +29,19 @@ BOILERPLATE = re.compile(
 )
 END = (b".", b"!", b"?", b":", b";", b'"', b"'", b")", "…".encode(), "”".encode(), "»".encode(), "’".encode(), "。".encode(), "！".encode(), "？".encode())
 
+#: Names of a site's own pages; lower case.
+PAGE_NAMES = set(
+    b"about account archive blog careers cart checkout contact download downloads events faq forum gallery help home login logout menu news press privacy products"
+    b" register search services shop sitemap support terms".split()
+)
+
 #: A line of at least so many words of which none ends a sentence fails; shorter ones may be titles.
-PROSE_WORDS = 30
+PROSE_WORDS = 15
+#: So many lines on end of so many capitalised words at most are a menu.
+MENU_LINES, ENTRY_WORDS = 6, 3
 #: Shares of a line's words from which it fails.
 MAX_SEPARATORS = 0.2
+MAX_PAGE_NAMES = 0.5
 MAX_SYMBOL_WORDS = 0.4
 MAX_SHOUTED = 0.6
 #: Share of a document's words that failing lines may hold.
@@ -46,6 +56,8 @@ def line_fails(line: bytes) -> bool:
         return True
     if n >= PROSE_WORDS and not any(w.endswith(END) for w in words):
         return True
+    if n > 2 and sum(w.lower() in PAGE_NAMES for w in words) >= MAX_PAGE_NAMES * n and not any(w.endswith(END) for w in words):
+        return True
     if n < 4:
         return False
     stripped = len(line) - len(line.translate(None, SYMBOLS))
@@ -56,13 +68,35 @@ def line_fails(line: bytes) -> bool:
     return BOILERPLATE.search(line.lower()) is not None
 
 
+def is_entry(words: list[bytes]) -> bool:
+    """Whether a line's words may be an entry of a menu: few, capitalised, and none ends a sentence."""
+    return len(words) <= ENTRY_WORDS and all(b"A" <= w[:1] <= b"Z" and not w.endswith(END) for w in words)
+
+
+def failing(lines: list[bytes]) -> list[bool]:
+    """Which lines fail on their own or as part of a menu; lines without words neither fail nor end a menu."""
+    out = [bool(x.split()) and line_fails(x) for x in lines]
+    menu: list[int] = []
+    for k, line in enumerate([*lines, b"."]):
+        words = line.split()
+        if words and is_entry(words):
+            menu.append(k)
+        elif words:
+            if len(menu) >= MENU_LINES:
+                for at in menu:
+                    out[at] = True
+            menu = []
+    return out
+
+
 def clean(text: bytes) -> tuple[bytes, int, int]:
     """The text without failing lines, its number of words and that of the failing lines."""
     kept, words, lost = [], 0, 0
-    for line in text.split(b"\n"):
+    lines = text.split(b"\n")
+    for line, fails in zip(lines, failing(lines)):
         n = len(line.split())
         words += n
-        if n and line_fails(line):
+        if fails:
             lost += n
         else:
             kept.append(line)

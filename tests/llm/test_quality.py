@@ -12,12 +12,21 @@ PROSE = "This is a sentence of plain words, and it ends well. "
     [
         ("A plain sentence, that ends with a stop.", False), ("Short title", False), ("Home | About | News | Contact us", True), ("word " * 40, True), ("word " * 40 + "end.", False),
         ("All rights reserved by us and them", True), ("THIS!! IS!! VERY!! LOUD!!", True), ("a### b*** c$$$ d&&& e%%%", True), ("x # y plain words here and more words.", False), ("!!", False), ("Click here to read more now.", True),
+        ("Home About News Contact", True), ("Home About us Contact", True), ("The Long Way Home", False), ("Contact the press about events.", False), ("word " * 14, False), ("word " * 15, True),
     ],
 )
 def test_line_rules(line, fails):
     assert q.line_fails(line.encode()) is fails
 
 
+def test_menus_of_short_lines():
+    menu = ["Latest Stories", "World", "", "Our Sports", "Weather", "Travel", "Food"]
+    lines = [x.encode() for x in ["A plain sentence, that ends with a stop.", *menu, "Another one ends here."]]
+    assert q.failing(lines) == [False, True, True, False, True, True, True, True, False]
+    assert not any(q.failing(lines[:6]))
+    assert q.clean(b"\n".join(lines))[1:] == (20, 8)
+
+
 def brute(text):
     w = (text or "").split()
     grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
