@@ -100,8 +100,7 @@ def fingerprints(docs: DataFrame, hash_of=wide_hash, id_col: str = "doc_id", tex
         hash_of(F.col("edited_canon")).alias("edited_hash"), seeded(F.col("edited_canon"), 3).alias("edited_more"), "near_next",
     )
     # of n texts, n * n / 2**129 pairs are expected to collide in 128 bits, so this table is
-    # mostly empty and Spark, which reads its size, broadcasts it
-    mixed = written(mixed, "mixed")
+    # mostly empty, which adaptive execution sees
     own = own.join(mixed, "hash", "left")
     own = own.join(mixed.select(F.col("hash").alias("edited_hash"), F.col("mixed").alias("edited_mixed")), "edited_hash", "left")
     name = lambda h, m, mixed: F.lower(F.concat(F.hex(h), F.when(mixed, F.concat(F.lit("-"), F.lpad(F.hex(m), 16, "0"))).otherwise("")))
