@@ -136,7 +136,8 @@ def fitted_size(width: Column, height: Column, most: int = 2048) -> Column:
 
 
 def data_url(content: Column, kind: str = "image/png") -> Column:
-    return F.concat(F.lit(f"data:{kind};base64,"), F.base64(content))
+    """A data URL; Spark breaks base64 into lines, which such a URL does not have."""
+    return F.concat(F.lit(f"data:{kind};base64,"), F.translate(F.base64(content), "\r\n", ""))
 
 
 def needs_ocr(text: Column, kind: Column, n_images: Column, options: Options = Options()) -> Column:
