@@ -2,6 +2,7 @@
 
 from ..functions.generate import QUESTION_TEMPLATE, SYSTEM_PROMPT
 from ..functions.guard import GREETINGS, NOT_FULLY_VERIFIED, NOT_VERIFIED, OFF_TOPIC, OUT_OF_SCOPE, STOPWORDS
+from ..operators.overview import DIALOGUE, SLIDES
 
 
 def lit(s: str) -> str:
@@ -183,4 +184,37 @@ SELECT round::INT AS round, filename, CASE WHEN round = 2 AND status = 'ready' T
   CASE status WHEN 'failed' THEN 'Unsupported file type' WHEN 'partial' THEN 'No text could be extracted from the file.' END AS error_message
 FROM f JOIN o USING (content_hash), (SELECT unnest([1, 2]) AS round)""",
     "stored_chunks": rf"SELECT content_hash, 0::INT AS first_index FROM ({REGISTRY}) WHERE first_id % 3 = 0 AND regexp_matches(text, '\S')",
+    "selected_texts": f"{BUDGET} SELECT k.notebook_id, count(*)::INT AS n_texts, md5(string_agg(s.text, chr(10) ORDER BY k.id)) AS digest, sum(k.chars)::BIGINT AS total_chars FROM k JOIN s USING (notebook_id, id) WHERE NOT over GROUP BY 1",
+    "stand_in_scripts": f"""
+WITH f AS (SELECT source AS notebook_id, arg_min(text, doc_id) AS text FROM documents WHERE length(text) > 0 GROUP BY 1),
+m AS (SELECT notebook_id, substr(sha256(notebook_id || ':' || substr(text, 1, 50)), 1, 8) AS mark FROM f),
+p(part, pos, kind, text) AS (VALUES {", ".join([f"('dialogue', {k}, '{'AB'[k % 2]}', {lit(t)})" for k, t in enumerate(DIALOGUE)] + [f"('slide', {k}, {lit(t)}, {lit('|'.join([h, *b, n]))})" for k, (t, h, b, n) in enumerate(SLIDES)])})
+SELECT notebook_id, part, pos::INT AS pos, kind, replace(text, '{{}}', mark) AS text FROM m, p""",
+    "audio_outcomes": "SELECT user_id, count(*) FILTER (event_id % 50 = 0)::BIGINT AS n_ok, CASE WHEN count(*) FILTER (event_id % 50 = 0) > 0 THEN 'ready' ELSE 'failed' END AS status FROM events GROUP BY 1",
+    "audio_verdicts": """
+SELECT event_id, CASE WHEN event_id * 7919 % 20000000 > 10485760 THEN 'Audio upload exceeds 10 MB limit.' WHEN event_id % 90 > 60 THEN 'Audio exceeds 60s recording limit.' END AS error FROM events""",
+    "slide_manifest": "SELECT user_id, event_id AS pos, event_type || '.png' AS image, CASE WHEN event_id % 4 = 0 THEN 5::DOUBLE ELSE round((event_id % 97)::DOUBLE / 8 + 0.5::DOUBLE, 1) END AS duration FROM events",
+    "option_values": """
+WITH r AS (SELECT page_id, CASE WHEN page_id % 9 <> 0 THEN [' True ', '1', 'no', '', 'YES', '12', ' 7 ', 'x'][page_id % 8 + 1] END AS raw FROM pages)
+SELECT page_id, lower(trim(coalesce(raw, 'False'))) IN ('true', '1', 'yes') AS flag, coalesce(CASE WHEN regexp_matches(trim(raw), '^[0-9]+$') THEN trim(raw)::INT END, 5) AS number,
+  CASE WHEN coalesce(raw, '') <> '' THEN '<set>' ELSE '<unset>' END AS shown FROM r""",
+    "error_classes": """
+WITH m AS (SELECT event_id, ['HTTP 429 Too Many Requests', 'Read timed out', 'Connection reset', 'HTTP 401', '403 Forbidden', 'TIMEOUT', 'broken'][event_id % 7 + 1] AS message FROM events)
+SELECT event_id, CASE WHEN message LIKE '%401%' THEN 401 WHEN message LIKE '%403%' THEN 403 END::INT AS status, regexp_matches(lower(message), '429|timeout|timed out|connection') AS retryable FROM m""",
+    "account_rules": "SELECT c_custkey, c_custkey % 140 BETWEEN 1 AND 120 AS name_ok, c_custkey % 300 BETWEEN 8 AND 256 AS password_ok FROM customer",
+    "image_fit": """
+WITH s AS (SELECT p_partkey, (p_partkey * 37 % 5000 + 1)::INT AS w, (p_partkey * 91 % 4000 + 1)::INT AS h FROM part), f AS (SELECT *, least(1::DOUBLE, 2048::DOUBLE / greatest(w, h)) AS scale FROM s)
+SELECT p_partkey, trunc(w * scale)::INT AS width, trunc(h * scale)::INT AS height FROM f""",
+    "data_urls": "SELECT page_id, md5('data:text/html;base64,' || base64(encode(html))) AS digest FROM pages",
+    "ocr_gate": """
+SELECT doc_id, (doc_id % 8 < 4 OR length(trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13))) < 200) AND (doc_id % 4 = 0 OR (doc_id % 4 IN (1, 2) AND doc_id % 3 > 0)) AS needs_ocr FROM documents""",
+    "image_texts": """
+SELECT conv_id, turn, md5(concat_ws(chr(10) || chr(10), CASE WHEN text <> '' THEN '[Image 1]' || chr(10) || text END, '[Image 3]' || chr(10) || role)) AS digest FROM conversations""",
+    "sse_tokens": "SELECT conv_id, turn, md5(coalesce(text, '') || role) AS digest FROM conversations",
+    "message_sources": "SELECT conv_id, turn, (conv_id % 3 = 0)::INT AS n, CASE WHEN conv_id % 3 = 0 THEN 'f' || conv_id ELSE '' END AS filenames, CASE WHEN conv_id % 3 = 0 THEN turn END::INT AS page FROM conversations",
+    "office_texts": r"""
+WITH l AS (SELECT doc_id, doc_id % 2 = 1 AS odd, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+k AS (SELECT doc_id, odd, list_filter(lines, lambda x: regexp_matches(x, '\S')) AS all_lines, list_filter(lines[1:1], lambda x: regexp_matches(x, '\S')) AS first, list_filter(lines[2:], lambda x: regexp_matches(x, '\S')) AS rest FROM l),
+t AS (SELECT doc_id, odd, CASE WHEN odd THEN array_to_string(all_lines, chr(10) || chr(10)) ELSE concat_ws(chr(10) || chr(10), nullif(array_to_string(first, ''), ''), nullif(array_to_string(rest, chr(10)), '')) END AS text FROM k)
+SELECT doc_id, CASE WHEN odd THEN 'docx' ELSE 'pptx' END AS kind, true AS magic_ok, md5(text) AS digest, odd::INT AS n_images, NULL::VARCHAR AS error FROM t""",
 }

@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import chunk, embed, generate, guard, hashing, markdown, scripts, text
-from ..operators import admin, chat, context, registry, retrieval
+from ..operators import admin, chat, context, overview, registry, retrieval
 from ..operators import ingest as ingestion
+from ..sources import files, office
 from ..sources.config import Options
 from ..sources.files import upload_verdict
 from ..sources.tables import stored, workspace
@@ -577,3 +578,119 @@ def stored_chunks(spark, sf_dir):
     made = retrieval.rebuilt(entries)
     lost = ingestion.orphan_chunks(made, entries.where(F.pmod(F.col("first_id"), F.lit(3)) != 0))
     return lost.groupBy("content_hash").agg(F.min("chunk_index").alias("first_index"))
+
+
+# Media, options and office files ------------------------------------------------
+
+
+@query
+def selected_texts(spark, sf_dir):
+    """The texts that a notebook's scripts are made of."""
+    found = overview.selected_texts(sources(spark, sf_dir))
+    return found.select("notebook_id", F.size("texts").alias("n_texts"), F.md5(F.array_join("texts", "\n")).alias("digest"), "total_chars")
+
+
+@query
+def stand_in_scripts(spark, sf_dir):
+    """The offline dialogue and slides of each notebook with a text."""
+    first = sources(spark, sf_dir).where("length(text) > 0").groupBy("notebook_id").agg(F.array(F.min_by("text", "id")).alias("texts"))
+    said = first.select("notebook_id", F.lit("dialogue").alias("part"), F.posexplode(overview.stand_in_dialogue(F.col("notebook_id"), F.col("texts"))).alias("pos", "x"))
+    shown = first.select("notebook_id", F.lit("slide").alias("part"), F.posexplode(overview.stand_in_slides(F.col("notebook_id"), F.col("texts"))).alias("pos", "x"))
+    said = said.select("notebook_id", "part", "pos", F.col("x.host").alias("kind"), F.col("x.text").alias("text"))
+    return said.union(shown.select("notebook_id", "part", "pos", "x.type", F.concat("x.heading", F.lit("|"), F.array_join("x.bullets", "|"), F.lit("|"), "x.narration")))
+
+
+@query
+def audio_outcomes(spark, sf_dir):
+    """Users' events as utterances of an audio job, of which one in fifty is made."""
+    return overview.media_outcome(table(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 50 == 0).alias("ok")), "user_id")
+
+
+@query
+def audio_verdicts(spark, sf_dir):
+    """Events as recordings of some size and length."""
+    error = overview.audio_verdict(F.col("event_id") * 7919 % 20_000_000, F.col("event_id") % 90)
+    return table(spark, sf_dir, "events").select("event_id", error.alias("error"))
+
+
+@query
+def slide_manifest(spark, sf_dir):
+    """Users' events as slides, every fourth without narration."""
+    seconds = F.when(F.col("event_id") % 4 != 0, F.col("event_id") % 97 / F.lit(8.0))
+    slides = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("pos"), F.concat("event_type", F.lit(".png")).alias("image"), seconds.alias("audio_seconds"))
+    return overview.manifest(slides, "user_id")
+
+
+@query
+def option_values(spark, sf_dir):
+    """Settings as an environment gives them, some not set."""
+    kinds = F.array(*map(F.lit, [" True ", "1", "no", "", "YES", "12", " 7 ", "x"]))
+    raw = F.when(F.col("page_id") % 9 != 0, F.element_at(kinds, (F.col("page_id") % 8 + 1).cast("int")))
+    rows = table(spark, sf_dir, "pages").select("page_id", raw.alias("raw"))
+    return rows.select("page_id", text.as_bool(F.col("raw")).alias("flag"), text.as_int(F.col("raw"), 5).alias("number"), text.redact_secret(F.col("raw")).alias("shown"))
+
+
+@query
+def error_classes(spark, sf_dir):
+    """Errors of a provider: their status, and whether to try again."""
+    kinds = F.array(*map(F.lit, ["HTTP 429 Too Many Requests", "Read timed out", "Connection reset", "HTTP 401", "403 Forbidden", "TIMEOUT", "broken"]))
+    rows = table(spark, sf_dir, "events").select("event_id", F.element_at(kinds, (F.col("event_id") % 7 + 1).cast("int")).alias("message"))
+    return rows.select("event_id", text.error_status(F.col("message")).alias("status"), text.retryable(F.col("message")).alias("retryable"))
+
+
+@query
+def account_rules(spark, sf_dir):
+    """Names and passwords of all lengths."""
+    name, password = F.repeat(F.lit("x"), (F.col("c_custkey") % 140).cast("int")), F.repeat(F.lit("é"), (F.col("c_custkey") % 300).cast("int"))
+    return table(spark, sf_dir, "customer").select("c_custkey", admin.valid_name(name).alias("name_ok"), admin.valid_password(password).alias("password_ok"))
+
+
+@query
+def image_fit(spark, sf_dir):
+    """Parts as images of all shapes."""
+    size = files.fitted_size((F.col("p_partkey") * 37 % 5000 + 1).cast("int"), (F.col("p_partkey") * 91 % 4000 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", size["width"].alias("width"), size["height"].alias("height"))
+
+
+@query
+def data_urls(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(files.data_url(F.col("html").cast("binary"), "text/html")).alias("digest"))
+
+
+@query
+def ocr_gate(spark, sf_dir):
+    """Documents as files of four types, half of them with little text."""
+    kind = F.element_at(F.array(*map(F.lit, ["pdf", "docx", "pptx", "txt"])), (F.col("id") % 4 + 1).cast("int"))
+    little = F.when(F.col("id") % 8 < 4, "  few words ").otherwise(F.col("text"))
+    return sources(spark, sf_dir).select(F.col("id").alias("doc_id"), files.needs_ocr(little, kind, F.col("id") % 3).alias("needs_ocr"))
+
+
+@query
+def image_texts(spark, sf_dir):
+    """Texts of a file's images, the second of them blank."""
+    joined = files.joined_image_texts(F.array("text", F.lit(""), "role"), "Image")
+    return turns(spark, sf_dir).select("conv_id", "turn", F.md5(joined).alias("digest"))
+
+
+@query
+def sse_tokens(spark, sf_dir):
+    """What a reader of a stream of events puts together, a comment between two frames."""
+    frames = F.concat(text.sse_frame(F.struct(F.col("text").alias("token"))), F.lit(": ping\n\n"), text.sse_frame(F.struct(F.col("role").alias("token"))))
+    return turns(spark, sf_dir).select("conv_id", "turn", F.md5(text.sse_text(frames)).alias("digest"))
+
+
+@query
+def message_sources(spark, sf_dir):
+    """Sources of stored messages: some, none, broken."""
+    cited = F.to_json(F.array(F.struct(F.concat(F.lit("f"), F.col("conv_id").cast("string")).alias("filename"), F.col("turn").cast("int").alias("page"))))
+    found = chat.parsed_sources(F.when(F.col("conv_id") % 3 == 0, cited).when(F.col("conv_id") % 3 == 1, "[{broken"))
+    return turns(spark, sf_dir).select("conv_id", "turn", F.size(found).alias("n"), F.array_join(found["filename"], ",").alias("filenames"), F.try_element_at(found, F.lit(1))["page"].alias("page"))
+
+
+@query
+def office_texts(spark, sf_dir):
+    """Documents as office files, read back: odd ones with a paragraph for each line, even ones with the first line on a slide of its own."""
+    kind = F.when(F.col("id") % 2 == 1, "docx").otherwise("pptx")
+    rows = sources(spark, sf_dir).select(F.col("id").alias("doc_id"), office.packer()(F.coalesce("text", F.lit("")), kind).alias("content"), kind.alias("kind"))
+    rows = rows.select("doc_id", "kind", files.magic_ok(F.col("content"), F.col("kind")).alias("magic_ok"), files.parser()(F.col("content"), F.col("kind")).alias("x"))
+    return rows.select("doc_id", "kind", "magic_ok", F.md5("x.text").alias("digest"), F.size("x.images").alias("n_images"), "x.error")

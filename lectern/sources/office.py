@@ -1,0 +1,54 @@
+"""Texts to minimal office files, for tests of reading them."""
+
+from __future__ import annotations
+
+import io
+import zipfile
+from collections.abc import Callable
+from xml.sax.saxutils import escape
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from .files import A, R, W
+
+#: The oldest time that an archive can hold, so that equal texts make equal files.
+STAMP = (1980, 1, 1, 0, 0, 0)
+
+
+def _archive(parts: dict[str, str | bytes]) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, content in parts.items():
+            z.writestr(zipfile.ZipInfo(name, STAMP), content)
+    return out.getvalue()
+
+
+def docx(lines: list[str], image: bytes = b"image") -> bytes:
+    """A document with a paragraph for each line, and one image."""
+    body = "".join(f"<w:p><w:r><w:t>{escape(x)}</w:t></w:r></w:p>" for x in lines)
+    return _archive({"word/document.xml": f'<w:document xmlns:w="{W[1:-1]}"><w:body>{body}</w:body></w:document>', "word/media/image1.png": image})
+
+
+def pptx(slides: list[list[str]]) -> bytes:
+    """A presentation of slides, with a paragraph for each of their lines; the archive holds the slides in reverse."""
+    ids = range(1, len(slides) + 1)
+    listed = "".join(f'<p:sldId r:id="r{k}"/>' for k in ids)
+    targets = "".join(f'<Relationship Id="r{k}" Target="slides/slide{k}.xml"/>' for k in ids)
+    parts: dict[str, str | bytes] = {"ppt/presentation.xml": f'<p:presentation xmlns:p="p" xmlns:r="{R[1:-1]}">{listed}</p:presentation>', "ppt/_rels/presentation.xml.rels": f"<Relationships>{targets}</Relationships>"}
+    for k in reversed(ids):
+        shapes = "".join(f"<a:p><a:r><a:t>{escape(x)}</a:t></a:r></a:p>" for x in slides[k - 1])
+        parts[f"ppt/slides/slide{k}.xml"] = f'<p:sld xmlns:p="p" xmlns:a="{A[1:-1]}">{shapes}</p:sld>'
+    return _archive(parts)
+
+
+def packer() -> Callable[[Column, Column], Column]:
+    """A column function from ``(text, kind)`` to a file: ``docx`` by lines; else ``pptx``, its first line on a slide of its own."""
+
+    @F.pandas_udf("binary")
+    def pack(texts: pd.Series, kinds: pd.Series) -> pd.Series:
+        lines = [t.split("\n") for t in texts]
+        return pd.Series([docx(x) if k == "docx" else pptx([x[:1], x[1:]]) for x, k in zip(lines, kinds)])
+
+    return pack
