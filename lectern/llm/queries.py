@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_template, fingerprint, html_text, language_id, line_dedup, mixing, near_dup, oracles, quality, token_counts
+from . import bpe, chat_template, fingerprint, html_text, language_id, line_dedup, mixing, near_dup, oracles, packing, quality, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op11_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+
+
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -69,6 +73,7 @@ QUERIES = {
     "op8_near_dup": op8_near_dup,
     "op9_quality": op9_quality,
     "op10_bpe": op10_bpe,
+    "op11_pack": op11_pack,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
