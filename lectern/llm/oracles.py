@@ -95,3 +95,52 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, coalesce(n_repeat_wo
        NOT (n_words < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words) AND lost <= 0.5 * n_words AS kept
 FROM b JOIN v USING (doc_id) LEFT JOIN n USING (doc_id)
 """
+
+
+def _p(count: str, total: str, terms: str) -> str:
+    return f"1 + 1000000000::HUGEINT * ({count} + 1) // ({total} + {terms})"
+
+
+OP12 = rf"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({lower("coalesce(text, '')")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws, row_number() OVER () AS doc FROM documents),
+w AS (SELECT lang, source, doc, unnest(ws) AS term FROM d),
+k AS (SELECT lang, term, count(*)::HUGEINT AS in_lang FROM w GROUP BY 1, 2 HAVING count(DISTINCT doc) >= 3),
+l AS (SELECT lang, count(*)::HUGEINT AS v, sum(in_lang)::HUGEINT AS n FROM k GROUP BY 1),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS c FROM w SEMI JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+n AS (SELECT lang, source, sum(c)::HUGEINT AS n FROM c GROUP BY 1, 2),
+a AS (SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c, {_p("coalesce(c.c, 0)", "coalesce(n.n, 0)", "l.v")} AS p, {_p("k.in_lang", "l.n", "l.v")} AS q
+      FROM g JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN n ON n.lang = g.lang AND n.source = g.source LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+s AS (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p)::BIGINT AS value FROM a x JOIN a y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY 1, 2, 3),
+o AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0)::BIGINT AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN s ON s.lang = x.lang AND s.source = x.source AND s.item = y.source
+      UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM a WHERE c > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM o)
+SELECT * FROM r WHERE part = 'pair' OR rank <= 200
+"""
+
+
+def _nearest(books: str) -> str:
+    return f"""SELECT r, k, any_value(p.x) AS x, arg_min(entry, (d, entry)) AS entry, min(d) AS d
+      FROM (SELECT p.r, p.k, p.x, b.entry, list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM p JOIN {books} b USING (k)) p GROUP BY r, k"""
+
+
+def _replaced(books: str, assigned: str) -> str:
+    floor_mean = "((s - ((s % n) + n) % n) // n)::BIGINT"
+    return f"""SELECT b.k, b.entry, coalesce(m.x, b.x) AS x FROM {books} b LEFT JOIN (SELECT k, entry, list({floor_mean} ORDER BY j) AS x
+      FROM (SELECT k, entry, j, sum(x[j])::BIGINT AS s, count(*)::BIGINT AS n FROM (SELECT k, entry, x, unnest(range(1, len(x) + 1)) AS j FROM {assigned}) GROUP BY k, entry, j) GROUP BY k, entry) m USING (k, entry)"""
+
+
+OP13 = f"""
+WITH e AS (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS r, list_transform(embedding, lambda v: floor(256 * v::DOUBLE)::BIGINT) AS x
+      FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+p AS (SELECT r, k, x[k * (len(x) // 16) + 1:(k + 1) * (len(x) // 16)] AS x FROM e, (SELECT unnest(range(16)) AS k)),
+b0 AS MATERIALIZED (SELECT k, r - 1 AS entry, x FROM p WHERE r <= 64),
+a0 AS MATERIALIZED ({_nearest("b0")}),
+b1 AS MATERIALIZED ({_replaced("b0", "a0")}),
+a1 AS MATERIALIZED ({_nearest("b1")}),
+b2 AS MATERIALIZED ({_replaced("b1", "a1")}),
+a2 AS MATERIALIZED ({_nearest("b2")}),
+c AS (SELECT r, string_agg(printf('%02x', entry), '' ORDER BY k) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY r),
+h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY k, entry)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM e JOIN c USING (r), h
+"""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_template, fingerprint, html_text, language_id, line_dedup, mixing, near_dup, oracles, packing, quality, token_counts
+from . import bpe, chat_template, divergence, fingerprint, html_text, language_id, line_dedup, mixing, near_dup, oracles, packing, quality, token_counts, vector_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,14 @@ def op11_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -74,6 +82,8 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_bpe": op10_bpe,
     "op11_pack": op11_pack,
+    "op12_divergence": op12_divergence,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
@@ -82,4 +92,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_line_dedup": oracles.OP6,
     "op8_near_dup": oracles.op8(85),
     "op9_quality": oracles.OP9,
+    "op12_divergence": oracles.OP12,
+    "op13_vector_codes": oracles.OP13,
 }
