@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -49,6 +51,13 @@ def stand_in_answer(messages: Column) -> Column:
     )
 
 
+def plain_stand_in_answer(messages: list) -> str:
+    """The same for one list of messages, for plugs that call it value by value."""
+    key = "|".join(f"{m['role']}:{m['content']}" for m in messages)
+    asked = next((m["content"] for m in reversed(messages) if m["role"] == "user"), "")
+    return f"[mock answer {hashlib.sha256(key.encode()).hexdigest()[:8]}] Based on the provided sources, here is a response to: {asked[:60]}."
+
+
 def answer_tokens(answer: Column) -> Column:
     """The words of an answer, each with a space, as a model would stream them."""
     words = F.filter(F.split(answer, r"(?U)\s+"), lambda w: w != "")
@@ -92,3 +101,51 @@ def plugged(df: DataFrame, model: Callable[[], Callable[[list], list]], column:
             yield pd.Series(run(values.tolist()), index=values.index)
 
     return df.withColumn(to, apply(F.col(column)))
+
+
+#: Models that this worker has made, by plug.
+_MODELS: dict[str, Callable] = {}
+#: What an error says that is worth another attempt.
+TRANSIENT = ("429", "timeout", "timed out", "connection")
+
+
+def guarded(model: Callable[[], Callable], kind: str = "string", attempts: int = 2) -> Callable[[Column], Column]:
+    """A column function through a model that never fails its batch: struct ``(ok, value, error, attempts)``.
+
+    A worker makes the model once and keeps it for its later batches and tasks; it is called value by
+    value. A rate limit, time-out or lost connection is worth another attempt, up to ``attempts``; any
+    other error ends the row at once. A model that cannot be made is an error of every
+    row. Null values are not asked: not ok, without error or attempt.
+    """
+    plug = uuid.uuid4().hex
+
+    def called(run: Callable, value: object) -> tuple:
+        for n in range(1, attempts + 1):
+            try:
+                return True, run(value), None, n
+            except Exception as error:
+                said = f"{type(error).__name__}: {error}"
+                if n == attempts or not any(x in said.lower() for x in TRANSIENT):
+                    return False, None, said, n
+        return False, None, None, 0
+
+    def unmade(error: Exception) -> Callable:
+        def run(value: object) -> None:
+            raise type(error)(*error.args)
+
+        return run
+
+    @F.pandas_udf(f"struct<ok:boolean,value:{kind},error:string,attempts:int>")
+    def apply(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        if plug not in _MODELS:
+            try:
+                _MODELS[plug] = model()
+            except Exception as error:
+                _MODELS[plug] = unmade(error)
+        run = _MODELS[plug]
+        for values in batches:
+            null = lambda v: v is None or v is pd.NA or (isinstance(v, float) and v != v)
+            rows = [(False, None, None, 0) if null(v) else called(run, v) for v in values]
+            yield pd.DataFrame({c: pd.Series([r[k] for r in rows], dtype=object if c in ("value", "error") else None) for k, c in enumerate(("ok", "value", "error", "attempts"))})
+
+    return apply

@@ -22,10 +22,14 @@ OUT_OF_SCOPE = "I can only answer questions related to the sources in this noteb
 NO_INFORMATION = "I don't have enough information from the sources to answer that question."
 
 
+def word_runs(text: Column) -> Column:
+    """The lower-case runs of three or more ASCII letters, repeats and stopwords included; empty for null."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-zA-Z]{3,}"), 0)
+
+
 def meaningful_words(text: Column) -> Column:
     """The distinct lower-case runs of three or more ASCII letters that are no stopwords; empty for null."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-zA-Z]{3,}"), 0)
-    return F.array_except(F.array_distinct(words), F.array(*map(F.lit, STOPWORDS)))
+    return F.array_except(F.array_distinct(word_runs(text)), F.array(*map(F.lit, STOPWORDS)))
 
 
 def passes_phrases(question: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import generate
-from ..functions.guard import NO_INFORMATION, NOT_FULLY_VERIFIED, NOT_VERIFIED, OUT_OF_SCOPE, groundedness, meaningful_words, passes_phrases
+from ..functions.guard import NO_INFORMATION, NOT_FULLY_VERIFIED, NOT_VERIFIED, OUT_OF_SCOPE, groundedness, meaningful_words, passes_phrases, word_runs
 
 
 def in_scope(questions: DataFrame, texts: DataFrame) -> DataFrame:
@@ -17,8 +17,10 @@ def in_scope(questions: DataFrame, texts: DataFrame) -> DataFrame:
     asked words are left of it before it is made distinct.
     """
     asked = questions.where(passes_phrases(F.col("question"))).select("question_id", "notebook_id", F.explode(meaningful_words(F.col("question"))).alias("word"))
-    words = texts.select("notebook_id", F.explode(meaningful_words(F.col("text"))).alias("word"))
-    vocabulary = words.join(asked.select("notebook_id", "word").distinct(), ["notebook_id", "word"], "left_semi").distinct()
+    wanted = asked.select("notebook_id", "word").distinct()
+    # only asked words of asked notebooks go on, so stopwords and repeats of a text need no pass of their own
+    words = texts.join(wanted.select("notebook_id").distinct(), "notebook_id", "left_semi").select("notebook_id", F.explode(word_runs(F.col("text"))).alias("word"))
+    vocabulary = words.join(wanted, ["notebook_id", "word"], "left_semi").distinct()
     hit = asked.join(vocabulary, ["notebook_id", "word"], "left_semi").select("question_id").distinct().withColumn("in_scope", F.lit(True))
     return questions.join(hit, "question_id", "left").withColumn("in_scope", F.coalesce("in_scope", F.lit(False)))
 

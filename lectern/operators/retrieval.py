@@ -53,11 +53,30 @@ def _scores(metric: str) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     def score(asked: np.ndarray, held: np.ndarray) -> np.ndarray:
         product = asked @ held.T
         a, h = (asked * asked).sum(axis=1)[:, None], (held * held).sum(axis=1)[None, :]
-        return product / np.sqrt(a * h) if metric == "cosine" else 1 - (a + h - 2 * product)
+        # equal vectors get equal scores, whatever else is in their blocks
+        return np.round(product / np.sqrt(a * h) if metric == "cosine" else 1 - (a + h - 2 * product), 12)
 
     return score
 
 
+def _best_of_block(scores: np.ndarray, codes: np.ndarray, places: np.ndarray, k: int, top: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of each question's ``k`` best chunks of every collection, and of these its ``top`` best."""
+    wide = lambda x: np.broadcast_to(x, scores.shape)
+    order = np.lexsort((wide(places), -scores, wide(codes)), axis=1)
+    own = codes[order]
+    new = np.concatenate((np.ones((len(own), 1), bool), own[:, 1:] != own[:, :-1]), axis=1)
+    at = np.arange(own.shape[1])
+    found = at - np.maximum.accumulate(np.where(new, at, 0), axis=1) < k
+    if not top or own.shape[1] <= top:
+        rows, n = np.nonzero(found)
+        return rows, order[rows, n]
+    chosen = np.zeros(scores.shape, bool)
+    np.put_along_axis(chosen, order, found, axis=1)
+    best = np.lexsort((wide(places), wide(codes), -scores, ~chosen), axis=1)[:, :top]
+    rows, n = np.nonzero(np.take_along_axis(chosen, best, axis=1))
+    return rows, best[rows, n]
+
+
 def scored(
     chunks_: DataFrame, questions: DataFrame, collection: str = "content_hash", index: str = "chunk_index", k: int = PER_COLLECTION, scope: str | None = None, top: int | None = None, metric: str = "l2"
 ) -> DataFrame:
@@ -72,6 +91,8 @@ def scored(
     own = lambda df: F.col(scope) if scope else F.lit(0)
     asked = _blocks(questions.where("embedding is not null").select(own(questions).alias("scope"), "question_id", F.col("embedding").cast("array<float>").alias("v")), ASKED)
     held = chunks_.where("embedding is not null").select(own(chunks_).alias("scope"), F.col(collection).alias("c"), F.col(index).cast("bigint").alias("i"), F.col("embedding").cast("array<float>").alias("v"))
+    if scope:  # a block is of one scope, so those of a scope lie together; a hot one over several ranges
+        held = held.repartitionByRange("scope", "c", "i").sortWithinPartitions("scope")
     asked = asked.select("scope", F.col("keys.question_id").alias("q"), F.col("vectors").alias("asked"))
     held = _blocks(held, HELD).select("scope", F.col("keys.c").alias("c"), F.col("keys.i").alias("i"), F.col("vectors").alias("held"))
     pairs = held.join(asked, "scope") if scope else held.drop("scope").crossJoin(asked.drop("scope"))
@@ -87,17 +108,7 @@ def scored(
                 scores = score(matrix(of), matrix(on))
                 codes = np.asarray(pc.rank(c.values, tiebreaker="dense")).astype(np.int64)
                 places = i.values.to_numpy()
-                rows, cols = [], []
-                for n, s in enumerate(scores):
-                    order = np.lexsort((places, -s, codes))
-                    first = np.flatnonzero(np.diff(codes[order], prepend=-1))
-                    place = np.arange(len(order)) - np.repeat(first, np.diff(first, append=len(order)))
-                    found = order[place < k]
-                    if top and len(found) > top:
-                        found = found[np.lexsort((places[found], codes[found], -s[found]))[:top]]
-                    rows.append(np.full(len(found), n))
-                    cols.append(found)
-                rows, cols = np.concatenate(rows), np.concatenate(cols)
+                rows, cols = _best_of_block(scores, codes, places, k, top)
                 yield pa.RecordBatch.from_arrays([q.values.take(pa.array(rows)), c.values.take(pa.array(cols)), i.values.take(pa.array(cols)), pa.array(scores[rows, cols])], ["question_id", "collection", "index", "score"])
 
     kinds = questions.schema["question_id"].dataType.simpleString(), chunks_.schema[collection].dataType.simpleString()

@@ -1,8 +1,9 @@
 """DuckDB SQL with the results of the queries, by name."""
 
 from ..functions.generate import QUESTION_TEMPLATE, SYSTEM_PROMPT
-from ..functions.guard import GREETINGS, NOT_FULLY_VERIFIED, NOT_VERIFIED, OFF_TOPIC, OUT_OF_SCOPE, STOPWORDS
+from ..functions.guard import GREETINGS, NO_INFORMATION, NOT_FULLY_VERIFIED, NOT_VERIFIED, OFF_TOPIC, OUT_OF_SCOPE, STOPWORDS
 from ..operators.overview import DIALOGUE, SLIDES
+from . import chunk_sql
 
 
 def lit(s: str) -> str:
@@ -55,7 +56,92 @@ k AS (SELECT *, 'system:' || '<|think|>' || {lit(SYSTEM_PROMPT)} || '|user:' ||
 """
 TOKENS = r"regexp_extract_all(question, '\S+')"
 
+CHUNKS = "WITH RECURSIVE " + chunk_sql.chunks("SELECT doc_id AS key, text FROM documents")
+#: Benchmark items asked to notebooks; chunks of their contents by the hash embedder; the best three of a content, five in all.
+ASKED = f"""
+WITH RECURSIVE {chunk_sql.chunks(f"SELECT content_hash AS key, text FROM ({REGISTRY})")},
+src AS ({SRC}),
+q AS (SELECT item_id AS question_id, 'src' || (item_id % 20) AS notebook_id, QUESTION AS question FROM benchmark),
+qw AS (SELECT question_id, notebook_id, unnest({words('question')}) AS word FROM q WHERE {PHRASES}),
+vw AS (SELECT DISTINCT notebook_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-zA-Z]{{3,}}')) AS word FROM src),
+hit AS (SELECT DISTINCT question_id FROM qw JOIN vw USING (notebook_id, word)),
+own AS (SELECT DISTINCT notebook_id, content_hash FROM src),
+cv AS (SELECT key, chunk_index, document, {chunk_sql.vector("document", 64)} AS v FROM chunk),
+qv AS (SELECT q.*, {chunk_sql.vector("question", 64, "query")} AS v FROM q JOIN hit USING (question_id)),
+sc AS (SELECT question_id, key, chunk_index, round(1 - list_sum(list_transform(list_zip(cv.v, qv.v), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) ** 2)), 12) AS score FROM qv JOIN own USING (notebook_id) JOIN cv ON cv.key = own.content_hash),
+b3 AS (SELECT *, row_number() OVER (PARTITION BY question_id, key ORDER BY score DESC, chunk_index) AS place FROM sc),
+b5 AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, key, chunk_index) AS rank FROM b3 WHERE place <= 3),
+fn AS (SELECT content_hash AS key, arg_min(notebook_id || '.txt', id) AS filename FROM src WHERE notebook_id IN (SELECT notebook_id FROM q) GROUP BY 1),
+ht AS (SELECT question_id, rank, filename, chunk_index + 1 AS page, document FROM b5 JOIN chunk USING (key, chunk_index) JOIN fn USING (key) WHERE rank <= 5),
+ct AS (SELECT question_id, count(DISTINCT (filename, page))::INT AS n_sources, string_agg('[Source ' || rank || '] (' || filename || ', Page ' || page || ')' || chr(10) || document, chr(10) || chr(10) ORDER BY rank) AS context FROM ht GROUP BY 1),
+ci AS (SELECT question_id, '[' || string_agg('{{"filename":"' || filename || '","page":' || page || '}}', ',' ORDER BY r) || ']' AS cited FROM (SELECT question_id, filename, page, min(rank) AS r FROM ht GROUP BY 1, 2, 3) GROUP BY 1),
+j AS (SELECT q.*, hit.question_id IS NOT NULL AS in_scope, coalesce(context, '') AS context, coalesce(n_sources, 0) AS n_sources, coalesce(cited, '[]') AS cited FROM q LEFT JOIN hit USING (question_id) LEFT JOIN ct USING (question_id) LEFT JOIN ci USING (question_id)),
+m AS (SELECT *, {lit(QUESTION_TEMPLATE[0])} || context || {lit(QUESTION_TEMPLATE[1])} || question AS asked FROM j),
+s AS (SELECT *, '[mock answer ' || substr(sha256('system:<|think|>' || {lit(SYSTEM_PROMPT)} || '|user:' || asked), 1, 8) || '] Based on the provided sources, here is a response to: ' || substr(asked, 1, 60) || '.' AS said FROM m),
+g AS (SELECT *, len(list_intersect({words('said')}, {words('context')})) / len({words('said')}) AS share FROM s),
+a AS (SELECT *, CASE WHEN NOT in_scope THEN {lit(OUT_OF_SCOPE)} WHEN context = '' THEN {lit(NO_INFORMATION)} WHEN len({words('context')}) = 0 THEN said || {lit(NOT_VERIFIED)} WHEN share >= 0.5 THEN said ELSE said || {lit(NOT_FULLY_VERIFIED)} END AS answer,
+        CASE WHEN trim(coalesce(question, '')) = '' THEN 'Question is required.' WHEN in_scope AND context <> '' AND length(question) % 7 = 0 THEN 'ValueError: refused' END AS error FROM g)
+"""
+#: Events that the watermark of a stream, a day behind the newest, has passed; with their number for each user.
+PASSED = """m AS (SELECT (epoch_us(max(ts)) // 1000 - 86400000) * 1000 AS mark FROM events),
+e AS (SELECT *, epoch_us(ts) AS us, (props->>'k')::BIGINT AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events, m WHERE epoch_us(ts) <= mark),"""
+#: State after each event of a job (states by their place), then what each event ended; twelve hours are 43200000000.
+JOB_RUNS = f"""
+WITH RECURSIVE {PASSED}
+v AS (SELECT user_id, n, us, list_position(['signup', 'view', 'click', 'purchase', 'error'], event_type) AS k FROM e),
+r AS (SELECT user_id, 0::BIGINT AS n, 0::BIGINT AS run, 0::BIGINT AS state, NULL::BIGINT AS since, NULL::BIGINT AS started, 0::BIGINT AS steps, 0::BIGINT AS refused, NULL::BIGINT AS k, NULL::BIGINT AS us,
+        false AS stuck, false AS refuse FROM (SELECT DISTINCT user_id FROM v)
+  UNION ALL
+  SELECT user_id, n,
+    CASE WHEN NOT refuse AND (k = 1 OR open IS NULL) THEN run + 1 ELSE run END, CASE WHEN refuse THEN now ELSE k END, CASE WHEN refuse THEN since WHEN k >= 4 THEN NULL ELSE us END,
+    CASE WHEN refuse THEN open WHEN k >= 4 THEN NULL WHEN k = 1 OR open IS NULL THEN us ELSE open END, CASE WHEN refuse THEN own WHEN k >= 4 THEN 0 WHEN k = 1 OR open IS NULL THEN 1 ELSE own + 1 END,
+    CASE WHEN refuse THEN no + (open IS NOT NULL)::BIGINT WHEN k >= 4 OR k = 1 OR open IS NULL THEN 0 ELSE no END, k, us, stuck, refuse
+  FROM (SELECT *, k <> 1 AND (now = 5 OR (k = 5 AND now = 4) OR (k <> 5 AND k <= now)) AS refuse
+    FROM (SELECT r.user_id, v.n, v.k, v.us, r.run, coalesce(r.since + 43200000000 < v.us, false) AS idle, idle AS stuck, CASE WHEN NOT idle THEN r.since END AS since, CASE WHEN idle THEN 5 ELSE r.state END AS now,
+            CASE WHEN NOT idle THEN r.started END AS open, CASE WHEN idle THEN 0 ELSE r.steps END AS own, CASE WHEN idle THEN 0 ELSE r.refused END AS no
+          FROM r JOIN v ON v.user_id = r.user_id AND v.n = r.n + 1))),
+b AS (SELECT r.user_id::VARCHAR AS job, r.run AS new_run, r.k, r.us, r.stuck, r.refuse, p.run, p.state, p.since, p.started, p.steps, p.refused, NOT r.stuck AND p.started IS NOT NULL AS going FROM r JOIN r p ON p.user_id = r.user_id AND p.n = r.n - 1),
+l AS (SELECT r.* FROM r JOIN (SELECT user_id, max(n) AS n FROM r GROUP BY 1) USING (user_id, n)),
+s AS (SELECT ['queued', 'scripting', 'synthesizing', 'ready', 'failed'] AS names)
+SELECT job, run, 'failed' AS status, 'stuck' AS reason, started, since + 43200000000 AS ended, steps, refused FROM b WHERE stuck
+UNION ALL SELECT job, run, names[state], 'queued anew', started, us, steps, refused FROM b, s WHERE k = 1 AND going
+UNION ALL SELECT job, new_run, names[k], 'step', CASE WHEN going THEN started ELSE us END, us, CASE WHEN going THEN steps + 1 ELSE 1 END, CASE WHEN going THEN refused ELSE 0 END FROM b, s WHERE NOT refuse AND k >= 4
+UNION ALL SELECT user_id::VARCHAR, run, 'failed', 'stuck', started, since + 43200000000, steps, refused FROM l, m WHERE since + 43200000000 <= mark
+"""
+#: The same for voice connections; six hours are 21600000000.
+VOICE_HISTORY = f"""
+WITH RECURSIVE {PASSED}
+v AS (SELECT user_id, n, us, event_id AS seq, CASE event_type WHEN 'signup' THEN 'connect' WHEN 'view' THEN 'start' WHEN 'click' THEN 'audio' WHEN 'purchase' THEN 'stop' ELSE CASE WHEN k % 2 = 0 THEN 'cancel' ELSE 'disconnect' END END AS event,
+        CASE WHEN k % 10 <> 0 THEN k END AS nb, value >= 5 AS auth, k % 4 <> 0 AS owner FROM e),
+r AS (SELECT user_id, 0::BIGINT AS n, false AS live, NULL::BIGINT AS held, NULL::BIGINT AS started, NULL::BIGINT AS last, 0::BIGINT AS turns FROM (SELECT DISTINCT user_id FROM v)
+  UNION ALL
+  SELECT user_id, n, CASE WHEN event = 'connect' THEN auth WHEN event = 'disconnect' THEN false ELSE live END,
+    CASE WHEN fresh THEN nb WHEN gone THEN NULL ELSE own END, CASE WHEN fresh THEN us WHEN gone OR own IS NULL THEN NULL ELSE started END,
+    CASE WHEN fresh THEN us WHEN gone OR own IS NULL THEN NULL WHEN live OR event = 'connect' THEN us ELSE last END, CASE WHEN fresh OR gone OR own IS NULL THEN 0 WHEN live AND event = 'stop' THEN turns + 1 ELSE turns END
+  FROM (SELECT v.*, r.live, r.started, r.last, r.turns, CASE WHEN NOT coalesce(r.last + 21600000000 < v.us, false) THEN r.held END AS own, r.live AND event = 'start' AND nb IS NOT NULL AND owner AS fresh, r.live AND event IN ('cancel', 'disconnect') AS gone
+        FROM r JOIN v ON v.user_id = r.user_id AND v.n = r.n + 1)),
+b AS (SELECT v.*, p.live, p.held, p.started, p.last, p.turns, coalesce(p.last + 21600000000 < v.us, false) AS over FROM v JOIN r p ON p.user_id = v.user_id AND p.n = v.n - 1),
+y AS (SELECT *, CASE WHEN event = 'connect' THEN CASE WHEN NOT auth THEN 'rejected' END WHEN NOT live THEN NULL WHEN event = 'start' THEN CASE WHEN nb IS NULL THEN 'error: notebook_id required' WHEN NOT owner THEN 'error: not owner' ELSE 'ready' END
+        WHEN event = 'audio' THEN 'error: audio must be sent via HTTP POST /voice/turn' WHEN event = 'stop' THEN 'sending' WHEN event = 'cancel' THEN 'cancelled' END AS reply FROM b),
+l AS (SELECT r.* FROM r JOIN (SELECT user_id, max(n) AS n FROM r GROUP BY 1) USING (user_id, n))
+SELECT user_id::VARCHAR AS sid, seq, 'reply' AS kind, reply AS text, NULL::BIGINT AS notebook_id, NULL::BIGINT AS user_id, NULL::BIGINT AS started, NULL::BIGINT AS ended, NULL::BIGINT AS turns FROM y WHERE reply IS NOT NULL
+UNION ALL SELECT user_id::VARCHAR, NULL, 'end', 'expired', held, user_id, started, last + 21600000000, turns FROM b WHERE over
+UNION ALL SELECT user_id::VARCHAR, seq, 'end', CASE event WHEN 'start' THEN 'started anew' WHEN 'cancel' THEN 'cancelled' ELSE 'disconnected' END, held, user_id, started, us, turns FROM b
+  WHERE live AND NOT over AND held IS NOT NULL AND (event IN ('cancel', 'disconnect') OR (event = 'start' AND nb IS NOT NULL AND owner))
+UNION ALL SELECT user_id::VARCHAR, NULL, 'end', 'expired', held, user_id, started, last + 21600000000, turns FROM l, m WHERE last + 21600000000 <= mark
+"""
+
 ORACLE_SQL = {
+    "ann_exact": MANY + top("l2") + " SELECT question_id, vec_id, label, score, rank::INT AS rank FROM h WHERE rank <= 5",
+    "ann_recall": MANY + top("l2") + " SELECT count(DISTINCT question_id)::BIGINT AS n_questions, count(*)::BIGINT AS n_hits, true AS enough FROM h WHERE rank <= 5",
+    "stream_distinct": "SELECT DISTINCT sha256(text) AS content_hash FROM documents",
+    "guarded_models": """
+WITH e AS (SELECT event_id, event_type = 'view' AS skipped, (props->>'k')::BIGINT AS k FROM events)
+SELECT event_id, NOT skipped AND k % 7 <> 0 AND k % 11 <> 0 AS ok, CASE WHEN NOT skipped AND k % 7 <> 0 AND k % 11 <> 0 THEN 'said ' || k END AS value,
+  CASE WHEN skipped THEN NULL WHEN k % 7 = 0 THEN 'ValueError: refused ' || k WHEN k % 11 = 0 THEN 'RuntimeError: HTTP 429' END AS error,
+  CASE WHEN skipped THEN 0 WHEN k % 7 = 0 THEN 1 WHEN k % 5 = 0 OR k % 11 = 0 THEN 2 ELSE 1 END::INT AS attempts FROM e""",
+    "job_runs": JOB_RUNS,
+    "voice_history": VOICE_HISTORY,
     "registry_dedup": f"SELECT content_hash, 'doc_' || substr(content_hash, 1, 59) AS collection, first_id, n_refs, length(text)::INT AS char_count FROM ({REGISTRY})",
     "collection_names": f"SELECT id AS doc_id, 'doc_' || substr(content_hash, 1, 59) AS collection, substr(content_hash, 1, 16) || '_0' AS first_chunk FROM ({SRC})",
     "shared_refcount": f"SELECT content_hash, count(*)::BIGINT AS n_refs, count(DISTINCT notebook_id)::BIGINT AS n_notebooks FROM ({SRC}) GROUP BY 1 HAVING count(DISTINCT notebook_id) > 1",
@@ -107,7 +193,18 @@ SELECT conv_id, turn, k = 0 AS grounded, md5(text || CASE k WHEN 1 THEN {lit(NOT
     "retrieval_provenance": PROVENANCE + "SELECT question_id, rank::INT AS rank, vec_id, filename, page, text, score FROM v",
     "citation_dedup": PROVENANCE + "SELECT question_id, filename, page, min(rank)::INT AS rank, filename || CASE WHEN coalesce(page, 0) <> 0 THEN ' p.' || page ELSE '' END AS label FROM v GROUP BY question_id, filename, page",
     "context_string": PROVENANCE + r"SELECT question_id, string_agg('[Source ' || rank || '] (' || filename || coalesce(', Page ' || page, '') || ')' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context FROM v GROUP BY question_id",
-    "hash_embedding_norm": "SELECT doc_id, 1024::INT AS dim, 1.0::DOUBLE AS norm FROM documents WHERE text <> ''",
+    "hash_embedding_norm": f"""
+SELECT doc_id, len(v)::INT AS dim, round(sqrt(list_sum(list_transform(v, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS norm, md5(array_to_string(list_transform(v, lambda x: floor(x::DOUBLE * 1000000)::BIGINT::VARCHAR), ',')) AS digest
+FROM (SELECT doc_id, {chunk_sql.vector("text", 1024)} AS v FROM documents WHERE text <> '')""",
+    "chunks": CHUNKS + " SELECT key AS doc_id, chunk_index, chunk_index + 1 AS page, length(document)::INT AS n_chars, md5(document) AS digest FROM chunk",
+    "chunk_stats": CHUNKS + " SELECT key AS doc_id, count(*)::BIGINT AS n_chunks, max(chunk_index + 1)::INT AS last_page, sum(length(document))::BIGINT AS n_chars FROM chunk GROUP BY 1",
+    "ask_notebooks": ASKED.replace("QUESTION AS", "text AS") + " SELECT question_id, notebook_id, in_scope, answer, length(context)::INT AS context_chars, n_sources FROM a",
+    "stream_ask": ASKED.replace("QUESTION AS", "CASE WHEN item_id % 11 = 0 THEN ' ' ELSE text END AS") + r""", w AS (SELECT question_id::VARCHAR AS question_id, error, list_append(
+  CASE WHEN NOT in_scope OR context = '' THEN [to_json({'token': answer})::VARCHAR]
+       ELSE list_transform(list_concat(list_transform(regexp_extract_all(said, '\S+'), lambda w: w || ' '), CASE WHEN answer <> said THEN [substr(answer, length(said) + 1)] ELSE []::VARCHAR[] END), lambda x: to_json({'token': x})::VARCHAR) END,
+  '{"sources":' || cited || ',"done":true}') AS frames FROM a),
+f AS (SELECT question_id, CASE WHEN error IS NULL THEN frames ELSE ['{"error":"' || error || '","done":true}'] END AS frames FROM w)
+SELECT question_id, (i - 1)::INT AS seq, frames[i] AS payload FROM (SELECT question_id, frames, unnest(range(1, len(frames) + 1)) AS i FROM f)""",
     "content_type": r"""
 WITH n AS (SELECT page_id, regexp_extract(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', ''), '([^/]*)$', 1) || ['.PDF', '.docx', '.xyz', '', '.tar.md'][page_id % 5 + 1] AS filename FROM pages),
 x AS (SELECT *, lower(regexp_extract(filename, '[^./]\.*(\.[^./]+)$', 1)) AS ext FROM n)
@@ -183,7 +280,8 @@ o AS (SELECT content_hash, CASE WHEN first LIKE '%.bin' THEN 'failed' WHEN regex
 SELECT round::INT AS round, filename, CASE WHEN round = 2 AND status = 'ready' THEN 'cached' ELSE 'ingest' END AS action, status, CASE WHEN status = 'ready' THEN n ELSE 0 END::INT AS char_count,
   CASE status WHEN 'failed' THEN 'Unsupported file type' WHEN 'partial' THEN 'No text could be extracted from the file.' END AS error_message
 FROM f JOIN o USING (content_hash), (SELECT unnest([1, 2]) AS round)""",
-    "stored_chunks": rf"SELECT content_hash, 0::INT AS first_index FROM ({REGISTRY}) WHERE first_id % 3 = 0 AND regexp_matches(text, '\S')",
+    "stored_chunks": f"""WITH RECURSIVE {chunk_sql.chunks(f"SELECT content_hash AS key, text FROM ({REGISTRY}) WHERE first_id % 3 = 0")}
+SELECT substr(key, 1, 16) || '_' || chunk_index AS id, chunk_index + 1 AS page, md5(document) AS digest FROM chunk""",
     "selected_texts": f"{BUDGET} SELECT k.notebook_id, count(*)::INT AS n_texts, md5(string_agg(s.text, chr(10) ORDER BY k.id)) AS digest, sum(k.chars)::BIGINT AS total_chars FROM k JOIN s USING (notebook_id, id) WHERE NOT over GROUP BY 1",
     "stand_in_scripts": f"""
 WITH f AS (SELECT source AS notebook_id, arg_min(text, doc_id) AS text FROM documents WHERE length(text) > 0 GROUP BY 1),

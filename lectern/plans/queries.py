@@ -7,13 +7,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import chunk, embed, generate, guard, hashing, markdown, scripts, text
-from ..operators import admin, chat, context, overview, registry, retrieval
+from ..operators import admin, ann, chat, context, overview, registry, retrieval
+from ..operators import ask as asking
 from ..operators import ingest as ingestion
 from ..sources import files, office
 from ..sources.config import Options
 from ..sources.files import upload_verdict
 from ..sources.tables import stored, workspace
-from ..streaming import ingest, status
+from ..streaming import ask as stream_asking
+from ..streaming import ingest, machines, status
 
 QUERIES: dict = {}
 
@@ -256,6 +258,24 @@ def batch_retrieval(spark, sf_dir):
     return hits(spark, sf_dir).select("question_id", F.col("index").alias("vec_id"), F.col("collection").alias("label"), "score", "rank")
 
 
+@query
+def ann_exact(spark, sf_dir):
+    """An inverted file with all lists read: the same hits as without it."""
+    index = ann.build(vectors(spark, sf_dir), workspace(spark, "index"))
+    found = ann.search(many_vectors(spark, sf_dir), index, probes=len(index.centroids))
+    return found.select("question_id", F.col("index").alias("vec_id"), F.col("collection").alias("label"), F.round("score", 6).alias("score"), "rank")
+
+
+@query
+def ann_recall(spark, sf_dir):
+    """How many hits the inverted file finds that there are, with the lists that it reads by itself, and whether they are enough."""
+    index = ann.build(vectors(spark, sf_dir), workspace(spark, "index"))
+    found = ann.search(many_vectors(spark, sf_dir), index).select("question_id", "collection", "index", F.lit(True).alias("_found"))
+    wanted = retrieval.merged(retrieval.scored(vectors(spark, sf_dir), many_vectors(spark, sf_dir), top=retrieval.TOP))
+    both = wanted.join(found, ["question_id", "collection", "index"], "left")
+    return both.agg(F.countDistinct("question_id").alias("n_questions"), F.count("*").alias("n_hits"), (F.count("_found") >= 0.9 * F.count("*")).alias("enough"))
+
+
 def provenance(spark, sf_dir):
     """Chunk texts are documents by id; files are named for two of three collections."""
     chunks = vectors(spark, sf_dir).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_index"), F.col("text").alias("document")), "chunk_index", "left")
@@ -280,19 +300,58 @@ def context_string(spark, sf_dir):
     return context.context_strings(provenance(spark, sf_dir))
 
 
+#: Dimension of the vectors of the queries that ask.
+ASKED_DIMENSION = 64
+
+
+def library(spark, sf_dir):
+    """Notebooks as a library of which a third of the collections, those with an entry that 3 divides, are lost."""
+    rows = sources(spark, sf_dir)
+    entries = stored(registry.registry(rows).select("content_hash", "extracted_text", "first_id"), "entries")
+    held = stored(asking.embedded(entries.where("first_id % 3 <> 0"), embed.embedder(dimension=ASKED_DIMENSION)), "chunks")
+    return asking.Library(rows.select("id", "notebook_id", "content_hash", F.concat(F.col("notebook_id"), F.lit(".txt")).alias("filename")), entries, held)
+
+
+def benchmark_questions(benchmark):
+    return benchmark.select(F.col("item_id").alias("question_id"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("notebook_id"), F.col("text").alias("question"))
+
+
 @query
 def ask_notebooks(spark, sf_dir):
-    """Whole question to answer: benchmark items asked to notebooks, texts chunked and embedded by the hash embedder."""
-    rows = sources(spark, sf_dir)
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("notebook_id"), F.col("text").alias("question"))
-    asked = stored(chat.in_scope(asked, rows), "asked")
-    chunks = stored(retrieval.rebuilt(registry.registry(rows)).withColumn("embedding", embed.embedder(dimension=64)(F.col("document"))), "chunks")
-    vectors_ = asked.where("in_scope").withColumn("embedding", embed.embedder(dimension=64, query=True)(F.col("question")))
-    own = rows.join(asked.where("in_scope").select("notebook_id").distinct(), "notebook_id", "left_semi").select("notebook_id", "content_hash").distinct()
-    scores = retrieval.scored(chunks.join(own, "content_hash"), vectors_, scope="notebook_id", top=retrieval.TOP)
-    files = rows.select("id", "content_hash", F.concat(F.col("notebook_id"), F.lit(".txt")).alias("filename"))
-    contexts = context.context_strings(retrieval.with_provenance(retrieval.merged(scores), chunks, files))
-    return chat.answers(asked, contexts).select("question_id", "notebook_id", "in_scope", "answer", F.length("context").alias("context_chars"))
+    """Whole question to answer: benchmark items asked to notebooks whose lost collections are made anew; the hash embedder embeds."""
+    asked = asking.ask(benchmark_questions(table(spark, sf_dir, "benchmark")), library(spark, sf_dir), embed.embedder(dimension=ASKED_DIMENSION), embed.embedder(dimension=ASKED_DIMENSION, query=True))
+    return asked.answers.select("question_id", "notebook_id", "in_scope", "answer", F.length("context").alias("context_chars"), F.size("sources").alias("n_sources"))
+
+
+def strict_model():
+    """The offline chat model, which refuses questions whose length 7 divides and is overloaded at first where 5 divides it."""
+    calls = {}
+
+    def answer(messages):
+        question = messages[-1]["content"].rpartition(generate.QUESTION_TEMPLATE[1])[2]
+        calls[question] = calls.get(question, 0) + 1
+        if len(question) % 7 == 0:
+            raise ValueError("refused")
+        if len(question) % 5 == 0 and calls[question] % 2:
+            raise RuntimeError("HTTP 429")
+        return generate.plain_stand_in_answer(messages)
+
+    return answer
+
+
+@query
+def stream_ask(spark, sf_dir):
+    """The same questions as a stream, every eleventh blank, to a model that refuses some: all frames, also of errors."""
+    path = workspace(spark, "asked")
+    held = library(spark, sf_dir)
+    held.chunks.withColumn("batch", F.lit(-1).cast("bigint")).write.partitionBy("batch").parquet(f"{path}/chunks")
+    asked = benchmark_questions(streamed(spark, sf_dir, "benchmark")).withColumn("question", F.when(F.col("question_id") % 11 != 0, F.col("question")).otherwise(" "))
+    writer = stream_asking.asking(
+        asked.withColumn("question_id", F.col("question_id").cast("string")), held.sources, held.entries, f"{path}/chunks", f"{path}/frames", f"{path}/messages",
+        embed.embedder(dimension=ASKED_DIMENSION), embed.embedder(dimension=ASKED_DIMENSION, query=True), generate.guarded(strict_model),
+    )
+    ingest.run_available(writer, f"{path}/checkpoint")
+    return stream_asking.read_frames(spark, f"{path}/frames").select("question_id", "seq", "payload")
 
 
 # Ingestion ------------------------------------------------------------------
@@ -311,9 +370,11 @@ def chunk_stats(spark, sf_dir):
 
 @query
 def hash_embedding_norm(spark, sf_dir):
+    """Length, norm and digest (components as whole millionths) of each text's vector."""
     rows = sources(spark, sf_dir).where("text <> ''").withColumn("v", embed.embedder()(F.col("text")))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return rows.select(F.col("id").alias("doc_id"), F.size("v").alias("dim"), F.round(norm, 5).alias("norm"))
+    digest = F.md5(F.array_join(F.transform("v", lambda x: F.floor(x.cast("double") * 1_000_000).cast("string")), ","))
+    return rows.select(F.col("id").alias("doc_id"), F.size("v").alias("dim"), F.round(norm, 5).alias("norm"), digest.alias("digest"))
 
 
 @query
@@ -494,6 +555,15 @@ def stream_registry(spark, sf_dir):
     return ingest.read_registry(spark, path).select("content_hash", "collection", "char_count", "first_id")
 
 
+@query
+def stream_distinct(spark, sf_dir):
+    """Contents of a stream of documents, each told once; keys are state."""
+    path = workspace(spark, "distinct")
+    hashed = streamed(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("content_hash"))
+    ingest.run_available(ingest.deduplicated(hashed, "content_hash").writeStream.format("parquet").option("path", path), path + "-checkpoint")
+    return spark.read.schema("content_hash string").parquet(path)
+
+
 @query
 def stream_windows(spark, sf_dir):
     """Closed daily windows of the event stream, with a watermark of a day."""
@@ -537,6 +607,40 @@ def status_transitions(spark, sf_dir):
     return steps.select("event_id", "before", "state", status.allowed(F.col("before"), F.col("state")).alias("allowed"))
 
 
+def ran(spark, machine, columns):
+    """The table of what a machine tells of its stream."""
+    path = workspace(spark, "machine")
+    with machines.state_store(spark):
+        ingest.run_available(machine.writeStream.format("parquet").option("path", path), path + "-checkpoint")
+    return spark.read.schema(columns).parquet(path)
+
+
+@query
+def job_runs(spark, sf_dir):
+    """Users as jobs on a stream: kinds of events are steps, a run that stands still for twelve hours fails."""
+    steps = F.create_map(*(F.lit(x) for pair in JOB_STEPS.items() for x in pair))
+    events = streamed(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("job"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), steps[F.col("event_type")].alias("state"))
+    return ran(spark, machines.job_runs(events, 12 * 3600, "1 day"), machines.JobMachine.OUT)
+
+
+JOB_STEPS = {"signup": "queued", "view": "scripting", "click": "synthesizing", "purchase": "ready", "error": "failed"}
+
+
+@query
+def voice_history(spark, sf_dir):
+    """Users as voice connections on a stream: replies, and the sessions that ended, some by six hours of silence."""
+    k = F.from_json("props", "k bigint")["k"]
+    kind = F.when(F.col("event_type") != "error", F.create_map(*(F.lit(x) for pair in VOICE_KINDS.items() for x in pair))[F.col("event_type")]).when(k % 2 == 0, "cancel").otherwise("disconnect")
+    events = streamed(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("sid"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("event"), F.when(k % 10 != 0, k).alias("notebook_id"),
+        "user_id", (F.col("value") >= 5).alias("authenticated"), (k % 4 != 0).alias("owner"),
+    )
+    return ran(spark, machines.voice_history(events, 6 * 3600, "1 day"), machines.VoiceMachine.OUT)
+
+
+VOICE_KINDS = {"signup": "connect", "view": "start", "click": "audio", "purchase": "stop"}
+
+
 @query
 def ndjson_tokens(spark, sf_dir):
     """Turns as lines of a model's stream, every seventh broken."""
@@ -573,11 +677,11 @@ def file_ingestion(spark, sf_dir):
 
 @query
 def stored_chunks(spark, sf_dir):
-    """What ingestion stores: the chunks of each content once, all with an entry."""
+    """Chunks that ingestion has stored without getting to their entry: each with its key and text."""
     entries = registry.registry(sources(spark, sf_dir))
     made = retrieval.rebuilt(entries)
     lost = ingestion.orphan_chunks(made, entries.where(F.pmod(F.col("first_id"), F.lit(3)) != 0))
-    return lost.groupBy("content_hash").agg(F.min("chunk_index").alias("first_index"))
+    return lost.select(hashing.chunk_id(F.col("content_hash"), F.col("chunk_index")).alias("id"), "page", F.md5("document").alias("digest"))
 
 
 # Media, options and office files ------------------------------------------------
@@ -672,6 +776,32 @@ def image_texts(spark, sf_dir):
     return turns(spark, sf_dir).select("conv_id", "turn", F.md5(joined).alias("digest"))
 
 
+def moody_model():
+    """Refuses numbers that seven divides, and is overloaded whenever it first meets one that five divides."""
+    met = set()
+
+    def run(asked):
+        event, k = map(int, asked.split(":"))
+        if k % 7 == 0:
+            raise ValueError(f"refused {k}")
+        if k % 5 == 0 and event not in met:
+            met.add(event)
+            raise TimeoutError("read timed out")
+        if k % 11 == 0:
+            raise RuntimeError("HTTP 429")
+        return f"said {k}"
+
+    return run
+
+
+@query
+def guarded_models(spark, sf_dir):
+    """Events through a model that fails by row; transient failures are tried again, and no row fails another."""
+    k = F.from_json("props", "k bigint")["k"]
+    asked = F.when(F.col("event_type") != "view", F.concat_ws(":", F.col("event_id").cast("string"), k.cast("string")))
+    return table(spark, sf_dir, "events").select("event_id", generate.guarded(moody_model)(asked).alias("x")).select("event_id", "x.*")
+
+
 @query
 def sse_tokens(spark, sf_dir):
     """What a reader of a stream of events puts together, a comment between two frames."""

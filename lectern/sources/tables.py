@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,11 +35,50 @@ def workspace(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lectern/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back, so that a lost executor costs a read."""
+def stored(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read back, so that a lost executor costs a read.
+
+    The scope that is open where this is called, if any, removes the table at its end.
+    """
     path = workspace(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if (own := _SCOPE.get()) is not None:
+        own.append(path)
+    out = df.write.option("compression", "zstd")
+    (out.partitionBy(*by) if by else out).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._written_to = path
+    return back
+
+
+#: Paths that the innermost scope has written. Each thread and task has scopes of its own.
+_SCOPE: ContextVar[list[str] | None] = ContextVar("scope", default=None)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Remove, at the end, what ``stored`` wrote inside, but for the tables handed to the function given.
+
+    Those pass to the scope around, if there is one. No table that a lazy frame still reads may be left out.
+    """
+    own: list[str] = []
+    kept: list[DataFrame] = []
+    token = _SCOPE.set(own)
+    try:
+        yield lambda df: kept.append(df) or df
+    finally:
+        _SCOPE.reset(token)
+        stay = [df._written_to for df in kept]
+        if (around := _SCOPE.get()) is not None:
+            around.extend(stay)
+        for path in own:
+            if path not in stay:
+                remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder in whatever file system it lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def numbered(df: DataFrame, *order: Column | str, to: str) -> DataFrame:

@@ -19,6 +19,46 @@ def test_first_writer_wins_across_batches_and_restarts(spark, tmp_path):
     assert feed([(0, "a"), (4, "c")]) == {"a": 1, "b": 3, "c": 4}
 
 
+def test_filters_never_miss_and_err_rarely(spark):
+    rows = spark.range(6000).select(F.sha2(F.col("id").cast("string"), 256).alias("content_hash"))
+    known, other = rows.limit(3000), spark.range(10_000, 13_000).select(F.sha2(F.col("id").cast("string"), 256).alias("content_hash"))
+    bits = 128  # 3000 hashes in 256 prefixes: about 12 of each, 48 marks in 128 bits
+    filters = ingest.filter_of(known, bits)
+    assert ingest.maybe_known(known, filters, bits).count() == 3000
+    assert 0 < ingest.maybe_known(other, filters, bits).count() < 300
+    assert ingest.maybe_known(other, ingest.filter_of(known, 1 << 20), 1 << 20).count() == 0
+
+
+def test_false_positives_and_replayed_batches_change_nothing(spark, tmp_path):
+    source, path = str(tmp_path / "in"), str(tmp_path / "registry")
+    schema = "id long, text string"
+    batches = [[(k, f"text {k % 40}") for k in range(60)], [(k, f"text {k % 70}") for k in range(60, 130)], [(200, None), (201, "text 3"), (202, "new")]]
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        for again in range(2):  # the second time as after a loss of the checkpoint's last commit
+            stream = spark.readStream.schema(schema).parquet(source)
+            checkpoint = tmp_path / "checkpoint"
+            if again:
+                for x in (checkpoint / "commits").glob("*"):
+                    if x.name.strip(".").startswith(str(n)):
+                        x.unlink()
+            ingest.run_available(ingest.registering(stream, path, bits=16), str(checkpoint))  # nearly every filter is full
+    got = {r.extracted_text: (r.first_id, r.batch, r.prefix == r.content_hash[:2]) for r in ingest.read_registry(spark, path).collect()}
+    want = {f"text {k}": (k, 0, True) for k in range(40)} | {f"text {k}": (next(i for i in range(60, 130) if i % 70 == k), 1, True) for k in range(40, 70)} | {"new": (202, 2, True)}
+    assert got == want and ingest.read_registry(spark, path).count() == len(want)
+
+
+def test_a_batch_reads_only_touched_prefixes(spark, tmp_path):
+    path = str(tmp_path / "registry")
+    source = str(tmp_path / "in")
+    spark.createDataFrame([(k, f"t{k}") for k in range(50)], "id long, text string").write.parquet(source)
+    ingest.run_available(ingest.registering(spark.readStream.schema("id long, text string").parquet(source), path), str(tmp_path / "c"))
+    some = spark.createDataFrame([("ab" + "0" * 62,), ("cd" + "0" * 62,)], "content_hash string")
+    plan = ingest.touched(spark, path, ingest.REGISTRY, some, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [prefix" in plan and "IN (ab,cd)" in plan.replace("[", "").replace("prefix#", "prefix") or "ab,cd" in plan
+    assert set(ingest.touched(spark, path, ingest.REGISTRY, some, 5).select("prefix").distinct().toPandas().prefix) <= {"ab", "cd"}
+
+
 def test_stream_dedup(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "k string, v int").write.parquet(source)
