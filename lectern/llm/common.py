@@ -3,6 +3,7 @@ tables, Arrow batch limits and vectorised word hashing."""
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
@@ -12,74 +13,40 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.tables import workspace
+from ..sources.tables import remove, scope, stored, workspace
 
 #: Rows and bytes of a batch that a function gets at once; a longer text stands alone.
 BATCH_ROWS, BATCH_BYTES = 128, 1 << 22
 _BYTES_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-scratch = workspace
+scratch, written = workspace, stored
 
 
-def written(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and return the table read back.
-
-    This cuts lineage: a lost executor costs a read, not a recomputation.
-    """
-    path = scratch(df.sparkSession, name)
-    if _SCOPES:
-        _SCOPES[-1].append(path)
-    out = df.write.option("compression", "zstd")
-    (out.partitionBy(*by) if by else out).parquet(path)
-    back = df.sparkSession.read.schema(df.schema).parquet(path)
-    back._written_to = path
-    return back
-
-
-#: Paths that the scopes now open have written, the innermost last.
-_SCOPES: list[list[str]] = []
-
-
-@contextmanager
-def scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """Remove, at the end, what ``written`` wrote inside, but for the tables handed to the function given.
-
-    Those pass to the scope around, if there is one. No table that a lazy frame still reads may be left out.
-    """
-    own: list[str] = []
-    kept: list[DataFrame] = []
-    _SCOPES.append(own)
-    try:
-        yield lambda df: kept.append(df) or df
-    finally:
-        _SCOPES.remove(own)
-        stay = [df._written_to for df in kept]
-        if _SCOPES:
-            _SCOPES[-1].extend(stay)
-        for path in own:
-            if path not in stay:
-                remove(spark, path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Remove a folder in whatever file system it lies."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+_LOCK = threading.Lock()
+#: By session setting that is overridden: how many hold it so, and its old value.
+_HELD: dict[tuple[int, str], list] = {}
 
 
 @contextmanager
 def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
-    """Plan and run with a session setting, which has its old value afterwards."""
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, value)
+    """Plan and run with a session setting; when the last of several threads leaves, it has its old value."""
+    at = id(spark), key
+    with _LOCK:
+        held = _HELD.setdefault(at, [0, spark.conf.get(key, None)])
+        held[0] += 1
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+        with _LOCK:
+            held[0] -= 1
+            if not held[0]:
+                del _HELD[at]
+                if held[1] is None:
+                    spark.conf.unset(key)
+                else:
+                    spark.conf.set(key, held[1])
 
 
 def ranked(df: DataFrame, *order: Column, to: str = "rank") -> DataFrame:

@@ -63,26 +63,29 @@ class LineRuns:
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.name = f"lectern_lines_{uuid.uuid4().hex}"
         self.levels: list[list[str]] = []
+        self.live: list[str] = []
 
     def _write(self, rows: DataFrame) -> str:
         """A table of ``rows``, which lie in the partitions of the buckets already, by one file for each bucket."""
         table = f"{self.name}_{self.made}"
         self.made += 1
+        self.live.append(table)
         rows.write.format("parquet").option("compression", "zstd").option("path", f"{self.root}/{table}").bucketBy(self.buckets, "hash").sortBy("hash").saveAsTable(table)
         return table
 
     def _drop(self, table: str) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {table}")
         remove(self.spark, f"{self.root}/{table}")
+        self.live.remove(table)
 
     def runs(self) -> list[DataFrame]:
         return [self.spark.table(t) for level in self.levels for t in level]
 
     def drop(self) -> None:
-        """Remove all runs."""
-        for level in self.levels:
-            for table in level:
-                self._drop(table)
+        """Remove all runs, and what a batch that failed has left."""
+        for table in [*self.live]:
+            self._drop(table)
+        remove(self.spark, self.root)
         self.levels = []
 
     def add(self, lines: DataFrame) -> DataFrame:
@@ -144,8 +147,10 @@ def lines_to_remove(docs: DataFrame, batches: int = BATCHES, min_chars: int = MI
     with scope(spark) as kept:
         lines = written(_lines(docs.where("id is not null"), min_chars).withColumn("batch", batch), "lines", by=["batch"])
         runs = LineRuns(spark, scratch(spark, "runs"))
-        gone = [kept(runs.add(lines.where(F.col("batch") == k).select("id", "hash"))) for k in range(len(cuts) + 1)]
-        runs.drop()
+        try:
+            gone = [kept(runs.add(lines.where(F.col("batch") == k).select("id", "hash"))) for k in range(len(cuts) + 1)]
+        finally:
+            runs.drop()
     return reduce(DataFrame.unionByName, gone)
 
 
