@@ -137,6 +137,27 @@ def speech_words(seconds: Column) -> Column:
     return F.floor(seconds * 2.5).cast("int")
 
 
+#: What a model is told of the length of a dialogue, and of the narration of slides.
+LENGTHS = {"dialogue": ("The dialogue should be about ", " seconds when spoken (~", " words). "), "slides": ("- Total narration across all slides should be about ", " seconds when spoken (~", " words total). ")}
+
+
+def length_request(chars: Column, kind: str = "dialogue", least: int = 60, most: int = 480) -> Column:
+    """What a model is told of the length of its script, by the characters of the sources."""
+    seconds = speech_seconds(chars, least, most)
+    before, between, after = LENGTHS[kind]
+    return F.concat(F.lit(before), seconds.cast("string"), F.lit(between), speech_words(seconds).cast("string"), F.lit(after))
+
+
+def reply_name(name: Column) -> Column:
+    """The name of a reply's file as it is; null if it is blank, names a folder, or has a slash of either kind."""
+    return F.when((name != "") & ~name.isin(".", "..") & ~name.contains("/") & ~name.contains("\\"), name)
+
+
+def latency_ms(start: Column, end: Column) -> Column:
+    """Whole milliseconds from one time to another, cut towards zero."""
+    return ((F.unix_micros(end) - F.unix_micros(start)) / 1000).cast("int")
+
+
 def citation_label(filename: Column, page: Column) -> Column:
     return F.when(F.coalesce(page, F.lit(0)) != 0, F.concat(filename, F.lit(" p."), page.cast("string"))).otherwise(filename)
 

@@ -56,6 +56,14 @@ def chosen_setting(wanted: Column, current: Column, kind: str) -> Column:
     return F.when(wanted.isin(*(AVATARS if kind == "avatar" else SPEAKERS)), wanted).otherwise(current)
 
 
+def listed_sources(sources: DataFrame) -> DataFrame:
+    """The eight fields that a list of sources shows, the time in ISO form, to the microsecond if it has any."""
+    time = F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss")
+    micros = F.unix_micros(F.col("created_at").cast("timestamp")) % 1_000_000
+    shown = F.when(micros != 0, F.concat(time, F.lit("."), F.lpad(micros.cast("string"), 6, "0"))).otherwise(time)
+    return sources.select("id", "filename", "content_type", "status", "char_count", "page_count", "error_message", shown.alias("created_at"))
+
+
 def listed_users(users: DataFrame) -> DataFrame:
     """Users without their passwords, oldest first."""
     return users.drop("password_hash").orderBy("created_at", "id")

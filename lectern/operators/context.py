@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.schema import USABLE
+from ..sources.tables import running_sums, stored
 
 
 def usable(status: Column) -> Column:
@@ -15,17 +16,12 @@ def usable(status: Column) -> Column:
 def within_budget(texts: DataFrame, max_chars: int = 30_000, notebook: str = "notebook_id", order: str = "id", text: str = "text") -> DataFrame:
     """The first texts of each notebook that fit the budget, with ``running`` characters.
 
-    Texts count in order until one would exceed the budget; the first always counts;
-    empty ones do not. A kept text has a character at least, so no more than
-    ``max_chars + 1`` rows of a notebook can matter: that limit, pushed below the
-    shuffle, keeps a large notebook out of any one task.
+    Texts count in order until one would exceed the budget; the first always counts; empty ones do not. A notebook of
+    many texts is summed over ranges, in as many tasks as it fills.
     """
-    own = Window.partitionBy(notebook).orderBy(order)
-    sized = texts.where(F.length(text) > 0).select(notebook, order, F.length(text).alias("chars"))
-    first = sized.withColumn("place", F.row_number().over(own)).where(F.col("place") <= max_chars + 1)
-    running = F.sum("chars").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    over = F.max((F.col("place") > 1) & (F.col("running") > max_chars)).over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return first.withColumn("running", running).withColumn("_over", over).where("not _over").drop("_over")
+    sized = stored(texts.where(F.length(text) > 0).select(notebook, order, F.length(text).alias("chars")), "sized")
+    summed = running_sums(sized, [notebook], [order], "chars", "running")
+    return summed.where((F.col("running") == F.col("chars")) | (F.col("running") <= max_chars))
 
 
 def budget_summary(texts: DataFrame, max_chars: int = 30_000, notebook: str = "notebook_id", order: str = "id", text: str = "text") -> DataFrame:

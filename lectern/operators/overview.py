@@ -104,6 +104,11 @@ def media_outcome(utterances: DataFrame, key: str = "notebook_id") -> DataFrame:
     return counted.withColumn("status", F.when(F.col("n_ok") > 0, "ready").otherwise("failed"))
 
 
+def audible(slides: DataFrame, key: str = "notebook_id") -> DataFrame:
+    """``(key, n_slides, any_audio)``: whether a video has narration at all, for without any it needs no sound."""
+    return slides.groupBy(key).agg(F.count("*").alias("n_slides"), F.bool_or(F.col("audio_seconds").isNotNull()).alias("any_audio"))
+
+
 def manifest(slides: DataFrame, key: str = "notebook_id") -> DataFrame:
     """Files and durations of a video in order: ``key, pos, image, audio_seconds`` to ``key, pos, image, duration``."""
     return slides.select(key, "pos", "image", slide_seconds(F.col("audio_seconds")).alias("duration"))

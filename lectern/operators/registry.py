@@ -6,11 +6,13 @@ written by the caller. Deletion is an anti join, an update a join with coalesce.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import collection_name
-from ..sources.tables import numbered
+from ..sources.tables import numbered, stored
 
 
 def registry(sources: DataFrame, hash_col: str = "content_hash", order_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -47,6 +49,31 @@ def reference_counts(sources: DataFrame, by: str = "notebook_id") -> DataFrame:
     return per.groupBy("content_hash").agg(F.sum("n").alias("n_refs"), F.count("*").alias("n_notebooks"))
 
 
+def found(table: DataFrame, **equal: object) -> DataFrame:
+    """Rows with these values, compared byte by byte; a filter of plain equalities that reaches the scan. None is found nowhere."""
+    return reduce(lambda df, item: df.where(F.col(item[0]) == F.lit(item[1])), equal.items(), table)
+
+
+def other_references(sources: DataFrame, notebook: str = "notebook_id") -> DataFrame:
+    """Each source with ``here`` and ``elsewhere``: how many other sources of its notebook, and of others, have its content.
+
+    Contents are counted with partial sums and joined, so a content that very many share is in no one task. Null contents have none.
+    """
+    per = stored(sources.where("content_hash is not null").groupBy("content_hash", F.col(notebook).alias("_in")).agg(F.count("*").alias("_here")), "per-notebook")
+    every = stored(per.groupBy("content_hash").agg(F.sum("_here").alias("_every")), "per-content")
+    joined = sources.join(per, (sources["content_hash"] == per["content_hash"]) & sources[notebook].eqNullSafe(per["_in"]), "left").drop(per["content_hash"]).drop("_in").join(every, "content_hash", "left")
+    return joined.withColumn("here", F.coalesce(F.col("_here") - 1, F.lit(0))).withColumn("elsewhere", F.coalesce(F.col("_every") - F.col("_here"), F.lit(0))).drop("_here", "_every")
+
+
+def seeded_admin(users: DataFrame, username: str, password_hash: str) -> DataFrame:
+    """``users`` with an administrator of this name: the user there is, with role and password renewed, or a new one with the next id."""
+    own = F.col("username") == username
+    kept = users.withColumns({"role": F.when(own, "admin").otherwise(F.col("role")), "password_hash": F.when(own, password_hash).otherwise(F.col("password_hash"))})
+    there = users.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"), F.coalesce(F.bool_or(own), F.lit(False)).alias("_there"))  # one row
+    new = there.where("not _there").select((F.col("_last") + 1).cast(users.schema["id"].dataType).alias("id"), F.lit(username).alias("username"), F.lit("admin").alias("role"), F.lit(password_hash).alias("password_hash"))
+    return kept.unionByName(new, allowMissingColumns=True)
+
+
 def delete_cascade(users: DataFrame, notebooks: DataFrame, sources: DataFrame, messages: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """All four tables without the users of ``gone (id)`` and what belongs to them."""
     ids = gone.select(F.col("id").alias("user_id"))

@@ -7,10 +7,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.chunk import chunks
+from ..sources.tables import remove, scope, stored
 
 PER_COLLECTION, TOP = 3, 5
 #: Vectors of one block at most, of questions and of chunks.
@@ -135,6 +136,39 @@ def with_provenance(hits: DataFrame, chunks_: DataFrame, sources: DataFrame) ->
     return found.withColumn("filename", F.coalesce("filename", F.lit("unknown")))
 
 
+def collection_texts(scores: DataFrame, chunks_: DataFrame, k: int = TOP) -> DataFrame:
+    """``(question_id, collection, text)``: the ``k`` best chunks of each collection, best first, two line feeds apart."""
+    own = Window.partitionBy("question_id", "collection").orderBy(F.desc("score"), "index")
+    best = scores.withColumn("_n", F.row_number().over(own)).where(F.col("_n") <= k)
+    texts = chunks_.select(F.col("content_hash").alias("collection"), F.col("chunk_index").cast("bigint").alias("index"), F.col("document").alias("_text"))
+    laid = F.transform(F.sort_array(F.collect_list(F.struct("_n", "_text"))), lambda x: x["_text"])
+    return best.join(texts, ["collection", "index"]).groupBy("question_id", "collection").agg(F.array_join(laid, "\n\n").alias("text"))
+
+
+def without_collections(chunks_: DataFrame, gone: DataFrame) -> DataFrame:
+    """Chunks but for those of the collections in ``gone (content_hash)``."""
+    return chunks_.join(gone.select("content_hash"), "content_hash", "left_anti")
+
+
+def drop_collections(spark: SparkSession, path: str, gone: DataFrame) -> None:
+    """Remove collections from the chunks stored at ``path``, by ``prefix``; only prefixes with one of them are read and written."""
+    gone = gone.select("content_hash").distinct()
+    touched = sorted(r[0] for r in gone.select(F.substring("content_hash", 1, 2)).distinct().collect())  # at most 256
+    with scope(spark):
+        held = spark.read.parquet(path)
+        left = stored(without_collections(held.where(F.col("prefix").isin(touched)), gone), "left")
+        full = {r[0] for r in left.select("prefix").distinct().collect()}
+        left.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("prefix").parquet(path)
+        for prefix in touched:
+            if prefix not in full:
+                remove(spark, f"{path}/prefix={prefix}")
+
+
+def reset(spark: SparkSession, path: str) -> None:
+    """Remove all collections stored at ``path``."""
+    remove(spark, path)
+
+
 def missing_collections(wanted: DataFrame, chunks_: DataFrame, entries: DataFrame) -> DataFrame:
     """Registry entries of wanted hashes whose chunks are gone; hashes without an entry stay away."""
     lost = wanted.select("content_hash").distinct().join(chunks_.select("content_hash"), "content_hash", "left_anti")

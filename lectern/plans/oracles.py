@@ -131,7 +131,81 @@ UNION ALL SELECT user_id::VARCHAR, seq, 'end', CASE event WHEN 'start' THEN 'sta
 UNION ALL SELECT user_id::VARCHAR, NULL, 'end', 'expired', held, user_id, started, last + 21600000000, turns FROM l, m WHERE last + 21600000000 <= mark
 """
 
+SPOKEN = "'## Head' || chr(10) || '- **a** [Source 1] , `c` ' || text"
+#: Formatted text to spoken text by other patterns: a neighbour that may not be a letter is taken along and put back.
+for _pattern, _by in [
+    (r"(?i)\[source\s+\d+(\s*,\s*source\s+\d+)*\]", ""), (r"```[^\n]*\n?", ""), (r"`([^`]*)`", r"\1"), (r"(?m)^#{1,6}\s+", ""), (r"\*\*([^\n]+?)\*\*", r"\1"),
+    (r"(?m)(^|[^\pL\pN_])__([^\n]+?)__($|[^\pL\pN_])", r"\1\2\3"), (r"(?m)(^|[^\pL\pN_])\*([^\n]+?)\*($|[^\pL\pN_])", r"\1\2\3"), (r"\[([^\]]*)\]\([^\)]*\)", r"\1"),
+    (r"(?m)^[\-\*]\s+", ""), (r"(?m)^[\-\*]{3,}\s*$", ""), (r"\s+([.,;:!?)])", r"\1"), (r"\n{3,}", r"\n\n"), (r"^\s+|\s+$", ""),
+]:
+    SPOKEN = f"regexp_replace({SPOKEN}, {lit(_pattern)}, {lit(_by) if _by != chr(92) + 'n' + chr(92) + 'n' else 'chr(10) || chr(10)'}, 'g')"
+NTH = lambda k: rf"coalesce(string_split_regex(text, '\s+')[{k}], '-')"
+
 ORACLE_SQL = {
+    "image_rows": """
+WITH l AS (SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: x <> '') AS lines FROM documents)
+SELECT doc_id, (i - 1)::INT AS image_idx, md5(lines[i]) AS digest FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM l)""",
+    "image_row_texts": """
+WITH l AS (SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: x <> '') AS lines FROM documents),
+i AS (SELECT doc_id, i, '[Image ' || i || ']' || chr(10) || '[mock OCR text recognition page ' || substr(sha256(lines[i]), 1, 8) || '] The document contains searchable content extracted via mock OCR.' AS t FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM l) WHERE i % 3 <> 0)
+SELECT doc_id, md5(string_agg(t, chr(10) || chr(10) ORDER BY i)) AS digest FROM i GROUP BY 1""",
+    "image_sizes": """
+WITH s AS (SELECT p_partkey, (p_partkey * 37 % 50 + 1)::INT AS w, (p_partkey * 91 % 40 + 1)::INT AS h FROM part), f AS (SELECT *, least(1::DOUBLE, 16::DOUBLE / greatest(w, h)) AS scale FROM s),
+t AS (SELECT p_partkey, w, h, greatest(1, trunc(w * scale))::INT AS v, greatest(1, trunc(h * scale))::INT AS g FROM f),
+x AS (SELECT p_partkey, w, h, v, g, unnest(range(v)) AS x FROM t), y AS (SELECT *, unnest(range(g)) AS y FROM x),
+a AS (SELECT *, unnest(range(x * w // v, ((x + 1) * w + v - 1) // v)) AS i FROM y), b AS (SELECT *, unnest(range(y * h // g, ((y + 1) * h + g - 1) // g)) AS j FROM a),
+c AS (SELECT p_partkey, x, y, sum((least((i + 1) * v, (x + 1) * w) - greatest(i * v, x * w)) * (least((j + 1) * g, (y + 1) * h) - greatest(j * g, y * h)) * ((7 * i + 13 * j + p_partkey) % 256))::BIGINT // any_value(w * h) AS p FROM b GROUP BY 1, 2, 3)
+SELECT p_partkey, 'png' AS format, any_value(w) AS width, any_value(h) AS height, any_value(v) AS to_width, any_value(g) AS to_height, md5(string_agg(p::VARCHAR, ',' ORDER BY y, x)) AS digest FROM c JOIN t USING (p_partkey) GROUP BY 1""",
+    "speech_inputs": """
+WITH e AS (SELECT event_id, (props->>'k')::INT AS k, [8000, 11025, 16000, 22050, 44100, 48000][event_id % 6 + 1] AS rate, (event_id % 2 + 1)::INT AS c FROM events),
+n AS (SELECT *, k * 40 + 1 AS frames, (k * 40 + 1) * 1000 // rate AS ms, k % 17 = 0 AS broken, k % 17 <> 0 AND 56 + (k * 40 + 1) * c * 2 > 12000 AS large FROM e)
+SELECT event_id, CASE WHEN NOT broken AND NOT large THEN ms END::INT AS duration_ms, CASE WHEN NOT broken AND NOT large THEN rate END::INT AS from_rate,
+  CASE WHEN NOT broken AND NOT large AND ms <= 250 THEN (frames * 16000 + rate - 1) // rate END::INT AS n_samples,
+  CASE WHEN large THEN 'AudioTooLongError: Audio upload exceeds 12000 bytes.' WHEN broken THEN 'UnsupportedAudioFormatError: Could not decode audio (.wav): no RIFF file' WHEN ms > 250 THEN 'AudioTooLongError: Audio exceeds 250 ms.' END AS error FROM n""",
+    "source_references": f"""
+WITH s AS ({SRC}) SELECT id AS doc_id, CASE WHEN content_hash IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY content_hash, notebook_id) - 1 END::BIGINT AS here,
+  CASE WHEN content_hash IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY content_hash) - count(*) OVER (PARTITION BY content_hash, notebook_id) END::BIGINT AS elsewhere FROM s""",
+    "user_by_name": "SELECT c_custkey, c_name, 'Customer#000000007' AS asked FROM customer WHERE c_name = 'Customer#000000007'",
+    "seeded_admins": """
+SELECT n_nationkey::BIGINT AS id, n_name AS username, CASE WHEN n_name = 'NATION_3' THEN 'admin' ELSE 'user' END AS role, CASE WHEN n_name = 'NATION_3' THEN 'new' ELSE 'old' END AS password_hash FROM nation
+UNION ALL SELECT max(n_nationkey) + 1, 'admin', 'admin', 'first' FROM nation""",
+    "user_list": "SELECT c_custkey AS id, c_name AS username, DATE '2024-01-01' + (c_nationkey * 7 % 25)::INT AS created_at FROM customer ORDER BY created_at, id LIMIT 20",
+    "newest_sources": "SELECT o_orderkey AS id, o_orderdate AS created_at FROM orders ORDER BY 2 DESC, 1 DESC LIMIT 20",
+    "source_list": """
+WITH e AS (SELECT *, (props->>'k')::INT AS k FROM events)
+SELECT event_id AS id, event_type || '.pdf' AS filename, 'pdf' AS content_type, CASE WHEN k % 5 = 0 THEN 'failed' ELSE 'ready' END AS status, k * 100 AS char_count, CASE WHEN k % 3 <> 0 THEN k END AS page_count,
+  CASE WHEN k % 5 = 0 THEN 'broken' END AS error_message, CASE WHEN event_id % 13 <> 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN k % 7 = 0 OR epoch_us(ts) % 1000000 = 0 THEN '' ELSE strftime(ts, '.%f') END END AS created_at FROM e""",
+    "length_requests": BUDGET + """, t AS (SELECT notebook_id, least(greatest(total_chars // 150, 60), 480)::INT AS a, least(greatest(total_chars // 150, 90), 300)::INT AS b FROM b)
+SELECT notebook_id, 'The dialogue should be about ' || a || ' seconds when spoken (~' || floor(a * 2.5)::INT || ' words). ' AS dialogue,
+  '- Total narration across all slides should be about ' || b || ' seconds when spoken (~' || floor(b * 2.5)::INT || ' words total). ' AS slides FROM t""",
+    "collection_texts": MANY + top("l2") + ", t AS (SELECT s.*, d.text, row_number() OVER (PARTITION BY question_id, label ORDER BY score DESC, s.vec_id) AS n FROM s JOIN documents d ON d.doc_id = s.vec_id)"
+    " SELECT question_id, label, md5(coalesce(string_agg(text, chr(10) || chr(10) ORDER BY n), '')) AS digest FROM t WHERE n <= 2 GROUP BY 1, 2",
+    "collections_left": "SELECT label, count(*)::BIGINT AS n, sum(vec_id)::BIGINT AS total FROM embeddings WHERE label % 3 <> 0 GROUP BY 1",
+    "dialogue_markers": r"""
+SELECT conv_id, turn, 0::INT AS pos, 'A' AS host, md5(regexp_replace(text, '^\s+', '') || '"}, {') AS digest FROM conversations
+UNION ALL SELECT conv_id, turn, 1, 'B', md5('he said "no" "}, {') FROM conversations UNION ALL SELECT conv_id, turn, 2, 'B', md5('"}, {') FROM conversations
+UNION ALL SELECT conv_id, turn, 3, 'A', md5(role || CASE WHEN turn % 2 = 0 THEN '"}]}' ELSE '' END) FROM conversations""",
+    "final_answers": r"""
+WITH c AS (SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM conversations)
+SELECT conv_id, turn, md5(CASE turn % 3 WHEN 0 THEN regexp_replace(text || ' end', '^\s+', '') WHEN 1 THEN '<|channel|thought' || chr(10) || role || '<channel|>' ELSE t END) AS digest FROM c""",
+    "script_signatures": "SELECT conv_id, substr(sha256(string_agg(text, '|' ORDER BY turn)), 1, 12) AS signature FROM conversations GROUP BY 1",
+    "reply_names": r"""
+SELECT page_id, CASE page_id % 4 WHEN 0 THEN regexp_extract(regexp_replace(url, '/+$', ''), '([^/]*)$', 1) WHEN 3 THEN CASE WHEN page_id % 3 > 0 THEN substr(url, 1, (page_id % 3)::INT) END END AS name FROM pages""",
+    "latencies": "SELECT event_id, trunc((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) / 1000)::INT AS latency_ms FROM events",
+    "wrapped_lines": r"""
+WITH w AS (SELECT conv_id, turn, list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> '') AS ws FROM conversations),
+l AS (SELECT conv_id, turn, CASE WHEN len(ws) = 0 THEN '' ELSE list_reduce(ws, lambda acc, w: CASE WHEN length(regexp_extract(acc, '[^\n]*$')) + 1 + length(w) <= 40 THEN acc || ' ' || w ELSE acc || chr(10) || w END) END AS lines FROM w)
+SELECT conv_id, turn, CASE WHEN lines = '' THEN 0 ELSE len(string_split(lines, chr(10))) END::INT AS n_lines, md5(lines) AS digest FROM l""",
+    "audible_slides": "SELECT user_id, count(*)::BIGINT AS n_slides, bool_or(user_id % 3 <> 0 AND event_type = 'view') AS any_audio FROM events GROUP BY 1",
+    "clean_for_tts": f"SELECT doc_id, md5({SPOKEN}) AS digest FROM (SELECT doc_id, text FROM documents)",
+    "markdown_html": r"""
+WITH l AS (SELECT conv_id, turn, string_split(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(10)) AS lines FROM conversations)
+SELECT conv_id, turn, md5('<h2 class="md-heading">Head</h2><ul class="md-list"><li><em>a</em></li><li>b</li></ul><blockquote class="md-blockquote">' || lines[1] || '</blockquote>' || CASE WHEN len(lines) > 1 THEN '<p>' || array_to_string(lines[2:], ' ') || '</p>' ELSE '' END) AS digest FROM l""",
+    "markdown_parts": f"""
+WITH e AS (SELECT conv_id, turn, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS text FROM conversations)
+SELECT conv_id, turn, '<ol class="md-list"><li><strong>' || {NTH(1)} || '</strong> and <code class="md-code">' || {NTH(2)} || 'a*&lt;b&gt;*</code></li><li><a href="https://example.org/' || {NTH(4)} || '" target="_blank" rel="noopener noreferrer">' || {NTH(3)}
+  || '</a> <em>' || {NTH(5)} || '</em> x_y_z [no](ftp://n)</li></ol><hr class="md-hr"><h3 class="md-heading">' || {NTH(6)} || ' &amp; co</h3><ul class="md-list"><li>' || {NTH(7)} || '</li></ul><pre class="md-code-block"><code># ' || {NTH(8)}
+  || ' &lt;i&gt;' || chr(10) || chr(10) || '- ' || {NTH(9)} || '</code></pre><p>last <em>' || {NTH(10)} || '</em> line</p><p>new</p>' AS html FROM e""",
     "ann_exact": MANY + top("l2") + " SELECT question_id, vec_id, label, score, rank::INT AS rank FROM h WHERE rank <= 5",
     "ann_recall": MANY + top("l2") + " SELECT count(DISTINCT question_id)::BIGINT AS n_questions, count(*)::BIGINT AS n_hits, true AS enough FROM h WHERE rank <= 5",
     "stream_distinct": "SELECT DISTINCT sha256(text) AS content_hash FROM documents",
@@ -227,7 +301,7 @@ SELECT conv_id, turn, text AS question, answer FROM t WHERE role = 'user' AND r
     "persisted_messages": """
 WITH t AS (SELECT *, lead(role) OVER w AS r, lead(text) OVER w AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), p AS (SELECT * FROM t WHERE role = 'user' AND r = 'assistant')
 SELECT conv_id || '-' || turn AS question_id, conv_id AS notebook_id, 0::INT AS seq, 'user' AS role, md5(text) AS digest, NULL::VARCHAR AS sources_json FROM p
-UNION ALL SELECT conv_id || '-' || turn, conv_id, 1, 'assistant', md5(answer), NULL FROM p""",
+UNION ALL SELECT conv_id || '-' || turn, conv_id, 1, 'assistant', md5(answer), CASE WHEN conv_id % 3 = 1 THEN '[{"filename":"f' || conv_id || '"' || CASE WHEN turn % 4 <> 0 THEN ',"page":' || turn ELSE '' END || '}]' END FROM p""",
     "host_alternation": """
 WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos FROM conversations)
 SELECT conv_id, pos::INT AS pos, CASE WHEN role = 'user' THEN 'A' ELSE 'B' END AS label, CASE WHEN pos % 2 = 0 THEN 'A' ELSE 'B' END AS host FROM t""",

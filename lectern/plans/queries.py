@@ -10,13 +10,15 @@ from ..functions import chunk, embed, generate, guard, hashing, markdown, script
 from ..operators import admin, ann, chat, context, overview, registry, retrieval
 from ..operators import ask as asking
 from ..operators import ingest as ingestion
-from ..sources import files, office
+from ..sources import audio, files, images
 from ..sources.config import Options
 from ..sources.files import upload_verdict
 from ..sources.tables import stored, workspace
 from ..streaming import ask as stream_asking
 from ..streaming import ingest, machines, status
 
+from . import fixtures
+
 QUERIES: dict = {}
 
 
@@ -176,6 +178,52 @@ def signature_skip(spark, sf_dir):
     return after.join(before, "notebook_id", "left").select("notebook_id", F.coalesce(F.col("old") == F.col("signature"), F.lit(False)).alias("skipped"))
 
 
+@query
+def source_references(spark, sf_dir):
+    """Of each source, the other sources with its content: in its notebook, and in others."""
+    return registry.other_references(sources(spark, sf_dir).select("id", "notebook_id", "content_hash")).select(F.col("id").alias("doc_id"), "here", "elsewhere")
+
+
+@query
+def user_by_name(spark, sf_dir):
+    """One user by name, as it is written and in capitals."""
+    users = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    named = lambda name: registry.found(users, c_name=name).withColumn("asked", F.lit(name))
+    return named("Customer#000000007").unionByName(named("CUSTOMER#000000007"))
+
+
+@query
+def seeded_admins(spark, sf_dir):
+    """Two administrators seeded: a user that there is, and a new one."""
+    users = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("id"), F.col("n_name").alias("username"), F.lit("user").alias("role"), F.lit("old").alias("password_hash"))
+    return registry.seeded_admin(registry.seeded_admin(users, "NATION_3", "new"), "admin", "first")
+
+
+@query
+def user_list(spark, sf_dir):
+    """The twenty oldest users; passwords are not shown."""
+    created = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("c_nationkey") * 7 % 25).cast("int"))
+    users = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("username"), F.col("c_mktsegment").alias("password_hash"), created.alias("created_at"))
+    return admin.listed_users(users).limit(20)
+
+
+@query
+def newest_sources(spark, sf_dir):
+    """The twenty newest sources."""
+    return admin.newest_first(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at"))).limit(20)
+
+
+@query
+def source_list(spark, sf_dir):
+    """Events as sources, in the fields and form that a list shows."""
+    k = F.from_json("props", "k int")["k"]
+    rows = table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("id"), F.concat("event_type", F.lit(".pdf")).alias("filename"), F.lit("pdf").alias("content_type"), F.when(k % 5 == 0, "failed").otherwise("ready").alias("status"),
+        (k * 100).alias("char_count"), F.when(k % 3 != 0, k).alias("page_count"), F.when(k % 5 == 0, "broken").alias("error_message"), F.when(k % 7 == 0, F.date_trunc("second", "ts")).otherwise(F.col("ts")).alias("created_at"),
+    )
+    return admin.listed_sources(rows.withColumn("created_at", F.when(F.col("id") % 13 != 0, F.col("created_at"))).withColumn("secret", F.lit("x")))
+
+
 @query
 def budget_selection(spark, sf_dir):
     return context.budget_summary(sources(spark, sf_dir))
@@ -186,6 +234,13 @@ def budget_texts(spark, sf_dir):
     return context.within_budget(sources(spark, sf_dir)).select("notebook_id", F.col("id").alias("doc_id"), "chars", "running")
 
 
+@query
+def length_requests(spark, sf_dir):
+    """What models are told of the length of a notebook's scripts."""
+    chars = F.col("total_chars")
+    return context.budget_summary(sources(spark, sf_dir)).select("notebook_id", text.length_request(chars).alias("dialogue"), text.length_request(chars, "slides", 90, 300).alias("slides"))
+
+
 @query
 def duration_target(spark, sf_dir):
     seconds = text.speech_seconds(F.col("total_chars"))
@@ -284,6 +339,25 @@ def provenance(spark, sf_dir):
     return retrieval.with_provenance(hits(spark, sf_dir), chunks, files.where("content_hash % 3 <> 0"))
 
 
+@query
+def collection_texts(spark, sf_dir):
+    """The texts of the best two chunks of every collection for each question."""
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_index"), F.col("text").alias("document"))
+    chunks_ = vectors(spark, sf_dir).join(texts, "chunk_index")
+    scores = retrieval.scored(chunks_, many_vectors(spark, sf_dir), k=2).withColumn("score", F.round("score", 6))
+    return retrieval.collection_texts(scores, chunks_, 2).select("question_id", F.col("collection").alias("label"), F.md5("text").alias("digest"))
+
+
+@query
+def collections_left(spark, sf_dir):
+    """Chunks by collection when every third collection is gone from the store."""
+    path = workspace(spark, "store")
+    chunks_ = vectors(spark, sf_dir).select(F.sha2(F.col("content_hash").cast("string"), 256).alias("content_hash"), "chunk_index", F.col("content_hash").alias("label"))
+    chunks_.withColumn("prefix", F.substring("content_hash", 1, 2)).write.partitionBy("prefix").parquet(path)
+    retrieval.drop_collections(spark, path, chunks_.where("label % 3 = 0"))
+    return spark.read.parquet(path).groupBy("label").agg(F.count("*").alias("n"), F.sum("chunk_index").alias("total"))
+
+
 @query
 def retrieval_provenance(spark, sf_dir):
     return provenance(spark, sf_dir).select("question_id", "rank", F.col("index").alias("vec_id"), "filename", "page", "text", "score")
@@ -448,7 +522,9 @@ def sse_frames(spark, sf_dir):
 @query
 def persisted_messages(spark, sf_dir):
     rows = chat.pairs(turns(spark, sf_dir).withColumnRenamed("text", "content"), "conv_id", ("turn",))
-    rows = rows.select(F.concat_ws("-", "conv_id", "turn").alias("question_id"), F.col("conv_id").alias("notebook_id"), F.col("content").alias("question"), "answer")
+    cited = F.array(F.struct(F.concat(F.lit("f"), F.col("conv_id").cast("string")).alias("filename"), F.when(F.col("turn") % 4 != 0, F.col("turn").cast("int")).alias("page")))
+    cited = F.when(F.col("conv_id") % 3 == 0, F.array().cast("array<struct<filename:string,page:int>>")).when(F.col("conv_id") % 3 == 1, cited)
+    rows = rows.select(F.concat_ws("-", "conv_id", "turn").alias("question_id"), F.col("conv_id").alias("notebook_id"), F.col("content").alias("question"), "answer", cited.alias("sources"))
     return chat.as_messages(rows).select("question_id", "notebook_id", "seq", "role", F.md5("content").alias("digest"), "sources_json")
 
 
@@ -480,6 +556,51 @@ def dialogue_parse(spark, sf_dir):
     return rows.select("conv_id", "turn", F.posexplode(scripts.dialogue(F.col("raw"))).alias("pos", "x")).select("conv_id", "turn", "pos", "x.host", "x.text")
 
 
+@query
+def dialogue_markers(spark, sf_dir):
+    """Dialogues whose JSON breaks off or holds bare quotes: what their markers show."""
+    turn = lambda host, text: F.concat(F.lit('{"host": "' + host + '" , "text" : "'), text, F.lit('"}, '))
+    raw = F.concat(F.lit('{"dialogue": ['), turn("Ava", F.col("text")), turn("2", F.lit('he said "no" ')), turn("right", F.lit("  ")), F.lit('{"host":"host a","text":"'), F.col("role"), F.when(F.col("turn") % 2 == 0, '"}]} ').otherwise(""))
+    rows = turns(spark, sf_dir).select("conv_id", "turn", F.posexplode(scripts.dialogue(F.when(F.col("conv_id") % 2 == 0, fenced(raw)).otherwise(raw))).alias("pos", "x"))
+    return rows.select("conv_id", "turn", "pos", "x.host", F.md5("x.text").alias("digest"))
+
+
+@query
+def final_answers(spark, sf_dir):
+    """Generated texts with thinking blocks before, inside and instead of an answer."""
+    block = lambda x: F.concat(F.lit("<|channel|thought\n"), x, F.lit("<channel|>"))
+    raw = F.when(F.col("turn") % 3 == 0, F.concat(block(F.col("text")), F.lit("\n "), F.col("text"), block(F.lit("more")), F.lit(" end "))).when(F.col("turn") % 3 == 1, block(F.col("role"))).otherwise(F.concat(F.lit(" "), F.col("text"), F.lit("\n")))
+    return turns(spark, sf_dir).select("conv_id", "turn", F.md5(text.final_answer(raw)).alias("digest"))
+
+
+@query
+def script_signatures(spark, sf_dir):
+    """Twelve digits for what is said in a conversation, in order."""
+    said = F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
+    return turns(spark, sf_dir).groupBy("conv_id").agg(hashing.ordered_signature(said).alias("signature"))
+
+
+@query
+def reply_names(spark, sf_dir):
+    """Names of replies' files as they are asked for, some with folders in them."""
+    name = F.when(F.col("page_id") % 4 == 0, text.basename(F.col("url"))).when(F.col("page_id") % 4 == 1, F.col("url")).when(F.col("page_id") % 4 == 2, F.translate(F.col("url"), "/", "\\"))
+    return table(spark, sf_dir, "pages").select("page_id", text.reply_name(F.coalesce(name, F.substring("url", 1, (F.col("page_id") % 3).cast("int")))).alias("name"))
+
+
+@query
+def latencies(spark, sf_dir):
+    """Milliseconds between a user's events."""
+    before = F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return table(spark, sf_dir, "events").select("event_id", text.latency_ms(before.cast("timestamp"), F.col("ts").cast("timestamp")).alias("latency_ms"))
+
+
+@query
+def wrapped_lines(spark, sf_dir):
+    """Texts in lines of forty characters, for slides."""
+    lines = markdown.wrapped(F.col("text"))
+    return turns(spark, sf_dir).select("conv_id", "turn", F.size(lines).alias("n_lines"), F.md5(F.array_join(lines, "\n")).alias("digest"))
+
+
 @query
 def slides_parse(spark, sf_dir):
     slide = F.struct(F.col("text").alias("heading"), F.array(F.lit(" one "), F.lit(" "), F.col("role")).alias("bullets"))
@@ -499,6 +620,15 @@ def markdown_html(spark, sf_dir):
     return turns(spark, sf_dir).select("conv_id", "turn", F.md5(markdown.markdown_html(marked)).alias("digest"))
 
 
+@query
+def markdown_parts(spark, sf_dir):
+    """Texts under all kinds of markup: their first words bold, as code, linked, in lists and in a block of code."""
+    word = lambda k: F.coalesce(F.try_element_at(F.split("text", r"\s+"), F.lit(k)), F.lit("-"))
+    parts = [F.lit("1. **"), word(1), F.lit("** and `"), word(2), F.lit("a*<b>*`\n2. ["), word(3), F.lit("](https://example.org/"), word(4), F.lit(") _"), word(5), F.lit("_ x_y_z [no](ftp://n)\n---\n### "), word(6), F.lit(" & co\n* "),
+             word(7), F.lit("\n```py\n# "), word(8), F.lit(" <i>\n\n- "), word(9), F.lit("\n```\nlast *"), word(10), F.lit("*\nline\n\nnew")]
+    return turns(spark, sf_dir).select("conv_id", "turn", markdown.markdown_html(F.concat(*parts)).alias("html"))
+
+
 @query
 def voice_map(spark, sf_dir):
     speaker = F.element_at(F.array(*map(F.lit, ["Ava", "Andrew", "Emma", "Ryan", "Nobody"])), (F.col("user_id") % 5 + 1).cast("int"))
@@ -717,6 +847,13 @@ def audio_verdicts(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", error.alias("error"))
 
 
+@query
+def audible_slides(spark, sf_dir):
+    """Users' events as slides: whether any has narration."""
+    seconds = F.when((F.col("user_id") % 3 != 0) & (F.col("event_type") == "view"), F.col("value"))
+    return overview.audible(table(spark, sf_dir, "events").select("user_id", seconds.alias("audio_seconds")), "user_id")
+
+
 @query
 def slide_manifest(spark, sf_dir):
     """Users' events as slides, every fourth without narration."""
@@ -756,6 +893,42 @@ def image_fit(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", size["width"].alias("width"), size["height"].alias("height"))
 
 
+@query
+def image_rows(spark, sf_dir):
+    """Documents as files with an image for each line: the images as rows, with their place in the file."""
+    rows = sources(spark, sf_dir).select(F.col("id").alias("doc_id"), fixtures.packer()(F.coalesce("text", F.lit("")), F.lit("images")).alias("content"), F.lit("docx").alias("content_type"))
+    return images.image_rows(rows).select("doc_id", "image_idx", F.md5("image").alias("digest"))
+
+
+@query
+def image_row_texts(spark, sf_dir):
+    """The same through the offline text recogniser, image by image, every third blank: a text for each file."""
+    rows = sources(spark, sf_dir).select(F.col("id").alias("doc_id"), fixtures.packer()(F.coalesce("text", F.lit("")), F.lit("images")).alias("content"), F.lit("docx").alias("content_type"))
+    said = F.when(F.col("image_idx") % 3 != 2, generate.image_text(F.col("image"))).otherwise("")
+    return images.texts_of(images.image_rows(rows).withColumn("text", said), "doc_id").select("doc_id", F.md5("text").alias("digest"))
+
+
+@query
+def image_sizes(spark, sf_dir):
+    """Parts as grey images of all shapes: what their bytes tell, and the images fitted to sixteen pixels."""
+    key = F.col("p_partkey")
+    made = fixtures.shaded((key * 37 % 50 + 1).cast("int"), (key * 91 % 40 + 1).cast("int"), key.cast("int"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", made.alias("image"))
+    rows = rows.select("p_partkey", images.described("image").alias("x"), images.described(images.fitted(16)("image")).alias("y"), images.pixels(images.fitted(16)("image")).alias("p"))
+    return rows.select("p_partkey", "x.format", "x.width", "x.height", F.col("y.width").alias("to_width"), F.col("y.height").alias("to_height"), F.md5(F.array_join("p", ",")).alias("digest"))
+
+
+@query
+def speech_inputs(spark, sf_dir):
+    """Events as recordings of all rates, some too long, some too large, some broken: what the recogniser gets."""
+    k, rates = F.from_json("props", "k int")["k"], F.array(*map(F.lit, [8000, 11025, 16000, 22050, 44100, 48000]))
+    rate = F.element_at(rates, (F.col("event_id") % 6 + 1).cast("int"))
+    content = F.when(k % 17 == 0, F.lit("not a recording").cast("binary")).otherwise(fixtures.toned(k * 40 + 1, rate, (F.col("event_id") % 2 + 1).cast("int")))
+    rows = table(spark, sf_dir, "events").select("event_id", F.concat("event_type", F.lit(".wav")).alias("filename"), content.alias("content"))
+    made = audio.prepared(rows, max_bytes=12_000, max_ms=250)
+    return made.select("event_id", "duration_ms", F.col("rate").alias("from_rate"), (F.octet_length("pcm") / 2).cast("int").alias("n_samples"), "error")
+
+
 @query
 def data_urls(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.md5(files.data_url(F.col("html").cast("binary"), "text/html")).alias("digest"))
@@ -821,6 +994,6 @@ def message_sources(spark, sf_dir):
 def office_texts(spark, sf_dir):
     """Documents as office files, read back: odd ones with a paragraph for each line, even ones with the first line on a slide of its own."""
     kind = F.when(F.col("id") % 2 == 1, "docx").otherwise("pptx")
-    rows = sources(spark, sf_dir).select(F.col("id").alias("doc_id"), office.packer()(F.coalesce("text", F.lit("")), kind).alias("content"), kind.alias("kind"))
+    rows = sources(spark, sf_dir).select(F.col("id").alias("doc_id"), fixtures.packer()(F.coalesce("text", F.lit("")), kind).alias("content"), kind.alias("kind"))
     rows = rows.select("doc_id", "kind", files.magic_ok(F.col("content"), F.col("kind")).alias("magic_ok"), files.parser()(F.col("content"), F.col("kind")).alias("x"))
     return rows.select("doc_id", "kind", "magic_ok", F.md5("x.text").alias("digest"), F.size("x.images").alias("n_images"), "x.error")

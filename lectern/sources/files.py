@@ -17,6 +17,7 @@ from .config import Options
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
+P = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
 R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
 
@@ -44,14 +45,23 @@ def docx_text(content: bytes) -> str:
     return "\n\n".join(t for t in texts if t.strip())
 
 
+def _shape_text(paragraph: ET.Element) -> str:
+    parts = {f"{A}r": lambda x: x.findtext(f"{A}t") or "", f"{A}fld": lambda x: x.findtext(f"{A}t") or "", f"{A}br": lambda x: "\v"}
+    return "".join(parts[x.tag](x) for x in paragraph if x.tag in parts)
+
+
 def pptx_text(content: bytes) -> str:
-    """Paragraphs of each slide's shapes in the order of the presentation; slides two line feeds apart."""
+    """Paragraphs of each slide's own shapes in the order of the presentation; slides two line feeds apart.
+
+    Tables and grouped shapes are not read; a line break inside a paragraph is a vertical tab.
+    """
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         targets = {x.get("Id"): x.get("Target") for x in _xml(z, "ppt/_rels/presentation.xml.rels")}
         order = [x.get(f"{R}id") for x in _xml(z, "ppt/presentation.xml").iter() if x.tag.endswith("}sldId")]
         slides = []
         for k in order:
-            paragraphs = ["".join(t.text or "" for t in p.iter(f"{A}t")) for p in _xml(z, "ppt/" + targets[k].removeprefix("/ppt/")).iter(f"{A}p")]
+            slide = _xml(z, "ppt/" + targets[k].removeprefix("/ppt/"))
+            paragraphs = [_shape_text(p) for p in slide.iterfind(f"{P}cSld/{P}spTree/{P}sp/{P}txBody/{A}p")]
             slides.append("\n".join(p for p in paragraphs if p.strip()))
     return "\n\n".join(s for s in slides if s)
 

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -81,6 +82,20 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def running_sums(df: DataFrame, by: list[str], order: list[str], value: str, to: str) -> DataFrame:
+    """``df`` with ``to``: the sum of ``value`` up to the row within its ``by``, in ``order``, without all rows of a key in one task.
+
+    Rows are dealt to ranges and summed inside them; of the ranges before, only sums go along. Null keys are one key.
+    """
+    dealt = stored(df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    own = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy(*by, "_part").agg(F.sum(value).alias("_sum"))
+    before = sums.select(*(F.col(c).alias(f"_by{k}") for k, c in enumerate(by)), F.col("_part").alias("_at"), F.coalesce(F.sum("_sum").over(own), F.lit(0)).alias("_before"))
+    inside = F.sum(value).over(Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    here = reduce(Column.__and__, (dealt[c].eqNullSafe(before[f"_by{k}"]) for k, c in enumerate(by)), dealt["_part"] == before["_at"])
+    return dealt.withColumn(to, inside).join(before, here).withColumn(to, F.col(to) + F.col("_before")).select(*df.columns, to)
+
+
 def numbered(df: DataFrame, *order: Column | str, to: str) -> DataFrame:
     """Each row's place from 1 in the order, without all rows in one task.
 

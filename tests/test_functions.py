@@ -233,12 +233,12 @@ def docx(*paragraphs, images=()):
 
 
 def pptx(*slides):
-    p, a = 'xmlns:p="http://p"', 'xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"'
+    p, a = 'xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main"', 'xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"'
     r = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
     ids = "".join(f'<p:sldId r:id="r{k}"/>' for k in range(len(slides)))
     relations = "".join(f'<Relationship Id="r{k}" Target="slides/s{k}.xml"/>' for k in range(len(slides)))
     parts = {"ppt/presentation.xml": f"<p:presentation {p} {r}><p:sldIdLst>{ids}</p:sldIdLst></p:presentation>", "ppt/_rels/presentation.xml.rels": f"<Relationships>{relations}</Relationships>"}
-    return office(parts | {f"ppt/slides/s{k}.xml": f"<p:sld {p} {a}>" + "".join(f"<a:p><a:r><a:t>{t}</a:t></a:r></a:p>" for t in s) + "</p:sld>" for k, s in enumerate(slides)})
+    return office(parts | {f"ppt/slides/s{k}.xml": f"<p:sld {p} {a}>" + "<p:cSld><p:spTree>" + "".join(f"<p:sp><p:txBody><a:p><a:r><a:t>{t}</a:t></a:r></a:p></p:txBody></p:sp>" for t in s) + "</p:spTree></p:cSld></p:sld>" for k, s in enumerate(slides)})
 
 
 def test_files(spark, tmp_path):
