@@ -104,3 +104,74 @@ def toned(frames: pd.Series, rates: pd.Series, channels: pd.Series) -> pd.Series
     """Recordings of a tone of 440 Hz."""
     tone = lambda n, r: np.round(8000 * np.sin(2 * np.pi * 440 * np.arange(n) / r))
     return pd.Series([wav(np.repeat(tone(n, r)[:, None], c, axis=1), int(r)) for n, r, c in zip(frames, rates, channels)])
+
+
+def pdf(pages: list[list[str]], packed: bool = False) -> bytes:
+    """A PDF of pages of lines: in Latin letters with a plain font, else with codes of its own and a map to Unicode.
+
+    ``packed`` puts the objects without streams into an object stream, with a cross-reference stream.
+    """
+    letters = sorted({c for page in pages for line in page for c in line})
+    plain = all(c.encode("cp1252", "ignore") and ord(c) >= 32 for c in letters)
+    codes = {c: k + 1 for k, c in enumerate(letters)}
+    escape_ = lambda x: x.encode("cp1252").replace(b"\\", rb"\\").replace(b"(", rb"\(").replace(b")", rb"\)")
+    show = (lambda x: b"(" + escape_(x) + b") Tj") if plain else (lambda x: b"<" + b"".join(b"%04X" % codes[c] for c in x) + b"> Tj")
+    objects: dict[int, bytes] = {1: b"<< /Type /Catalog /Pages 2 0 R >>"}
+    streams: dict[int, bytes] = {}
+    if plain:
+        objects[3] = b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>"
+    else:
+        objects[3] = b"<< /Type /Font /Subtype /Type0 /BaseFont /Own /Encoding /Identity-H /ToUnicode 4 0 R >>"
+        pairs = [b"<%04X> <%s>" % (k, c.encode("utf-16-be").hex().encode()) for c, k in codes.items()]
+        streams[4] = b"\n".join(b"%d beginbfchar\n%s\nendbfchar" % (len(p), b"\n".join(p)) for p in (pairs[k : k + 100] for k in range(0, len(pairs), 100)))
+    kids = []
+    for n, lines in enumerate(pages):
+        at = 10 + 2 * n
+        kids.append(b"%d 0 R" % at)
+        objects[at] = b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R >>" % (at + 1)
+        streams[at + 1] = b"BT /F1 10 Tf 12 TL 50 780 Td\n" + b" T*\n".join(map(show, lines)) + b"\nET"
+    objects[2] = b"<< /Type /Pages /Kids [ %s ] /Count %d /Resources << /Font << /F1 3 0 R >> >> >>" % (b" ".join(kids), len(kids))
+    out, places = bytearray(b"%PDF-1.7\n%\xe2\xe3\xcf\xd3\n"), {}
+
+    def put(n: int, body: bytes) -> None:
+        places[n] = len(out)
+        out.extend(b"%d 0 obj\n%s\nendobj\n" % (n, body))
+
+    for n, data in streams.items():
+        data = zlib.compress(data)
+        put(n, b"<< /Filter /FlateDecode /Length %d >>\nstream\n%s\nendstream" % (len(data), data))
+    if not packed:
+        for n, body in objects.items():
+            put(n, body)
+        start, size = len(out), max(places) + 1
+        rows = b"".join(b"%010d %05d %s \n" % ((places[n], 0, b"n") if n in places else (0, 65535, b"f")) for n in range(size))
+        return bytes(out) + b"xref\n0 %d\n%strailer\n<< /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF" % (size, rows, size, start)
+    offsets, at = [], 0
+    for n, body in objects.items():
+        offsets.append(b"%d %d" % (n, at))
+        at += len(body) + 1
+    head = b" ".join(offsets) + b" "
+    data = zlib.compress(head + b" ".join(objects.values()))
+    put(5, b"<< /Type /ObjStm /N %d /First %d /Filter /FlateDecode /Length %d >>\nstream\n%s\nendstream" % (len(objects), len(head), len(data), data))
+    index = {n: k for k, n in enumerate(objects)}
+    size, start = max([*places, *objects]) + 2, len(out)
+    places[6] = start
+    rows = b"".join(struct.pack(">BIH", *((2, 5, index[n]) if n in index else (1, places[n], 0) if n in places else (0, 0, 65535))) for n in range(size))
+    data = zlib.compress(rows)
+    put(6, b"<< /Type /XRef /Size %d /W [ 1 4 2 ] /Root 1 0 R /Filter /FlateDecode /Length %d >>\nstream\n%s\nendstream" % (size, len(data), data))
+    return bytes(out) + b"startxref\n%d\n%%%%EOF" % start
+
+
+def printer(lines: int = 40) -> Callable[[Column, Column], Column]:
+    """A column function from ``(text, seed)`` to a PDF of so many lines a page; of seeds by five, the fourth is cut off and the others are packed by turns."""
+
+    def one(text: str, seed: int) -> bytes:
+        own = text.split("\n")
+        made = pdf([own[k : k + lines] for k in range(0, len(own), lines)], packed=seed % 2 == 1)
+        return made[: made.index(b"stream") + 9] if seed % 5 == 3 else made
+
+    @F.pandas_udf("binary")
+    def print_(texts: pd.Series, seeds: pd.Series) -> pd.Series:
+        return pd.Series([one(t, s) for t, s in zip(texts, seeds)])
+
+    return print_

@@ -141,7 +141,17 @@ for _pattern, _by in [
     SPOKEN = f"regexp_replace({SPOKEN}, {lit(_pattern)}, {lit(_by) if _by != chr(92) + 'n' + chr(92) + 'n' else 'chr(10) || chr(10)'}, 'g')"
 NTH = lambda k: rf"coalesce(string_split_regex(text, '\s+')[{k}], '-')"
 
+#: Texts in pages of forty lines, without white space at the ends of a page.
+PDF = r"""
+WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents WHERE doc_id % 5 <> 3),
+p AS (SELECT *, unnest(range(1, (len(lines) + 39) // 40 + 1)) AS page FROM l),
+t AS (SELECT doc_id, page::INT AS page, regexp_replace(array_to_string(lines[40 * (page - 1) + 1:40 * page], chr(10)), '^\s+|\s+$', '', 'g') AS text FROM p)"""
+
 ORACLE_SQL = {
+    "pdf_pages": PDF + """ SELECT doc_id, page, md5(text) AS digest, NULL::VARCHAR AS error FROM t
+UNION ALL SELECT doc_id, NULL, NULL, 'ValueError: a stream without its end' FROM documents WHERE doc_id % 5 = 3""",
+    "pdf_texts": PDF + """ SELECT doc_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY page)) AS digest, max(page)::INT AS page_count, NULL::VARCHAR AS error FROM t GROUP BY 1
+UNION ALL SELECT doc_id, NULL, NULL, 'ValueError: a stream without its end' FROM documents WHERE doc_id % 5 = 3""",
     "image_rows": """
 WITH l AS (SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: x <> '') AS lines FROM documents)
 SELECT doc_id, (i - 1)::INT AS image_idx, md5(lines[i]) AS digest FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM l)""",

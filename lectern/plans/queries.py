@@ -10,7 +10,7 @@ from ..functions import chunk, embed, generate, guard, hashing, markdown, script
 from ..operators import admin, ann, chat, context, overview, registry, retrieval
 from ..operators import ask as asking
 from ..operators import ingest as ingestion
-from ..sources import audio, files, images
+from ..sources import audio, files, images, pdf
 from ..sources.config import Options
 from ..sources.files import upload_verdict
 from ..sources.tables import stored, workspace
@@ -893,6 +893,20 @@ def image_fit(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", size["width"].alias("width"), size["height"].alias("height"))
 
 
+@query
+def pdf_pages(spark, sf_dir):
+    """Documents as PDF of forty lines a page, a fifth of them cut off: the pages as rows."""
+    rows = sources(spark, sf_dir).select(F.col("id").alias("doc_id"), fixtures.printer()(F.coalesce("text", F.lit("")), F.col("id")).alias("content"))
+    return pdf.page_rows(rows).select("doc_id", "page", F.md5("text").alias("digest"), "error")
+
+
+@query
+def pdf_texts(spark, sf_dir):
+    """The same through the parser of files: whole texts and numbers of pages."""
+    rows = sources(spark, sf_dir).select(F.col("id").alias("doc_id"), fixtures.printer()(F.coalesce("text", F.lit("")), F.col("id")).alias("content"))
+    return rows.select("doc_id", files.parser()(F.col("content"), F.lit("pdf")).alias("x")).select("doc_id", F.md5("x.text").alias("digest"), "x.page_count", "x.error")
+
+
 @query
 def image_rows(spark, sf_dir):
     """Documents as files with an image for each line: the images as rows, with their place in the file."""

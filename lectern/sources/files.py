@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import basename, content_type, magic_ok
 from .config import Options
+from .pdf import pages_of
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
@@ -75,19 +76,10 @@ def media(content: bytes) -> list[bytes]:
         return []
 
 
-def pdf_pages(content: bytes) -> list[str]:
-    """Texts of a PDF's pages, with the library if it is there."""
-    try:
-        from pypdf import PdfReader
-    except ModuleNotFoundError as error:
-        raise RuntimeError("reading PDF needs the pypdf library, or a parser of your own") from error
-    return [page.extract_text() or "" for page in PdfReader(io.BytesIO(content)).pages]
-
-
 PARSED = "struct<text:string,page_count:int,images:array<binary>,error:string>"
 
 
-def parser(pdf: Callable[[bytes], list[str]] = pdf_pages) -> Callable[[Column, Column], Column]:
+def parser(pdf: Callable[[bytes], list[str]] = pages_of) -> Callable[[Column, Column], Column]:
     """A column function from ``(content, type)`` to text, page count (PDF), embedded images and error.
 
     A file is read once. Undecodable bytes of plain text become U+FFFD.
