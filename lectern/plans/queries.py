@@ -681,7 +681,7 @@ def streamed(spark, sf_dir, name):
 def stream_registry(spark, sf_dir):
     """The registry as streaming ingestion builds it, batch by batch."""
     path = workspace(spark, "registry")
-    ingest.run_available(ingest.registering(streamed(spark, sf_dir, "documents"), path, "doc_id"), path + "-checkpoint")
+    ingest.run_available(ingest.registering(streamed(spark, sf_dir, "documents"), path, "doc_id", digits=1), path + "-checkpoint")
     return ingest.read_registry(spark, path).select("content_hash", "collection", "char_count", "first_id")
 
 

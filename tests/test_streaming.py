@@ -42,8 +42,8 @@ def test_false_positives_and_replayed_batches_change_nothing(spark, tmp_path):
                 for x in (checkpoint / "commits").glob("*"):
                     if x.name.strip(".").startswith(str(n)):
                         x.unlink()
-            ingest.run_available(ingest.registering(stream, path, bits=16), str(checkpoint))  # nearly every filter is full
-    got = {r.extracted_text: (r.first_id, r.batch, r.prefix == r.content_hash[:2]) for r in ingest.read_registry(spark, path).collect()}
+            ingest.run_available(ingest.registering(stream, path, bits=16, digits=1), str(checkpoint))  # nearly every filter is full
+    got = {r.extracted_text: (r.first_id, r.batch, r.prefix == r.content_hash[:1]) for r in ingest.read_registry(spark, path).collect()}
     want = {f"text {k}": (k, 0, True) for k in range(40)} | {f"text {k}": (next(i for i in range(60, 130) if i % 70 == k), 1, True) for k in range(40, 70)} | {"new": (202, 2, True)}
     assert got == want and ingest.read_registry(spark, path).count() == len(want)
 
