@@ -9,8 +9,8 @@ Then the host decides. The token streams of its distinct pages are concatenated
 put in suffix order, which brings long substrings together that stand on several pages.
 What is covered by a substring on ``MIN_PAGES`` distinct pages is boilerplate; unique
 runs stay. Inside a marked article that would take quotations and passages that
-articles share, so there only what stands on most pages of a large site is
-boilerplate (``SITE_SHARE``, ``SITE_PAGES``). A covered run goes out of a block if it is the
+articles share, so there a substring must stand on ``SITE_HOLDERS`` distinct pages at
+least, and on the share ``SITE_SHARE`` of the host's. A covered run goes out of a block if it is the
 whole block or long inside it.
 
 A host's distinct pages are dealt by a hash of their content to parts of about
@@ -38,8 +38,8 @@ from .common import map_arrow, scope, stream_arrow, windows, word_hashes, writte
 LONG = 8
 #: Distinct pages of a host that must hold it.
 MIN_PAGES = 3
-#: Inside marked articles: the share of a host's distinct pages that must hold it, and the pages that such a host must have.
-SITE_SHARE, SITE_PAGES = 0.6, 50
+#: Inside marked articles: the distinct pages, and the share of a host's, that must hold it.
+SITE_HOLDERS, SITE_SHARE = 30, 0.6
 #: Bytes of the pages whose suffixes meet in one array, on average.
 PART_BYTES = 1 << 20
 
@@ -240,7 +240,7 @@ def substrings(tokens: list[np.ndarray], zones: list[np.ndarray], is_site: bool,
 
     ``(hashes, in_article, n_pages, holders)``: each substring of ``long`` tokens, whether inside
     articles, on how many of the pages, and on which it could be text. Outside articles, all
-    are told; inside, if the host is a site, those on half the share.
+    are told; inside, if the host has as many pages as must hold one, those on half the share.
     """
     flat, zone = np.concatenate(tokens), np.concatenate(zones)
     page = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
@@ -383,12 +383,12 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     with scope(pages.sparkSession) as kept:
         hosts = rows.groupBy("host").agg(F.countDistinct("page").alias("n_pages"), F.sum(F.octet_length("html")).alias("n_bytes"))
         parts = F.ceil(F.col("n_bytes") / part_bytes).alias("parts")
-        hosts = written(hosts.select("host", "n_pages", (F.col("n_pages") >= SITE_PAGES).alias("is_site"), parts), "hosts")
+        hosts = written(hosts.select("host", "n_pages", (F.col("n_pages") >= SITE_HOLDERS).alias("is_site"), parts), "hosts")
         dealt = _streams(rows).join(hosts.where("parts > 0").drop("n_pages"), "host").withColumn("part", F.pmod(F.xxhash64("page"), "parts"))
         dealt = dealt.repartition("host", "part").sortWithinPartitions("host", "part", "page")
         found = written(_substrings(dealt), "substrings")
         sums = found.groupBy("host", "hash", "in_article").agg(F.sum("n").alias("n"), F.sum("of").alias("of")).join(hosts.select("host", "n_pages"), "host")
-        share, silent = SITE_SHARE * F.col("n_pages"), F.col("n_pages") - F.col("of")
+        share, silent = F.greatest(SITE_SHARE * F.col("n_pages"), F.lit(float(SITE_HOLDERS))), F.col("n_pages") - F.col("of")
         # each silent part holds it on fewer than half the share of its pages
         unsure = F.col("in_article") & (silent > 0) & (F.col("n") + SITE_SHARE / 2 * silent >= share)
         sums = sums.where(unsure | F.when(F.col("in_article"), F.col("n") >= share).otherwise(F.col("n") >= MIN_PAGES))

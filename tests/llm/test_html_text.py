@@ -185,12 +185,12 @@ def test_articles_keep_what_they_share_unless_the_whole_site_has_it(spark):
         assert got[100 + k] == f"{story(k)} {notice}"
 
 
-@pytest.mark.parametrize("holders, cut", [(48, True), (47, False)])
-def test_share_of_a_site_dealt_to_small_parts(spark, holders, cut):
+@pytest.mark.parametrize("pages, holders, cut", [(80, 48, True), (80, 47, False), (32, 30, True), (32, 29, False), (29, 29, False)])
+def test_share_of_a_site_dealt_to_small_parts(spark, pages, holders, cut):
     notice = "sign up now for the letter that we send each week"
-    rows = [(k, f"https://s.example/{k}", f"<article><p>{story(k)}</p>{f'<p>{notice}</p>' if k < holders else ''}</article>") for k in range(80)]
+    rows = [(k, f"https://s.example/{k}", f"<article><p>{story(k)}</p>{f'<p>{notice}</p>' if k < holders else ''}</article>") for k in range(pages)]
     got = {r.page_id: r.text for r in h.main_text(spark.createDataFrame(rows * 2, "page_id long, url string, html string"), part_bytes=500).collect()}
-    for k in range(80):
+    for k in range(pages):
         assert got[k] == story(k) + (f" {notice}" if k < holders and not cut else "")
 
 
