@@ -67,29 +67,29 @@ def map_arrow(df: DataFrame, columns: Callable[[pa.RecordBatch], list], schema:
     return stream_arrow(df, lambda batches: map(columns, batches), schema)
 
 
-def stream_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterable[list]], schema: str) -> DataFrame:
-    """Map a partition's Arrow batches, in order, to lists of the columns of ``schema``."""
+def stream_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterable[list]], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
+    """Map a partition's Arrow batches, in order, to lists of the columns of ``schema``; ``rows`` bounds a batch of rows that are short."""
     to = arrow_schema(schema)
     # only rows that are long are fewer in a batch by this, so the session's other functions keep their batches
     if int(df.sparkSession.conf.get(_BYTES_KEY).rstrip("b")) > BATCH_BYTES:
         df.sparkSession.conf.set(_BYTES_KEY, f"{BATCH_BYTES}b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in function(part for b in batches for part in parts(b)):
+        for columns in function(part for b in batches for part in parts(b, rows)):
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(columns, to)], schema=to)
 
     return df.mapInArrow(run, schema)
 
 
-def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Slices of ``BATCH_ROWS`` rows and ``BATCH_BYTES`` bytes at most; a larger row stands alone.
+def parts(batch: pa.RecordBatch, rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """Slices of ``rows`` rows and ``BATCH_BYTES`` bytes at most; a larger row stands alone.
 
     Spark bounds the bytes of what it sends by the setting ``_BYTES_KEY``, which stands in the session.
     """
-    if batch.num_rows > 1 and (batch.num_rows > BATCH_ROWS or batch.nbytes > BATCH_BYTES):
+    if batch.num_rows > 1 and (batch.num_rows > rows or batch.nbytes > BATCH_BYTES):
         half = batch.num_rows // 2
-        yield from parts(batch.slice(0, half))
-        yield from parts(batch.slice(half))
+        yield from parts(batch.slice(0, half), rows)
+        yield from parts(batch.slice(half), rows)
     else:
         yield batch
 

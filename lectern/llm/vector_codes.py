@@ -29,6 +29,8 @@ from .common import stream_arrow, written
 PARTS, ENTRIES, ROUNDS, SCALE = 16, 64, 2, 256
 #: Members of one owner, if all vectors had the same entry; and salts at most.
 OWNED, SALTS = 1024, 4096
+#: Parts that a task assigns at once.
+BATCH = 8192
 #: Scaled components stay below this, so that all sums of squares are exact.
 LIMIT = 1 << 26
 
@@ -90,7 +92,7 @@ def _members(rows: DataFrame, books: np.ndarray) -> DataFrame:
             offsets = pa.array(np.arange(n * parts + 1) * width, pa.int32())
             yield [np.repeat(np.asarray(b.column("row")), parts), np.tile(np.arange(parts), n), entry.ravel(), pa.ListArray.from_arrays(offsets, pa.array(x.ravel())), distance.ravel()]
 
-    return stream_arrow(rows.select("row", "x"), cut, MEMBER)
+    return stream_arrow(rows.select("row", "x"), cut, MEMBER, BATCH // parts)
 
 
 def _reassigned(members: DataFrame, books: np.ndarray) -> DataFrame:
@@ -107,7 +109,7 @@ def _reassigned(members: DataFrame, books: np.ndarray) -> DataFrame:
                 entry[own], distance[own] = nearest(x[own], books[k])
             yield [b.column("row"), position, entry, b.column("x"), distance, entry != before]
 
-    return stream_arrow(members, assign, f"{MEMBER}, moved boolean")
+    return stream_arrow(members, assign, f"{MEMBER}, moved boolean", BATCH)
 
 
 def _owned(members: DataFrame, salts: int) -> DataFrame:
