@@ -31,7 +31,9 @@ UNIT = 1_000_000_000
 #: Documents of a language that a kept term is in at least, and terms reported of each source at most.
 MIN_DOCS, TOP = 3, 200
 #: Sources of a block, and terms of a chunk (a multiple of 64).
-BLOCK, CHUNK = 64, 1024
+BLOCK, CHUNK = 64, 256
+#: Levels that a task reads at once.
+BATCH = 8192
 #: Counts that a task gathers before it passes them on; levels of a word that meet at once.
 GATHERED, ROWS_AT_ONCE = 200_000, 512
 
@@ -178,7 +180,7 @@ def _pair_sums(rows: DataFrame) -> DataFrame:
         if own is not None:
             yield told()
 
-    return stream_arrow(rows, add_up, "lang string, a bigint, b bigint, part bigint")
+    return stream_arrow(rows, add_up, "lang string, a bigint, b bigint, part bigint", BATCH)
 
 
 def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
