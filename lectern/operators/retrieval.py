@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.chunk import chunks
 from ..sources.tables import remove, scope, stored
@@ -155,7 +156,8 @@ def drop_collections(spark: SparkSession, path: str, gone: DataFrame) -> None:
     gone = gone.select("content_hash").distinct()
     touched = sorted(r[0] for r in gone.select(F.substring("content_hash", 1, 2)).distinct().collect())  # at most 256
     with scope(spark):
-        held = spark.read.parquet(path)
+        found = spark.read.parquet(path).schema  # in which prefixes of digits alone are numbers
+        held = spark.read.schema(T.StructType([T.StructField("prefix", T.StringType()) if f.name == "prefix" else f for f in found])).parquet(path)
         left = stored(without_collections(held.where(F.col("prefix").isin(touched)), gone), "left")
         full = {r[0] for r in left.select("prefix").distinct().collect()}
         left.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("prefix").parquet(path)
