@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import generate, scripts
+from ..functions.text import length_request
 from .context import within_budget
 
 # Prompts and the offline scripts that results depend on.
@@ -14,6 +17,28 @@ SUMMARY_PROMPT = (
     'Respond as JSON: {"summary": "...", "suggested_questions": ["q1", ...]}'
 )
 SUMMARY_REQUEST = "Summarize the following source texts and suggest 5 questions:\n\n"
+DIALOGUE_PROMPT = (
+    "You are a creative assistant that produces engaging two-host podcast dialogues. Given source texts, write a natural conversation between Ava and Andrew that summarizes and discusses the key points. ",
+    "The hosts should alternate turns, reference the sources naturally, and keep it engaging. Ava should introduce herself as Ava, and Andrew should introduce himself as Andrew. "
+    "Never use generic labels like 'Host A' or 'Host B' — always use their real names. "
+    'IMPORTANT: In the JSON, use "host": "A" for Ava and "host": "B" for Andrew. Respond as JSON: {"dialogue": [{"host": "A", "text": "..."}, {"host": "B", "text": "..."}, ...]}',
+)
+SLIDES_PROMPT = (
+    "You are an expert educator creating a narrated video presentation. Given source texts, produce a slide-by-slide script with narration. \n\nRULES:\n"
+    "- Generate exactly 5-8 slides (title + 4-7 content slides + summary).\n"
+    "- Each slide has a short heading (max 8 words) and 2-3 very short bullet points (max 6 words each).\n"
+    "- Bullets are visual anchors only — the narration carries the depth.\n"
+    "- Each slide has a narration: 2-4 conversational sentences (max 60 words) that explain, connect, and elaborate. Do NOT just read the bullets aloud. Use analogies, transitions, and an enthusiastic expert tone.\n"
+    "- The title slide narration should introduce the topic enthusiastically.\n"
+    "- The summary slide narration should recap key takeaways.\n",
+    'Respond as JSON: {"slides": [{"type": "title", "heading": "Short Title", "bullets": ["Brief subtitle"], "narration": "Welcome! Today we are going to explore..."}, '
+    '{"type": "content", "heading": "Key Concept", "bullets": ["Point 1", "Point 2"], "narration": "Let me explain this in more detail..."}, '
+    '{"type": "summary", "heading": "Key Takeaways", "bullets": ["Takeaway 1", "Takeaway 2"], "narration": "To wrap up, here is what we covered..."}...]}',
+)
+REQUESTS = {
+    "dialogue": (DIALOGUE_PROMPT, "Write a two-host podcast dialogue based on these source texts:\n\n", "Focus the discussion on: "),
+    "slides": (SLIDES_PROMPT, "Create a narrated video presentation based on these source texts:\n\n", "Focus the presentation on: "),
+}
 NO_SOURCES = "No sources have been uploaded yet."
 DIALOGUE = [
     "Welcome to the audio overview! Today we're discussing the key points from your sources. [{}]",
@@ -62,6 +87,27 @@ def summaries(notebooks: DataFrame, signatures: DataFrame, texts: DataFrame, mod
     return joined.select("notebook_id", out.alias("_o"), F.col("signature").alias("content_signature"), skipped.alias("skipped")).select("notebook_id", "_o.*", "content_signature", "skipped")
 
 
+def script_messages(texts: Column, chars: Column, kind: str, topic: Column | None = None, least: int = 60, most: int = 480) -> Column:
+    """What a model is asked for a notebook's dialogue or slides: the length by its characters, a topic if there is one, the texts."""
+    (before, after), request, focus = REQUESTS[kind]
+    system = F.concat(F.lit(before), length_request(chars, kind, least, most), F.lit(after))
+    asked = F.concat(F.lit(request), F.array_join(texts, "\n\n"))
+    if topic is not None:
+        asked = F.when(F.coalesce(topic, F.lit("")) != "", F.concat(F.lit(focus), topic, F.lit("\n\n"), asked)).otherwise(asked)
+    return generate.prompt(system, F.lit(""), asked, thinking=False)
+
+
+def scripted(texts: DataFrame, kind: str, model: Callable[[Column], Column], topic: Column | None = None, max_chars: int = 30_000) -> DataFrame:
+    """``(notebook_id, script, error)``: each notebook's dialogue, its hosts alternating, or slides, from a model that fails by row (``generate.guarded``).
+
+    A model that fails leaves an empty script and its error; what cannot be parsed is an empty script without one. Notebooks without a text have no row.
+    """
+    chosen = selected_texts(texts, max_chars).withColumn("_said", model(script_messages(F.col("texts"), F.col("total_chars"), kind, topic)))
+    parsed = scripts.alternated(scripts.dialogue(F.col("_said.value"))) if kind == "dialogue" else scripts.slides(F.col("_said.value"))
+    empty = F.array().cast("array<struct<host:string,text:string>>" if kind == "dialogue" else scripts.SLIDES)
+    return chosen.select("notebook_id", F.coalesce(F.when(F.col("_said.ok"), parsed), empty).alias("script"), F.col("_said.error").alias("error"))
+
+
 def stored_questions(questions: Column) -> Column:
     """Questions as they are stored: JSON, null if there are none."""
     return F.when(F.size(questions) > 0, F.to_json(questions))

@@ -147,6 +147,30 @@ WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FRO
 p AS (SELECT *, unnest(range(1, (len(lines) + 39) // 40 + 1)) AS page FROM l),
 t AS (SELECT doc_id, page::INT AS page, regexp_replace(array_to_string(lines[40 * (page - 1) + 1:40 * page], chr(10)), '^\s+|\s+$', '', 'g') AS text FROM p)"""
 
+#: Texts within the budget, and the length of a script by their characters.
+CHOSEN = f"""{BUDGET},
+c AS (SELECT k.notebook_id, string_agg(s.text, chr(10) || chr(10) ORDER BY k.id) AS texts, least(greatest(sum(k.chars) // 150, 60), 480)::INT AS a FROM k JOIN s USING (notebook_id, id) WHERE NOT over GROUP BY 1)"""
+DIALOGUE_ASKED = (
+    "You are a creative assistant that produces engaging two-host podcast dialogues. Given source texts, write a natural conversation between Ava and Andrew that summarizes and discusses the key points. ",
+    "The hosts should alternate turns, reference the sources naturally, and keep it engaging. Ava should introduce herself as Ava, and Andrew should introduce himself as Andrew. Never use generic labels like 'Host A' or 'Host B' — always use their real names. "
+    'IMPORTANT: In the JSON, use "host": "A" for Ava and "host": "B" for Andrew. Respond as JSON: {"dialogue": [{"host": "A", "text": "..."}, {"host": "B", "text": "..."}, ...]}',
+)
+SLIDES_ASKED = (
+    "You are an expert educator creating a narrated video presentation. Given source texts, produce a slide-by-slide script with narration. "
+    """
+
+RULES:
+- Generate exactly 5-8 slides (title + 4-7 content slides + summary).
+- Each slide has a short heading (max 8 words) and 2-3 very short bullet points (max 6 words each).
+- Bullets are visual anchors only — the narration carries the depth.
+- Each slide has a narration: 2-4 conversational sentences (max 60 words) that explain, connect, and elaborate. Do NOT just read the bullets aloud. Use analogies, transitions, and an enthusiastic expert tone.
+- The title slide narration should introduce the topic enthusiastically.
+- The summary slide narration should recap key takeaways.
+""",
+    'Respond as JSON: {"slides": [{"type": "title", "heading": "Short Title", "bullets": ["Brief subtitle"], "narration": "Welcome! Today we are going to explore..."}, {"type": "content", "heading": "Key Concept", "bullets": ["Point 1", "Point 2"], '
+    '"narration": "Let me explain this in more detail..."}, {"type": "summary", "heading": "Key Takeaways", "bullets": ["Takeaway 1", "Takeaway 2"], "narration": "To wrap up, here is what we covered..."}...]}',
+)
+
 ORACLE_SQL = {
     "pdf_pages": PDF + """ SELECT doc_id, page, md5(text) AS digest, NULL::VARCHAR AS error FROM t
 UNION ALL SELECT doc_id, NULL, NULL, 'ValueError: a stream without its end' FROM documents WHERE doc_id % 5 = 3""",
@@ -172,6 +196,25 @@ n AS (SELECT *, k * 40 + 1 AS frames, (k * 40 + 1) * 1000 // rate AS ms, k % 17
 SELECT event_id, CASE WHEN NOT broken AND NOT large THEN ms END::INT AS duration_ms, CASE WHEN NOT broken AND NOT large THEN rate END::INT AS from_rate,
   CASE WHEN NOT broken AND NOT large AND ms <= 250 THEN (frames * 16000 + rate - 1) // rate END::INT AS n_samples,
   CASE WHEN large THEN 'AudioTooLongError: Audio upload exceeds 12000 bytes.' WHEN broken THEN 'UnsupportedAudioFormatError: Could not decode audio (.wav): no RIFF file' WHEN ms > 250 THEN 'AudioTooLongError: Audio exceeds 250 ms.' END AS error FROM n""",
+    "script_requests": CHOSEN + f""" SELECT notebook_id,
+  md5('system:' || {lit(DIALOGUE_ASKED[0])} || 'The dialogue should be about ' || a || ' seconds when spoken (~' || floor(a * 2.5)::INT || ' words). ' || {lit(DIALOGUE_ASKED[1])} || '|user:' || CASE WHEN length(notebook_id) % 2 = 0 THEN 'Focus the discussion on: ' || notebook_id || chr(10) || chr(10) ELSE '' END
+    || 'Write a two-host podcast dialogue based on these source texts:' || chr(10) || chr(10) || texts) AS dialogue,
+  md5('system:' || {lit(SLIDES_ASKED[0])} || '- Total narration across all slides should be about ' || a || ' seconds when spoken (~' || floor(a * 2.5)::INT || ' words total). ' || {lit(SLIDES_ASKED[1])} || '|user:' || CASE WHEN length(notebook_id) % 2 = 0 THEN 'Focus the presentation on: ' || notebook_id || chr(10) || chr(10) ELSE '' END
+    || 'Create a narrated video presentation based on these source texts:' || chr(10) || chr(10) || texts) AS slides FROM c""",
+    "scripts_made": CHOSEN + r""", asks AS (SELECT notebook_id, 'dialogue' AS part, 'Write a two-host podcast dialogue based on these source texts:' || chr(10) || chr(10) || texts AS asked FROM c
+  UNION ALL SELECT notebook_id, 'slides', 'Create a narrated video presentation based on these source texts:' || chr(10) || chr(10) || texts FROM c),
+q AS (SELECT *, length(asked) % 11 = 0 AS failed, length(asked) % 7 = 0 AS odd, replace(replace(substr(asked, greatest(1, length(asked) - 39)), chr(10), ' '), '"', chr(39)) AS quoted FROM asks),
+t AS (SELECT *, regexp_replace(quoted, '^\s+', '') AS lead, regexp_replace(quoted, '^\s+|\s+$', '', 'g') AS both_ends FROM q)
+SELECT notebook_id, part, CASE WHEN failed THEN 'ValueError: too much' END AS error, CASE WHEN failed OR odd THEN 0 WHEN part = 'dialogue' THEN 3 ELSE 1 END::INT AS n,
+  md5(CASE WHEN failed OR odd THEN '' WHEN part = 'dialogue' THEN 'A ' || lead || ' 0' || chr(10) || 'B ' || lead || ' 1' || chr(10) || 'A ' || lead || ' 2' ELSE 'content ' || both_ends || ' ' || length(asked) || ' ' || both_ends END) AS digest FROM t""",
+    "summaries_kept": CHOSEN + f""", g AS (SELECT notebook_id, sha256(string_agg(content_hash, '|' ORDER BY content_hash)) AS signature, coalesce(try_cast(substr(notebook_id, 4) AS INT), 1) AS k FROM ({SRC}) WHERE content_hash IS NOT NULL GROUP BY 1),
+m AS (SELECT g.*, 'Summarize the following source texts and suggest 5 questions:' || chr(10) || chr(10) || texts AS asked FROM g LEFT JOIN c ON c.notebook_id = g.notebook_id),
+p AS (SELECT *, 'You are a helpful assistant that summarizes documents. Given the source texts, produce a concise summary (max 150 words) and 5 suggested questions a user might ask. Respond as JSON: {{"summary": "...", "suggested_questions": ["q1", ...]}}' AS prompt FROM m)
+SELECT notebook_id, CASE WHEN k % 4 = 0 THEN 'old' WHEN asked IS NULL THEN 'No sources have been uploaded yet.'
+  ELSE '[mock answer ' || substr(sha256('system:' || prompt || '|user:' || asked), 1, 8) || '] Based on the provided sources, here is a response to: ' || substr(asked, 1, 60) || '.' END AS summary,
+  (k % 12 = 0)::INT AS n_questions, signature AS content_signature, k % 4 = 0 AS skipped FROM p""",
+    "appended_rows": """
+SELECT (SELECT max(event_id) FROM events WHERE event_id % 2 = 0) + row_number() OVER (ORDER BY ts) AS id, ts AS created_at FROM events WHERE event_id % 2 = 1""",
     "source_references": f"""
 WITH s AS ({SRC}) SELECT id AS doc_id, CASE WHEN content_hash IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY content_hash, notebook_id) - 1 END::BIGINT AS here,
   CASE WHEN content_hash IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY content_hash) - count(*) OVER (PARTITION BY content_hash, notebook_id) END::BIGINT AS elsewhere FROM s""",

@@ -834,6 +834,57 @@ def stand_in_scripts(spark, sf_dir):
     return said.union(shown.select("notebook_id", "part", "pos", "x.type", F.concat("x.heading", F.lit("|"), F.array_join("x.bullets", "|"), F.lit("|"), "x.narration")))
 
 
+def script_model():
+    """Answers with a fenced script that quotes the request; refuses requests whose length eleven divides, and gives no JSON where seven does."""
+
+    def answer(messages):
+        asked = messages[-1]["content"]
+        if len(asked) % 11 == 0:
+            raise ValueError("too much")
+        quoted = asked[-40:].replace("\n", " ").replace('"', "'")
+        turns_ = ", ".join(f'{{"host": "B", "text": "{quoted} {k}"}}' for k in range(3))
+        slides = f'{{"heading": "{quoted}", "bullets": [" {len(asked)} ", ""]}}'
+        return "no script" if len(asked) % 7 == 0 else f'```json\n{{"dialogue": [{turns_}], "slides": [{slides}]}}\n```'
+
+    return answer
+
+
+@query
+def script_requests(spark, sf_dir):
+    """What models are asked for each notebook's dialogue and slides, every second with a topic."""
+    chosen = overview.selected_texts(sources(spark, sf_dir))
+    topic = F.when(F.length("notebook_id") % 2 == 0, F.col("notebook_id"))
+    asked = [overview.script_messages(F.col("texts"), F.col("total_chars"), kind, topic) for kind in ("dialogue", "slides")]
+    return chosen.select("notebook_id", *(F.md5(generate.messages_key(x)).alias(kind) for kind, x in zip(("dialogue", "slides"), asked)))
+
+
+@query
+def scripts_made(spark, sf_dir):
+    """Dialogues and slides of notebooks from a model that fails for some and gives nonsense for others."""
+    rows = sources(spark, sf_dir)
+    said = overview.scripted(rows, "dialogue", generate.guarded(script_model)).select("notebook_id", F.lit("dialogue").alias("part"), "error", F.expr("transform(script, x -> concat(x.host, ' ', x.text))").alias("script"))
+    shown = overview.scripted(rows, "slides", generate.guarded(script_model)).select("notebook_id", F.lit("slides").alias("part"), "error", F.expr("transform(script, x -> concat(x.type, ' ', x.heading, ' ', array_join(x.bullets, '|'), ' ', x.narration))").alias("script"))
+    return said.unionByName(shown).select("notebook_id", "part", "error", F.size("script").alias("n"), F.md5(F.array_join("script", "\n")).alias("digest"))
+
+
+@query
+def summaries_kept(spark, sf_dir):
+    """Summaries of notebooks: kept where the signature is still that of the sources, else made anew by the offline model."""
+    rows = sources(spark, sf_dir)
+    now = hashing.content_signatures(rows)
+    number = F.coalesce(F.expr("try_cast(substring(notebook_id, 4) as int)"), F.lit(1))
+    held = now.select("notebook_id", F.when(number % 2 == 0, F.lit("old")).alias("summary"), F.when(number % 3 == 0, '["q"]').alias("suggested_questions"), F.when(number % 4 == 0, F.col("signature")).otherwise("stale").alias("content_signature"))
+    made = overview.summaries(held, now, rows)
+    return made.select("notebook_id", "summary", F.size("suggested_questions").alias("n_questions"), "content_signature", "skipped")
+
+
+@query
+def appended_rows(spark, sf_dir):
+    """Odd events as rows to append, in the order of time, to a table of the even ones: their ids go on from the largest there."""
+    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"))
+    return registry.appended(events.where("id % 2 = 0"), events.where("id % 2 = 1")).select("id", "created_at")
+
+
 @query
 def audio_outcomes(spark, sf_dir):
     """Users' events as utterances of an audio job, of which one in fifty is made."""
