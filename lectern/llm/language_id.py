@@ -10,7 +10,7 @@ words, and its score is the mean probability.
 
 The field is fitted on a bounded sample of labelled rows (``PER_LANG`` documents of
 each language, at most ``MAX_CHARS`` long, of the ``MAX_LANGS`` commonest languages, at most
-``MAX_DOCS`` in all); it labels every word of every text, each text as one chain.
+``MAX_DOCS`` and ``MAX_CELLS`` words times languages in all); it labels every word of every text, each text as one chain.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ from .common import _M1, map_arrow, mix, text_or_empty
 PER_LANG = 200
 MAX_LANGS, MAX_DOCS = 200, 4000
 MAX_CHARS = 20_000
+#: Words of the sample times languages, at most: the fit holds some arrays of this size.
+MAX_CELLS = 1 << 25
 #: Rows of the weight table.
 TABLE = 1 << 18
 LONGEST_GRAM = 4
@@ -152,8 +154,11 @@ class Field:
     lexicon: set[str]
 
 
-def fit(texts: list[str], labels: list[str], seed: int = 3) -> Field | None:
-    """Fit the field on labelled texts by full-batch adaptive gradient steps; None without words."""
+def fit(texts: list[str], labels: list[str], seed: int = 3, max_cells: int = MAX_CELLS) -> Field | None:
+    """Fit the field on labelled texts by full-batch adaptive gradient steps; None without words.
+
+    Of more than ``max_cells`` words times languages, pieces drawn at random are used as far as they fit.
+    """
     langs = sorted(set(labels))
     rng = np.random.default_rng(seed)
     pieces, count = [], Counter()
@@ -168,10 +173,13 @@ def fit(texts: list[str], labels: list[str], seed: int = 3) -> Field | None:
     if not pieces:
         return None
     lexicon = {w for w, n in count.items() if n >= LEXICON_TIMES}
-    vocabulary = {w: k for k, w in enumerate(count)}
+    pieces = [pieces[k] for k in rng.permutation(len(pieces))]
+    # with many languages, fewer words: the arrays of the fit are words by languages
+    pieces = pieces[: int(np.searchsorted(np.cumsum([len(ws) for ws, _ in pieces]), max_cells // len(langs), "right"))] or pieces[:1]
+    used = {w for ws, _ in pieces for w in ws}
+    vocabulary = {w: k for k, w in enumerate(w for w in count if w in used)}
     rows, counts = features(list(vocabulary), lexicon)
     owner = np.repeat(np.arange(len(counts)), counts)
-    pieces = [pieces[k] for k in rng.permutation(len(pieces))]
     word = np.array([vocabulary[w] for ws, _ in pieces for w in ws])
     gold = np.array([y for ws, y in pieces for _ in ws])
     pad = -len(word) % CHAIN

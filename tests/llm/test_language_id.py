@@ -103,3 +103,20 @@ def test_odd_rows(spark):
     nothing = li.language_id(docs.limit(0))
     assert nothing.collect() == [] and nothing.columns == ["doc_id", "held_out", "lang_pred", "score"]
     assert {r.lang_pred for r in li.identify(docs, None).collect()} == {"und"}
+
+
+def test_many_languages_fit_in_bounded_arrays(monkeypatch):
+    rng = np.random.default_rng(1)
+    texts, labels = [], []
+    for k in range(40):
+        letters_ = [chr(97 + k % 26), chr(97 + k // 26 + 3), chr(0x430 + k % 30)]
+        for _ in range(6):
+            texts.append(" ".join("".join(rng.choice(letters_, 5)) for _ in range(60)))
+            labels.append(f"l{k:03d}")
+    sizes = []
+    before = li.marginals
+    monkeypatch.setattr(li, "marginals", lambda scores, *a, **b: sizes.append(scores.size) or before(scores, *a, **b))
+    field = li.fit(texts, labels, max_cells=40 * 4_000)
+    assert len(field.langs) == 40 and max(sizes) <= 40 * (4_000 + li.CHAIN)
+    langs, _ = li.Labeller(field).label(pa.array(texts[::6]))
+    assert sum(a == b for a, b in zip(langs, labels[::6])) >= 34
