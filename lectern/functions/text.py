@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,14 +58,29 @@ SPOKEN = [
 ]
 
 
+#: What a text must hold for each of those patterns to meet anything, any one of these; nothing where it may always.
+MARKS = [("[",), ("```",), ("`",), ("#",), ("**",), ("__",), ("*",), ("](",), ("-", "*"), ("-", "*"), (), ("\n\n\n",)]
+
+
 def spoken(text: Column) -> Column:
-    """Formatted text as it should be read aloud; empty for null."""
+    """Formatted text as it should be read aloud; empty for null. A pass whose mark a text lacks is left out."""
     out = F.coalesce(text, F.lit(""))
-    for pattern, replacement in SPOKEN:
-        out = F.regexp_replace(out, pattern, replacement)
+    for (pattern, replacement), marks in zip(SPOKEN, MARKS, strict=True):
+        out = _passed(out, pattern, replacement, marks)
     return py_strip(out)
 
 
+def _passed(text: Column, pattern: str, replacement: str, marks: tuple[str, ...]) -> Column:
+    if not marks:
+        return F.regexp_replace(text, pattern, replacement)
+
+    def step(t: Column) -> Column:
+        return F.when(reduce(Column.__or__, [t.contains(x) for x in marks]), F.regexp_replace(t, pattern, replacement)).otherwise(t)
+
+    # inside a function of one element, the text so far is named twice and computed once
+    return F.element_at(F.transform(F.array(text), step), 1)
+
+
 def voice_of(speaker: Column) -> Column:
     voices = F.create_map(*(F.lit(x) for pair in VOICES.items() for x in pair))
     return F.coalesce(F.element_at(voices, speaker), F.lit(DEFAULT_VOICE))
