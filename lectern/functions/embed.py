@@ -25,7 +25,7 @@ def hash_vector(text: str, dimension: int = DIMENSION, query: bool = False) -> n
 def embedder(model: Callable[[], Callable[[list[str]], list]] | None = None, dimension: int = DIMENSION, query: bool = False) -> Callable[[Column], Column]:
     """A column function that embeds texts; null and empty texts have no vector.
 
-    ``model`` makes the encoder once for each worker; without it the hash embedder serves.
+    ``model`` makes the encoder once for each task; of vectors for each token it gives, the last one counts. Without it the hash embedder serves.
     """
 
     @F.pandas_udf("array<float>")
@@ -35,7 +35,7 @@ def embedder(model: Callable[[], Callable[[list[str]], list]] | None = None, dim
             out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
             some = texts.notna() & (texts != "")
             for k, v in zip(out.index[some], encode(texts[some].tolist())):
-                out[k] = np.asarray(v, dtype=np.float32)
+                out[k] = np.atleast_1d(last_token(v)).astype(np.float32)
             yield out
 
     return embed

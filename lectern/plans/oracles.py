@@ -215,6 +215,9 @@ SELECT notebook_id, CASE WHEN k % 4 = 0 THEN 'old' WHEN asked IS NULL THEN 'No s
   (k % 12 = 0)::INT AS n_questions, signature AS content_signature, k % 4 = 0 AS skipped FROM p""",
     "appended_rows": """
 SELECT (SELECT max(event_id) FROM events WHERE event_id % 2 = 0) + row_number() OVER (ORDER BY ts) AS id, ts AS created_at FROM events WHERE event_id % 2 = 1""",
+    "token_vectors": r"""
+WITH w AS (SELECT doc_id, text, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS ws FROM documents), l AS (SELECT doc_id, text, coalesce(ws[-1], '-') AS w FROM w)
+SELECT doc_id, CASE WHEN text <> '' THEN length(w) || ',' || ord(w[1:1]) || ',' || ord(w[-1:]) END AS vector FROM l""",
     "source_references": f"""
 WITH s AS ({SRC}) SELECT id AS doc_id, CASE WHEN content_hash IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY content_hash, notebook_id) - 1 END::BIGINT AS here,
   CASE WHEN content_hash IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY content_hash) - count(*) OVER (PARTITION BY content_hash, notebook_id) END::BIGINT AS elsewhere FROM s""",

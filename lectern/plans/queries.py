@@ -451,6 +451,18 @@ def hash_embedding_norm(spark, sf_dir):
     return rows.select(F.col("id").alias("doc_id"), F.size("v").alias("dim"), F.round(norm, 5).alias("norm"), digest.alias("digest"))
 
 
+def token_model():
+    """For each text, within a batch of one, a vector for each word: its length, its first and last code point."""
+    return lambda texts: [[[[len(w), ord(w[0]), ord(w[-1])] for w in t.split() or ["-"]]] for t in texts]
+
+
+@query
+def token_vectors(spark, sf_dir):
+    """Texts embedded by a model that gives a vector for each token."""
+    v = embed.embedder(token_model)(F.col("text"))
+    return sources(spark, sf_dir).select(F.col("id").alias("doc_id"), F.array_join(F.transform(v, lambda x: x.cast("int").cast("string")), ",").alias("vector"))
+
+
 @query
 def content_type(spark, sf_dir):
     name = text.basename(F.regexp_replace("url", "[?#].*$", ""))
