@@ -204,7 +204,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, w
     steps, _ = best_fit(counts, capacity)
     ranked = written(made.join(counted.drop("_n"), ["length", "part"]).withColumn("rank", F.col("_before") + F.col("nth")).drop("part", "nth", "_before"), "ranked")
     laid = ranked.join(written(slots(spark.createDataFrame(steps, STEPS)), "slots"), ["length", "rank"])
-    return laid.select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *(["ids"] if with_ids else []))
+    return laid.select(F.col("id").alias(id_col), "piece", "start", F.col("length").cast("bigint").alias("length"), "ids_crc32", "sequence_id", "offset", *(["ids"] if with_ids else []))
 
 
 def sequences(packed: DataFrame) -> DataFrame:

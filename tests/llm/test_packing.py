@@ -117,7 +117,7 @@ def test_empty_table_and_one_hot_length(spark):
     assert packing.pack(empty, PATH).collect() == []
     same = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("one two").alias("text")).repartition(6)
     got = packing.pack(same, PATH, capacity=10, with_ids=False)
-    assert [f.name for f in got.schema] == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert got.dtypes == [("doc_id", "bigint"), ("piece", "int"), ("start", "bigint"), ("length", "bigint"), ("ids_crc32", "bigint"), ("sequence_id", "bigint"), ("offset", "bigint")]
     assert got.select("sequence_id", "offset").distinct().count() == 3000 and got.select("sequence_id").distinct().count() == 1000
 
 
