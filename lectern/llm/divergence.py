@@ -141,7 +141,7 @@ def _pair_sums(rows: DataFrame) -> DataFrame:
             parts.clear()
             sides = []
             for side in (0, 1):
-                on = c["side"] == side
+                on = (c["side"] == side) | (c["side"] == 2)
                 lacking = on & (c["word"] < 0)
                 base = np.zeros(BLOCK, np.int64)
                 base[c["source"][lacking] % BLOCK] = c["p"][lacking]
@@ -230,7 +230,9 @@ def _bitmap_sums(groups: DataFrame, levels: DataFrame) -> DataFrame:
     width = F.least("last", (F.col("chunk") + 1) * CHUNK - 1) - F.greatest("first", F.col("chunk") * CHUNK) + 1
     lacking = of_lang.select("lang", "place", "from", "to", "chunk", F.lit(-1).cast("bigint").alias("word"), probability(F.lit(0), F.col("total"), F.col("terms")).alias("p"), width.alias("bits"))
     rows = bitmaps.unionByName(lacking).withColumn("own", F.expr(f"place div {BLOCK}")).withColumn("other", F.explode(F.sequence("from", "to")))
-    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("own").alias("i"), F.col("other").alias("j")), F.struct(F.lit(1).alias("side"), F.col("other").alias("i"), F.col("own").alias("j"))))
+    sent = lambda side, i, j: F.struct(F.lit(side).alias("side"), F.col(i).alias("i"), F.col(j).alias("j"))
+    # a block meets another on both sides, and itself once
+    sides = F.explode(F.when(F.col("own") == F.col("other"), F.array(sent(2, "own", "own"))).otherwise(F.array(sent(0, "own", "other"), sent(1, "other", "own"))))
     met = rows.withColumn("x", sides).select("lang", "x.i", "x.j", "chunk", "x.side", F.col("place").alias("source"), "p", "word", "bits")
     met = met.repartition("lang", "i", "j", "chunk").sortWithinPartitions("lang", "i", "j", "chunk")
     return _pair_sums(met).groupBy("lang", "a", "b").agg(F.sum(F.col("part").cast("decimal(38,0)")).cast("bigint").alias("value"))
