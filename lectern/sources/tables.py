@@ -59,13 +59,16 @@ _SCOPE: ContextVar[list[str] | None] = ContextVar("scope", default=None)
 def scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Remove, at the end, what ``stored`` wrote inside, but for the tables handed to the function given.
 
-    Those pass to the scope around, if there is one. No table that a lazy frame still reads may be left out.
+    Those pass to the scope around, if there is one; after a failure, none is kept. No table that a lazy frame still reads may be left out.
     """
     own: list[str] = []
     kept: list[DataFrame] = []
     token = _SCOPE.set(own)
     try:
         yield lambda df: kept.append(df) or df
+    except BaseException:
+        kept.clear()  # nobody gets them
+        raise
     finally:
         _SCOPE.reset(token)
         stay = [df._written_to for df in kept]

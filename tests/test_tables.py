@@ -85,6 +85,12 @@ def test_scopes_of_threads_do_not_meet(spark):
     with ThreadPoolExecutor(4) as pool:
         got = list(pool.map(run, range(8)))
     assert all(ok for ok, _ in got) and not any(there(x) for _, xs in got for x in xs)
+    try:
+        with scope(spark) as kept:
+            lost = kept(stored(spark.range(1), "lost"))
+            raise KeyError
+    except KeyError:
+        assert not there(lost)
     free = stored(spark.range(1), "free")
     assert there(free)
     remove(spark, free._written_to)
