@@ -11,6 +11,7 @@ and settings, so another version never meets old counts.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import os
 from collections.abc import Callable
@@ -84,6 +85,7 @@ class TextCounter:
         return [len(x) for x in self.encode.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
 
 
+@functools.cache
 def drops_white_space(path: str) -> bool:
     """Whether the tokenizer splits at white space and drops it before merging.
 
