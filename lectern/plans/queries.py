@@ -13,7 +13,7 @@ from ..operators import ingest as ingestion
 from ..sources import audio, files, images, pdf
 from ..sources.config import Options
 from ..sources.files import upload_verdict
-from ..sources.tables import stored, workspace
+from ..sources.tables import spread, stored, workspace
 from ..streaming import ask as stream_asking
 from ..streaming import ingest, machines, status
 
@@ -990,8 +990,9 @@ def image_sizes(spark, sf_dir):
     """Parts as grey images of all shapes: what their bytes tell, and the images fitted to sixteen pixels."""
     key = F.col("p_partkey")
     made = fixtures.shaded((key * 37 % 50 + 1).cast("int"), (key * 91 % 40 + 1).cast("int"), key.cast("int"))
-    rows = table(spark, sf_dir, "part").select("p_partkey", made.alias("image"))
-    rows = rows.select("p_partkey", images.described("image").alias("x"), images.described(images.fitted(16)("image")).alias("y"), images.pixels(images.fitted(16)("image")).alias("p"))
+    rows = spread(table(spark, sf_dir, "part").select("p_partkey")).select("p_partkey", made.alias("image"))
+    rows = rows.select("p_partkey", images.described("image").alias("x"), images.fitted(16)("image").alias("image"))
+    rows = rows.select("p_partkey", "x", images.described("image").alias("y"), images.pixels("image").alias("p"))
     return rows.select("p_partkey", "x.format", "x.width", "x.height", F.col("y.width").alias("to_width"), F.col("y.height").alias("to_height"), F.md5(F.array_join("p", ",")).alias("digest"))
 
 
@@ -1001,7 +1002,8 @@ def speech_inputs(spark, sf_dir):
     k, rates = F.from_json("props", "k int")["k"], F.array(*map(F.lit, [8000, 11025, 16000, 22050, 44100, 48000]))
     rate = F.element_at(rates, (F.col("event_id") % 6 + 1).cast("int"))
     content = F.when(k % 17 == 0, F.lit("not a recording").cast("binary")).otherwise(fixtures.toned(k * 40 + 1, rate, (F.col("event_id") % 2 + 1).cast("int")))
-    rows = table(spark, sf_dir, "events").select("event_id", F.concat("event_type", F.lit(".wav")).alias("filename"), content.alias("content"))
+    rows = spread(table(spark, sf_dir, "events").select("event_id", "event_type", "props"))
+    rows = rows.select("event_id", F.concat("event_type", F.lit(".wav")).alias("filename"), content.alias("content"))
     made = audio.prepared(rows, max_bytes=12_000, max_ms=250)
     return made.select("event_id", "duration_ms", F.col("rate").alias("from_rate"), (F.octet_length("pcm") / 2).cast("int").alias("n_samples"), "error")
 

@@ -1,4 +1,4 @@
-"""Intermediate tables in the folder that all executors share, and numbering over ranges."""
+"""Intermediate tables in the folder that all executors share, rows over cores, and numbering over ranges."""
 
 from __future__ import annotations
 
@@ -85,6 +85,31 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Bytes of an Arrow batch that a Python function gets at once; a longer row stands alone.
+BATCH_BYTES = 1 << 22
+_BYTES_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on, Arrow batches in this session hold ``BATCH_BYTES`` at most, or less if the session says so.
+
+    A worker holds several times a batch: as Arrow, as Python objects, and what it makes of them. With Spark's bound on
+    rows and its 64 MB, that grows with the length of rows and the share of a partition that a batch is. Only rows that are
+    long are fewer in a batch by this.
+    """
+    if int(spark.conf.get(_BYTES_KEY).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(_BYTES_KEY, f"{BATCH_BYTES}b")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt evenly over all cores: for work by row that outweighs reading the row.
+
+    A table of few bytes is few splits, however many rows it has, and the work on them would be as few tasks.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def running_sums(df: DataFrame, by: list[str], order: list[str], value: str, to: str) -> DataFrame:
     """``df`` with ``to``: the sum of ``value`` up to the row within its ``by``, in ``order``, without all rows of a key in one task.
 
