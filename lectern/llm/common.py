@@ -13,11 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.tables import remove, scope, stored, workspace
+from ..sources.tables import BATCH_BYTES, bounded_batches, remove, scope, stored, workspace
 
-#: Rows and bytes of a batch that a function gets at once; a longer text stands alone.
-BATCH_ROWS, BATCH_BYTES = 128, 1 << 22
-_BYTES_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Rows of a batch that a function gets at once.
+BATCH_ROWS = 128
 
 
 scratch, written = workspace, stored
@@ -70,9 +69,7 @@ def map_arrow(df: DataFrame, columns: Callable[[pa.RecordBatch], list], schema:
 def stream_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterable[list]], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
     """Map a partition's Arrow batches, in order, to lists of the columns of ``schema``; ``rows`` bounds a batch of rows that are short."""
     to = arrow_schema(schema)
-    # only rows that are long are fewer in a batch by this, so the session's other functions keep their batches
-    if int(df.sparkSession.conf.get(_BYTES_KEY).rstrip("b")) > BATCH_BYTES:
-        df.sparkSession.conf.set(_BYTES_KEY, f"{BATCH_BYTES}b")
+    bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in function(part for b in batches for part in parts(b, rows)):
@@ -84,7 +81,7 @@ def stream_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], I
 def parts(batch: pa.RecordBatch, rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
     """Slices of ``rows`` rows and ``BATCH_BYTES`` bytes at most; a larger row stands alone.
 
-    Spark bounds the bytes of what it sends by the setting ``_BYTES_KEY``, which stands in the session.
+    Spark bounds the bytes of what it sends by a setting, see ``bounded_batches``, which stands in the session.
     """
     if batch.num_rows > 1 and (batch.num_rows > rows or batch.nbytes > BATCH_BYTES):
         half = batch.num_rows // 2

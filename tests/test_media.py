@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.plans import fixtures
+from lectern.plans.queries import QUERIES
 from lectern.sources import audio, images
 
 
@@ -78,3 +79,28 @@ def test_widths_and_errors(spark):
         5: "AudioTooLongError: Audio upload exceeds 150000 bytes.", 7: "UnsupportedAudioFormatError: Could not decode audio (.wav): no format or no data",
     }
     assert got[2].heard is None and got[2].duration_ms == 3000
+
+
+@pytest.mark.parametrize("name", ["image_sizes", "speech_inputs"])
+def test_work_on_rows_of_a_small_file_is_dealt_over_cores(spark, name):
+    made = QUERIES[name](spark, "/root/testdata/sf0.001")
+    own = [r[0] for r in made.groupBy(F.spark_partition_id().alias("part")).count().select("count").collect()]
+    assert len(own) >= spark.sparkContext.defaultParallelism and max(own) <= 2 * min(own)
+
+
+def test_an_image_is_fitted_once(spark):
+    plan = QUERIES["image_sizes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("fit(") == plan.count("shaded(") == 1, plan
+
+
+def test_a_recording_above_the_time_tells_its_rate_and_length():
+    with pytest.raises(audio.AudioTooLongError) as told:
+        audio.prepare(fixtures.wav(np.zeros((4000, 1)), 8000), max_ms=250)
+    assert (told.value.rate, told.value.ms) == (8000, 500)
+
+
+def test_a_resampled_sample_does_not_depend_on_its_block(monkeypatch):
+    x = np.random.default_rng(2).normal(size=3000)
+    whole = audio.resampled(x, 11025)
+    monkeypatch.setattr(audio, "BLOCK", 7)
+    assert np.array_equal(whole, audio.resampled(x, 11025))
