@@ -19,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import stored
+from ..sources.tables import bounded_batches, stored
 from . import retrieval
 
 #: Vectors that centroids are fitted on, lists, and rounds, at most; vectors asked to fit the number of lists read, and the hits it is to find.
 SAMPLE, LISTS, ROUNDS, TRIALS, RECALL = 20_000, 1024, 12, 200, 0.95
 SEED = 7
+#: Distances to centroids and components of repeated vectors that a worker makes at once.
+AT_ONCE = 1 << 18
 
 
 @dataclass
@@ -44,6 +46,13 @@ def _distances(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return np.round((x * x).sum(axis=1)[:, None] - 2 * x @ centroids.T + (centroids * centroids).sum(axis=1)[None, :], 9)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], lists: int) -> Iterator[pa.RecordBatch]:
+    """Batches of so few rows that with ``lists`` for each they are ``AT_ONCE`` at most; never an empty one."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows := max(1, AT_ONCE // max(1, lists))):
+            yield b.slice(k, rows)
+
+
 def centroids_of(sample: np.ndarray, lists: int, rounds: int = ROUNDS) -> np.ndarray:
     """Lloyd's centroids of a sample; seeds are drawn by squared distance, and a list that empties keeps its place."""
     rng = np.random.default_rng(SEED)
@@ -76,10 +85,11 @@ def assigned(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
     """``vectors`` with ``list``, the nearest centroid; null vectors are in no list and stay away."""
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            own = _distances(_matrix(b.column("embedding")), centroids).argmin(axis=1) if b.num_rows else np.zeros(0, np.int64)
+        for b in _slices(batches, len(centroids)):
+            own = _distances(_matrix(b.column("embedding")), centroids).argmin(axis=1)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own, pa.int32())], [*b.schema.names, "list"])
 
+    bounded_batches(vectors.sparkSession)
     some = vectors.where("embedding is not null")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in some.schema)
     return some.mapInArrow(assign, f"{fields}, list int")
@@ -114,11 +124,11 @@ def probed(questions: DataFrame, centroids: np.ndarray, probes: int) -> DataFram
     """``questions (question_id, embedding)`` once for each of its nearest lists, with ``list``."""
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                near = np.argsort(_distances(_matrix(b.column("embedding")), centroids), axis=1, kind="stable")[:, :probes]
-                rows = pa.array(np.repeat(np.arange(b.num_rows), near.shape[1]))
-                yield pa.RecordBatch.from_arrays([*(c.take(rows) for c in b.columns), pa.array(near.ravel(), pa.int32())], [*b.schema.names, "list"])
+        # a question's vector is repeated for each list, so a batch's would grow with the lists, and these with the table
+        for b in _slices(batches, len(centroids) + probes * (len(centroids[0]) if len(centroids) else 0)):
+            near = np.argsort(_distances(_matrix(b.column("embedding")), centroids), axis=1, kind="stable")[:, :probes]
+            rows = pa.array(np.repeat(np.arange(b.num_rows), near.shape[1]))
+            yield pa.RecordBatch.from_arrays([*(c.take(rows) for c in b.columns), pa.array(near.ravel(), pa.int32())], [*b.schema.names, "list"])
 
     some = questions.where("embedding is not null").select("question_id", "embedding")
     return some.mapInArrow(lists, f"question_id {some.schema['question_id'].dataType.simpleString()}, embedding {some.schema['embedding'].dataType.simpleString()}, list int")

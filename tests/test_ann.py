@@ -1,6 +1,7 @@
 """The inverted file: recall against all pairs, exactness with all lists, pruning of partitions."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,3 +66,11 @@ def test_recall_on_the_given_vectors(spark, tmp_path, metric):
     found = sum(v in {got.get((q, r)) for r in range(1, 6)} for (q, _), v in want.items()) / len(want)
     print(f"recall@5 {metric}: {found:.3f}, {index.probes} of {len(index.centroids)} lists")
     assert found >= 0.9
+
+
+def test_slices_bound_what_lists_make_of_a_batch():
+    batch = pa.RecordBatch.from_pydict({"embedding": [[float(k), 1.0] for k in range(5000)]})
+    made = [*ann._slices(iter([batch, batch.slice(0, 0)]), 1024)]
+    assert max(b.num_rows for b in made) * 1024 <= ann.AT_ONCE
+    assert np.array_equal(np.concatenate([ann._matrix(b.column("embedding")) for b in made]), ann._matrix(batch.column("embedding")))
+    assert [b.num_rows for b in ann._slices(iter([batch.slice(0, 3)]), 10 * ann.AT_ONCE)] == [1, 1, 1]
