@@ -13,6 +13,7 @@ from ..functions.hashing import chunk_id, collection_name
 from ..functions.text import py_strip
 from ..sources import files as parsing
 from ..sources.config import Options
+from ..sources.tables import bounded_batches
 from .registry import dedup_action
 
 NO_TEXT = "No text could be extracted from the file."
@@ -33,6 +34,7 @@ def parsed_files(files: DataFrame, options: Options = Options(), parse: Callable
     Little text makes the text of a file's images (of a PDF, of the file) count instead,
     if there is any; ``image_text`` is a column function over bytes.
     """
+    bounded_batches(files.sparkSession)
     out = files.withColumn("_p", (parse or parsing.parser())("content", "content_type"))
     wanted = F.col("_p.error").isNull() & parsing.needs_ocr(F.col("_p.text"), F.col("content_type"), F.size("_p.images"), options)
     of_images = parsing.joined_image_texts(F.transform("_p.images", lambda x: image_text(x)), "Image")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.chunk import chunks
-from ..sources.tables import remove, scope, stored
+from ..sources.tables import bounded_batches, remove, scope, stored
 
 PER_COLLECTION, TOP = 3, 5
 #: Vectors of one block at most, of questions and of chunks.
@@ -113,6 +113,7 @@ def scored(
                 rows, cols = _best_of_block(scores, codes, places, k, top)
                 yield pa.RecordBatch.from_arrays([q.values.take(pa.array(rows)), c.values.take(pa.array(cols)), i.values.take(pa.array(cols)), pa.array(scores[rows, cols])], ["question_id", "collection", "index", "score"])
 
+    bounded_batches(questions.sparkSession)  # a pair of blocks is a long row
     kinds = questions.schema["question_id"].dataType.simpleString(), chunks_.schema[collection].dataType.simpleString()
     return pairs.select("q", "asked", "c", "i", "held").mapInArrow(best, f"question_id {kinds[0]}, collection {kinds[1]}, index bigint, score double")
 

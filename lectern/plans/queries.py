@@ -13,7 +13,7 @@ from ..operators import ingest as ingestion
 from ..sources import audio, files, images, pdf
 from ..sources.config import Options
 from ..sources.files import upload_verdict
-from ..sources.tables import spread, stored, workspace
+from ..sources.tables import bounded_batches, spread, stored, workspace
 from ..streaming import ask as stream_asking
 from ..streaming import ingest, machines, status
 
@@ -28,6 +28,7 @@ def query(function):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)  # for column functions, which do not see the session
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

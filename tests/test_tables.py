@@ -4,9 +4,12 @@ import os
 import random
 from concurrent.futures import ThreadPoolExecutor
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from lectern.operators import context, registry, retrieval
+from lectern.plans import queries
+from lectern.sources import tables
 from lectern.sources.tables import remove, running_sums, scope, stored
 
 
@@ -95,3 +98,21 @@ def test_scopes_of_threads_do_not_meet(spark):
     assert there(free)
     remove(spark, free._written_to)
     assert not there(free)
+
+
+def test_functions_over_tables_get_batches_of_bounded_bytes(spark, tmp_path):
+    @F.pandas_udf("long")
+    def held(texts: pd.Series) -> pd.Series:
+        return pd.Series([int(texts.str.len().sum())] * len(texts))
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.range(0, 1500, 1, 1).select(F.repeat(F.lit("x"), 20_000).alias("text")).write.parquet(str(tmp_path / "documents.parquet"))
+    try:
+        spark.conf.set(key, "67108864b")
+        most = queries.table(spark, str(tmp_path), "documents").select(held("text").alias("n")).agg(F.max("n")).first()[0]
+        spark.conf.set(key, "1000b")
+        tables.bounded_batches(spark)
+        assert most <= tables.BATCH_BYTES + 20_000 and spark.conf.get(key) == "1000b"
+    finally:
+        spark.conf.set(key, before)
