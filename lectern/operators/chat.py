@@ -13,14 +13,12 @@ def in_scope(questions: DataFrame, texts: DataFrame) -> DataFrame:
     """``questions`` with ``in_scope``: a meaningful word of theirs is in a text of their notebook.
 
     ``questions``: ``question_id, notebook_id, question``; ``texts``: ``notebook_id, text``. Words
-    are matched as rows, so a notebook's vocabulary is in no single row or task, and only
-    asked words are left of it before it is made distinct.
+    are matched as rows, so a notebook's vocabulary is in no single row or task. It is made distinct where the
+    texts lie, so neither texts nor repeats of words are shuffled or sorted.
     """
     asked = questions.where(passes_phrases(F.col("question"))).select("question_id", "notebook_id", F.explode(meaningful_words(F.col("question"))).alias("word"))
-    wanted = asked.select("notebook_id", "word").distinct()
-    # only asked words of asked notebooks go on, so stopwords and repeats of a text need no pass of their own
-    words = texts.join(wanted.select("notebook_id").distinct(), "notebook_id", "left_semi").select("notebook_id", F.explode(word_runs(F.col("text"))).alias("word"))
-    vocabulary = words.join(wanted, ["notebook_id", "word"], "left_semi").distinct()
+    # questions have no stopwords, so those of texts need no pass of their own
+    vocabulary = texts.select("notebook_id", F.explode(word_runs(F.col("text"))).alias("word")).distinct()
     hit = asked.join(vocabulary, ["notebook_id", "word"], "left_semi").select("question_id").distinct().withColumn("in_scope", F.lit(True))
     return questions.join(hit, "question_id", "left").withColumn("in_scope", F.coalesce("in_scope", F.lit(False)))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lectern.functions import embed, generate
 from lectern.functions.guard import NO_INFORMATION, OUT_OF_SCOPE
 from lectern.operators import ask as asking
-from lectern.operators import registry
+from lectern.operators import chat, registry
 from lectern.streaming import ask as stream_asking
 from lectern.streaming import ingest
 
@@ -121,3 +121,21 @@ def test_guarded_plug(spark):
         raise OSError("no model")
 
     assert {r.x.error for r in spark.range(4).withColumn("x", generate.guarded(broken)("id")).collect()} == {"OSError: no model"} and not made
+
+
+def test_words_are_distinct_before_they_are_shuffled_and_texts_are_not(spark):
+    texts = spark.range(0, 4, 1, 4).select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("notebook_id"), F.concat(F.lit("apples and pears and apples "), F.col("id").cast("string")).alias("text"))
+    asked = spark.createDataFrame([("q1", "n1", "Which apples?"), ("q2", "n2", "Which plums?"), ("q3", "n9", "Which apples?")], "question_id string, notebook_id string, question string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = chat.in_scope(asked, texts)
+        lines = found._jdf.queryExecution().executedPlan().toString().split("\n")
+        assert {r.question_id: r.in_scope for r in found.collect()} == {"q1": True, "q2": False, "q3": False}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    at = next(k for k, x in enumerate(lines) if "Generate explode(regexp_extract_all" in x)
+    above = lines[:at][::-1]
+    assert "HashAggregate" in "".join(above[: next(k for k, x in enumerate(above) if "Exchange" in x)])
+    below = lines[at + 1 : next(k for k in range(at, len(lines)) if "Range" in lines[k])]
+    assert not any("Exchange" in x for x in below), lines
