@@ -8,9 +8,11 @@ has waiting is bounded by its rows within the allowed lateness.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterable, Iterator
 from typing import Any, NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,7 +68,8 @@ class EventOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.ROW)
+        # a batch's rows are one value: each value of a state is a message of its own to Spark
+        self.waiting = handle.getListState("waiting", "packed binary")
         self.held = handle.getValueState("held", self.STATE)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
@@ -74,8 +77,9 @@ class EventOrder(StatefulProcessor):
         kinds = {"bigint": int, "boolean": bool, "string": str}  # pandas makes whole numbers with nulls floats
         first = None
         for batch in rows:
-            own = [tuple(None if pd.isna(x) else kinds[kind](x) for x, (_, kind) in zip(r, fields)) for r in batch[[name for name, _ in fields]].itertuples(index=False)]
-            self.waiting.appendList(own)
+            columns = ([None if none else kinds[kind](x) for x, none in zip(batch[name].tolist(), batch[name].isna().tolist())] for name, kind in fields)
+            own = [*zip(*columns)]
+            self.waiting.appendValue((pickle.dumps(own),))
             first = min(r[0] for r in own) if first is None else min(first, *(r[0] for r in own))
         if first is not None:
             self.handle.registerTimer(-(-first // 1000))
@@ -83,13 +87,13 @@ class EventOrder(StatefulProcessor):
 
     def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted(map(tuple, self.waiting.get()), key=lambda r: r[:2]) if self.waiting.exists() else []
+        waiting = sorted((r for (packed,) in self.waiting.get() for r in pickle.loads(packed)), key=lambda r: r[:2])
         due = [r for r in waiting if r[0] <= mark]
         state, out = self.advance(self.held.get() if self.held.exists() else self.start(), due, mark)
         if due:
             left = waiting[len(due) :]
             if left:
-                self.waiting.put(left)
+                self.waiting.put([(pickle.dumps(left),)])
                 self.handle.registerTimer(-(-left[0][0] // 1000))
             else:
                 self.waiting.clear()
@@ -100,8 +104,9 @@ class EventOrder(StatefulProcessor):
         if (at := self.deadline(state)) is not None:
             self.handle.registerTimer(-(-at // 1000))
         if out:
-            names = [x.split()[0] for x in self.OUT.split(", ")]
-            yield pd.DataFrame([(*key, *r) for r in out], columns=names).astype({x.split()[0]: "Int64" for x in self.OUT.split(", ") if x.endswith("bigint")})
+            fields = [x.split() for x in self.OUT.split(", ")]
+            columns = zip(*((*key, *r) for r in out))
+            yield pd.DataFrame({name: pd.array(x, "Int64") if kind == "bigint" else np.array(x, object) for x, (name, kind) in zip(columns, fields)})
 
     def close(self) -> None:
         pass

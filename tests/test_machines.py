@@ -1,8 +1,10 @@
 """Machines on streams against plain runs of the whole history, over batches, restarts and late rows."""
 
 import datetime
+import pickle
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,3 +85,28 @@ def test_too_late_rows_change_nothing(spark, tmp_path):
     first = [("a", 1, at(0), "queued"), ("a", 2, at(5), "ready"), ("z", 3, at(200), "queued")]
     got = fed(spark, tmp_path, [first, [("a", 4, at(3), "failed"), ("z", 5, at(201), "queued")]], JOBS, machines.job_runs, "10 minutes")
     assert got == [("a", 1, "ready", "step", micros(0), micros(5), 2, 0)]
+
+
+class Held:
+    """A state that counts what is written to it."""
+
+    def __init__(self):
+        self.rows, self.written = [], 0
+
+    def appendValue(self, row):
+        self.rows.append(row)
+        self.written += 1
+
+    def get(self):
+        return iter(self.rows)
+
+
+def test_rows_of_a_batch_wait_as_one_value_with_their_nulls():
+    machine, timers = machines.VoiceMachine(60_000000), []
+    machine.handle = type("Handle", (), {"registerTimer": staticmethod(timers.append)})
+    machine.waiting = Held()
+    rows = [(5_000001, 1, "start", None, 7, True, None), (4_000000, 2, None, 3, 7, False, True)]
+    names = [x.split()[0] for x in machine.ROW.split(", ")]
+    list(machine.handleInputRows(("a",), iter([pd.DataFrame(rows, columns=names)]), None))
+    assert machine.waiting.written == 1 and timers == [4000]
+    assert [r for (packed,) in machine.waiting.get() for r in pickle.loads(packed)] == rows
