@@ -17,8 +17,9 @@ def in_scope(questions: DataFrame, texts: DataFrame) -> DataFrame:
     texts lie, so neither texts nor repeats of words are shuffled or sorted.
     """
     asked = questions.where(passes_phrases(F.col("question"))).select("question_id", "notebook_id", F.explode(meaningful_words(F.col("question"))).alias("word"))
-    # questions have no stopwords, so those of texts need no pass of their own
-    vocabulary = texts.select("notebook_id", F.explode(word_runs(F.col("text"))).alias("word")).distinct()
+    wanted = asked.select("notebook_id", "word").distinct()
+    # few asked words are broadcast, and Spark filters by them before it makes words distinct; many meet the distinct ones
+    vocabulary = texts.select("notebook_id", F.explode(word_runs(F.col("text"))).alias("word")).distinct().join(wanted, ["notebook_id", "word"], "left_semi")
     hit = asked.join(vocabulary, ["notebook_id", "word"], "left_semi").select("question_id").distinct().withColumn("in_scope", F.lit(True))
     return questions.join(hit, "question_id", "left").withColumn("in_scope", F.coalesce("in_scope", F.lit(False)))
 
