@@ -12,8 +12,8 @@ from ..functions import chunk, embed, generate
 from ..functions.hashing import chunk_id, collection_name
 from ..functions.text import py_strip
 from ..sources import files as parsing
+from ..sources import tables
 from ..sources.config import Options
-from ..sources.tables import bounded_batches
 from .registry import dedup_action
 
 NO_TEXT = "No text could be extracted from the file."
@@ -34,7 +34,7 @@ def parsed_files(files: DataFrame, options: Options = Options(), parse: Callable
     Little text makes the text of a file's images (of a PDF, of the file) count instead,
     if there is any; ``image_text`` is a column function over bytes.
     """
-    bounded_batches(files.sparkSession)
+    tables.bounded_batches(files.sparkSession)
     out = files.withColumn("_p", (parse or parsing.parser())("content", "content_type"))
     wanted = F.col("_p.error").isNull() & parsing.needs_ocr(F.col("_p.text"), F.col("content_type"), F.size("_p.images"), options)
     of_images = parsing.joined_image_texts(F.transform("_p.images", lambda x: image_text(x)), "Image")
@@ -49,7 +49,8 @@ def ingest(files: DataFrame, entries: DataFrame, stored: DataFrame, options: Opt
 
     A content is parsed once, however many files have it, and not at all if the registry
     knows its text; it is chunked unless its chunks are stored. A file that fails is a row
-    with its error. Of several files with one content the first name stands in the chunks.
+    with its error. Of several files with one content the first name stands in the chunks. What is parsed is
+    stored at once, without the files' bytes, so results, chunks and entries read it instead of parsing again.
     """
     have = stored.select("content_hash").distinct().withColumn("_chunks", F.lit(True))
     known = entries.select("content_hash", F.col("extracted_text").alias("_known"))
@@ -58,7 +59,8 @@ def ingest(files: DataFrame, entries: DataFrame, stored: DataFrame, options: Opt
     state = state.withColumn("action", dedup_action(F.coalesce("_chunks", F.lit(False)), F.col("_known")))
 
     fresh = parsed_files(state.where(F.col("action").isin("ingest", "drop_and_ingest")).drop("_known", "_chunks"), options, parse, image_text)
-    again = state.where(F.col("action").isin("cached", "rebuild")).drop("_chunks").withColumnRenamed("_known", "text")
+    fresh = tables.stored(fresh.drop("content", "content_type"), "parsed")
+    again = state.where(F.col("action").isin("cached", "rebuild")).drop("_chunks", "content", "content_type").withColumnRenamed("_known", "text")
     again = again.withColumns({"page_count": F.lit(None).cast("int"), "ocr_used": F.lit(False), "error": F.lit(None).cast("string")})
     done = fresh.unionByName(again)
     blank = py_strip(F.coalesce("text", F.lit(""))) == ""

@@ -1,7 +1,9 @@
 """Whole flows: files to chunks and registry; notebooks to summaries and scripts."""
 
 import hashlib
+import uuid
 
+import pandas as pd
 from pyspark.sql import functions as F
 from test_functions import docx
 
@@ -33,6 +35,25 @@ def test_ingest_then_again(spark, tmp_path):
     assert lost.chunks.count() == 4 and lost.results.where("filename = 'a.txt'").first().action == "rebuild"
 
 
+def test_a_content_is_parsed_once_for_results_chunks_and_entries(spark, tmp_path):
+    log = tmp_path / "parsed"
+    log.mkdir()
+
+    @F.pandas_udf(fs.PARSED)
+    def parse(contents: pd.Series, kinds: pd.Series) -> pd.DataFrame:
+        (log / uuid.uuid4().hex).write_bytes(b"".join(c + b"\n" for c in contents))
+        return pd.DataFrame({"text": [c.decode() for c in contents], "page_count": pd.array([None] * len(contents), "Int32"), "images": [[]] * len(contents), "error": None})
+
+    rows = [(f"{k}.txt", f"text {k % 5}".encode(), f"h{k % 5}", "txt") for k in range(10)]
+    files = spark.createDataFrame(rows, "filename string, content binary, content_hash string, content_type string")
+    nothing = spark.createDataFrame([], "content_hash string, extracted_text string")
+    made = ing.ingest(files, nothing, nothing.select("content_hash"), parse=parse)
+    paths = str(tmp_path / "chunks"), str(tmp_path / "entries")
+    ing.store(made, *paths)
+    assert made.results.where("status = 'ready'").count() == 10 and [spark.read.parquet(p).count() for p in paths] == [5, 5]
+    assert sorted(x for f in log.iterdir() for x in f.read_text().split("\n") if x) == [f"text {k}" for k in range(5)]
+
+
 def test_summaries(spark):
     notebooks = spark.createDataFrame([(1, "old", '["q"]', "s1"), (2, "old", None, "changed"), (3, None, None, None)], "notebook_id long, summary string, suggested_questions string, content_signature string")
     signatures = spark.createDataFrame([(1, "s1"), (2, "s2"), (3, "s3")], "notebook_id long, signature string")
