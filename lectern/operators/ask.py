@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import embed, generate
+from ..functions import chunk, embed, generate
 from ..functions.guard import NO_INFORMATION, OUT_OF_SCOPE, groundedness
 from ..sources.tables import stored
 from . import chat, context, retrieval
@@ -37,7 +37,8 @@ class Asked:
 
 def embedded(lost: DataFrame, embedding: Callable[[Column], Column]) -> DataFrame:
     """Chunks of lost registry entries, made and embedded anew."""
-    return retrieval.rebuilt(lost).withColumn("embedding", embedding(F.col("document"))).select("content_hash", F.col("chunk_index").cast("int"), F.col("page").cast("int"), "document", "embedding")
+    made = chunk.dealt(retrieval.rebuilt(lost), F.col("content_hash"))
+    return made.withColumn("embedding", embedding(F.col("document"))).select("content_hash", F.col("chunk_index").cast("int"), F.col("page").cast("int"), "document", "embedding")
 
 
 def ask(

@@ -70,6 +70,7 @@ def ingest(files: DataFrame, entries: DataFrame, stored: DataFrame, options: Opt
 
     ready = done.where("status = 'ready'")
     cut = chunk.chunks(ready.where("action <> 'cached'"), F.col("text"), "content_hash", "filename")
+    cut = chunk.dealt(cut, F.substring("content_hash", 1, 2))  # as they are stored
     vector = (embedding or embed.embedder(dimension=options.embedding_dimension))(F.col("document"))
     chunks = cut.select(chunk_id(F.col("content_hash"), F.col("chunk_index")).alias("id"), "content_hash", "chunk_index", "page", "filename", "document", vector.alias("embedding"))
     new = ready.where(F.col("action").isin("ingest", "drop_and_ingest"))

@@ -139,3 +139,12 @@ def test_words_are_distinct_before_they_are_shuffled_and_texts_are_not(spark):
     assert "HashAggregate" in "".join(above[: next(k for k, x in enumerate(above) if "Exchange" in x)])
     below = lines[at + 1 : next(k for k in range(at, len(lines)) if "Range" in lines[k])]
     assert not any("Exchange" in x for x in below), lines
+
+
+def test_cutting_and_embedding_share_no_stage(spark):
+    entries = spark.createDataFrame([("h1", "word " * 900), ("h2", "few")], "content_hash string, extracted_text string")
+    made = asking.embedded(entries, embed.embedder(dimension=8))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    steps = [x for line in plan.splitlines() for x in ("ArrowEvalPython", "Exchange") if x in line]
+    assert steps == ["ArrowEvalPython", "Exchange", "ArrowEvalPython"]
+    assert sorted((r.content_hash, r.chunk_index, len(r.embedding)) for r in made.collect()) == [*(("h1", k, 8) for k in range(6)), ("h2", 0, 8)]
