@@ -8,11 +8,11 @@ has waiting is bounded by its rows within the allowed lateness.
 
 from __future__ import annotations
 
+import json
 import pickle
 from collections.abc import Iterable, Iterator
 from typing import Any, NamedTuple
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,7 +77,7 @@ class EventOrder(StatefulProcessor):
         kinds = {"bigint": int, "boolean": bool, "string": str}  # pandas makes whole numbers with nulls floats
         first = None
         for batch in rows:
-            columns = ([None if none else kinds[kind](x) for x, none in zip(batch[name].tolist(), batch[name].isna().tolist())] for name, kind in fields)
+            columns = ([None if x is None or x is pd.NA or x != x else kinds[kind](x) for x in batch[name].tolist()] for name, kind in fields)
             own = [*zip(*columns)]
             self.waiting.appendValue((pickle.dumps(own),))
             first = min(r[0] for r in own) if first is None else min(first, *(r[0] for r in own))
@@ -89,7 +89,8 @@ class EventOrder(StatefulProcessor):
         mark = timerValues.getCurrentWatermarkInMs() * 1000
         waiting = sorted((r for (packed,) in self.waiting.get() for r in pickle.loads(packed)), key=lambda r: r[:2])
         due = [r for r in waiting if r[0] <= mark]
-        state, out = self.advance(self.held.get() if self.held.exists() else self.start(), due, mark)
+        before = self.held.get()
+        state, out = self.advance(before or self.start(), due, mark)
         if due:
             left = waiting[len(due) :]
             if left:
@@ -98,15 +99,15 @@ class EventOrder(StatefulProcessor):
             else:
                 self.waiting.clear()
         if state == self.start():
-            self.held.clear()
+            if before:
+                self.held.clear()
         else:
             self.held.update(tuple(state))
         if (at := self.deadline(state)) is not None:
             self.handle.registerTimer(-(-at // 1000))
-        if out:
-            fields = [x.split() for x in self.OUT.split(", ")]
-            columns = zip(*((*key, *r) for r in out))
-            yield pd.DataFrame({name: pd.array(x, "Int64") if kind == "bigint" else np.array(x, object) for x, (name, kind) in zip(columns, fields)})
+        if out:  # a frame is dear for each of its columns, so a key's rows go as one text, which Spark takes apart
+            names = [x.split()[0] for x in self.OUT.split(", ")[1:]]
+            yield pd.DataFrame({"key": [key[0]], "told": [json.dumps([dict(zip(names, r)) for r in out])]})
 
     def close(self) -> None:
         pass
@@ -229,7 +230,9 @@ class VoiceMachine(EventOrder):
 
 def _machine(events: DataFrame, key: str, time: str, late: str, machine: EventOrder) -> DataFrame:
     named = events.withWatermark(time, late).withColumn("at", F.unix_micros(time))
-    return named.groupBy(key).transformWithStateInPandas(machine, machine.OUT, "append", "EventTime")
+    told = named.groupBy(key).transformWithStateInPandas(machine, "key string, told string", "append", "EventTime")
+    first, rest = machine.OUT.split(", ", 1)
+    return told.select(F.col("key").alias(first.split()[0]), F.inline(F.from_json("told", f"array<struct<{rest}>>")))
 
 
 def job_runs(events: DataFrame, idle: int, late: str, time: str = "ts") -> DataFrame:

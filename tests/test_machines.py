@@ -1,6 +1,7 @@
 """Machines on streams against plain runs of the whole history, over batches, restarts and late rows."""
 
 import datetime
+import json
 import pickle
 import random
 
@@ -110,3 +111,28 @@ def test_rows_of_a_batch_wait_as_one_value_with_their_nulls():
     list(machine.handleInputRows(("a",), iter([pd.DataFrame(rows, columns=names)]), None))
     assert machine.waiting.written == 1 and timers == [4000]
     assert [r for (packed,) in machine.waiting.get() for r in pickle.loads(packed)] == rows
+
+
+class Empty(Held):
+    """A state that holds nothing, or the rows given."""
+
+    def put(self, rows):
+        self.rows = rows
+
+    update = put
+
+    def clear(self):
+        self.rows, self.written = [], self.written + 1
+
+    def get(self):
+        return iter(self.rows) if self.rows else None
+
+
+def test_a_key_tells_its_rows_as_one_value_and_clears_no_empty_state():
+    machine = machines.VoiceMachine(60_000000)
+    machine.handle = type("Handle", (), {"registerTimer": staticmethod(lambda at: None)})
+    machine.waiting, machine.held = Empty(), Empty()
+    machine.waiting.rows = [(pickle.dumps([(1_000000, 1, "connect", None, 7, False, None), (2_000000, 2, "connect", None, 7, False, None)]),)]
+    (told,) = machine.handleExpiredTimer(("a",), type("Times", (), {"getCurrentWatermarkInMs": staticmethod(lambda: 9000)}), None)
+    assert told.shape == (1, 2) and machine.held.written == 0 and not machine.waiting.rows
+    assert [(r["seq"], r["text"], r["started"]) for r in json.loads(told["told"][0])] == [(1, "rejected", None), (2, "rejected", None)]
